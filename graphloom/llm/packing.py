@@ -170,7 +170,7 @@ def pack_documents(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     """One row for each piece: its document, place in it, sequence, offset there, tier, step group and ids (binary)."""
 
     def run(batches):
-        encode = tokenizer(vocabulary, lead_space=True).encode
+        encode = tokenizer(vocabulary, byte_level=True).encode
         context = TaskContext.get()
         packer = Packer(context.partitionId() if context else 0, tiers, group_ids)
         for batch in batches:

@@ -123,7 +123,7 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, path: str, do
     dealt = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
-        encode = tokenizer(vocabulary, lead_space=False).encode
+        encode = tokenizer(vocabulary, byte_level=False).encode
         doc_ids, counts, parts, n = [], [], [], 0
 
         def segment():
