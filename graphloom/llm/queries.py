@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprints, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, token_files, warc
+from graphloom.llm import fingerprints, jaccard_join, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, token_files, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.query,
     "op8_fingerprints": fingerprints.query,
     "op9_quality_classifier": quality_classifier.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
