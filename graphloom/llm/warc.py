@@ -190,15 +190,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-ORACLE_SQL = """
+# ten hex digits are eight base32 digits
+_DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n{g} >> {5 * (7 - d)}) & 31)::INT + 1, 1)" for g in range(4) for d in range(8))
+_PARTS = ", ".join(f"('0x' || substr(sha1(p.html), {10 * g + 1}, 10))::BIGINT AS n{g}" for g in range(4))
+ORACLE_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html),
-d AS (SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, upper(sha1(p.html)) AS hex, first_id FROM p JOIN f ON p.html = f.html),
-b AS (SELECT *, list_transform(range(0, 8), i -> ('0x' || substr(hex, 5 * i::INT + 1, 5))::BIGINT) AS n FROM d)
-SELECT page_id, payload_bytes,
-  list_aggregate(list_transform(n, x -> array_to_string(list_transform([15, 10, 5, 0],
-    s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31)::INT + 1, 1)), '')), 'string_agg', '') AS payload_digest,
+d AS (SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, first_id, {_PARTS} FROM p JOIN f ON p.html = f.html)
+SELECT page_id, payload_bytes, {_DIGITS} AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
-FROM b
+FROM d
 """
