@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from graphloom.llm.common import join_small, materialize, new_path
 from graphloom.llm.tokens import tokenizer
 
-BLOCK = 512
+BLOCK = 4096
 #: Share of a block's values that its width must hold.
 PERCENTILE = 0.95
 #: Ids after which a segment is closed; bounds the memory of writer and reader.

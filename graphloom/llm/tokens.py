@@ -13,8 +13,8 @@ import os
 
 import numpy as np
 
-#: Pieces kept (about 200 MB).  A full cache starts anew once too many pieces of late texts are missing.
-CACHE_WORDS = 1_000_000
+#: Pieces kept (about 120 MB).  A full cache starts anew once too many pieces of late texts are missing.
+CACHE_WORDS = 600_000
 MISSING_SHARE = 0.3
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 64
@@ -24,6 +24,14 @@ _AFTER_SPACE = tuple(" " + c for c in _SPACES)
 _ASCII_AFTER_SPACE = tuple(x for x in _AFTER_SPACE if x.isascii())
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class CachedTokenizer:
     def __init__(self, path: str, lead_space: bool):
         """lead_space: a piece keeps the space before it (byte-level vocabularies); else white space is dropped."""
@@ -36,6 +44,7 @@ class CachedTokenizer:
         self.mark, self.join = ("\n", "\n") if lead_space else ("\x00", " \x00 ")
         ids = self.lib.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = ids[0] if len(ids) == 1 else None
+        self.marks = {c: self.whole(c) for c in ".,"}
         self.cache: dict[str, bytes] = {}
         self.seen = self.missed = 0
 
@@ -61,6 +70,16 @@ class CachedTokenizer:
 
     def _learn(self, rest: list[str], body: list, lacking: list[int]) -> None:
         """Fill in the ids of pieces that the cache lacks, and keep them while there is room."""
+        if not self.lead:  # a letter and the mark behind it are always apart
+            left = []
+            for i in lacking:
+                p = rest[i]
+                x = self.cache.get(p[:-1]) if p[-1:] in ".," and p[-2:-1].isalpha() else None
+                if x is None:
+                    left.append(i)
+                else:
+                    body[i] = x + self.marks[p[-1]]
+            lacking = left
         got = self._many(list({rest[i] for i in lacking}))
         for i in lacking:
             body[i] = got[rest[i]]
@@ -82,7 +101,10 @@ class CachedTokenizer:
                 return self.whole(text)
             first, *rest = text.split(" ")
         else:
-            first, rest = "", text.split(" ")
+            # white space and case are dropped anyway; Latin-1 texts are in normal form and lower-case within it
+            if _latin(text):
+                text = text.lower()
+            first, rest = "", text.replace("\n", " ").split(" ")
         body = list(map(self.cache.get, rest))
         lacking = [i for i, x in enumerate(body) if x is None]
         if lacking:
