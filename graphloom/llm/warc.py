@@ -84,14 +84,15 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
 
 
-_IN_FILE = Window.partitionBy("file").orderBy("block", "at")
+def _in_file():
+    return Window.partitionBy("file").orderBy("block", "at")
 
 
 def _with_offsets(chunks: DataFrame, size: Column) -> DataFrame:
     """Append offset (of the magic before the chunk, negative for what precedes the first one) and next."""
     step = size + len(MAGIC)
-    begin = F.coalesce(F.sum(step).over(_IN_FILE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return chunks.withColumn("offset", begin - len(MAGIC)).withColumn("next", F.coalesce(F.lead("offset").over(_IN_FILE), F.col("offset") + step))
+    begin = F.coalesce(F.sum(step).over(_in_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return chunks.withColumn("offset", begin - len(MAGIC)).withColumn("next", F.coalesce(F.lead("offset").over(_in_file()), F.col("offset") + step))
 
 
 def _payload(rest: Column, content_length: Column) -> tuple[Column, Column]:
@@ -121,7 +122,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     ).drop("unused")
     placed = _with_offsets(narrow, F.col("size")).withColumn("succ", F.col("offset") + len(MAGIC) + F.col("head_bytes") + 4 + F.col("length") + 4)
     broken = F.when(F.col("succ").eqNullSafe(F.col("next")), 0).otherwise(1)
-    run = F.coalesce(F.sum(broken).over(_IN_FILE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = F.coalesce(F.sum(broken).over(_in_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return materialize(placed.withColumn("run", run).withColumn("broken", broken).filter("offset >= 0"), "warc-candidates")
 
 
@@ -172,7 +173,7 @@ def _reassembled(spark: SparkSession, path: str, split: DataFrame) -> DataFrame:
     files = split.select("file").distinct()
     chunks = _with_offsets(_chunks(spark, path).join(files, "file", "left_semi"), F.octet_length("value"))
     starts = split.select("file", "offset", F.col("succ").alias("until"))
-    held = chunks.join(starts, ["file", "offset"], "left").withColumn("record", F.last(F.when(F.col("until").isNotNull(), F.struct(F.col("offset").alias("at"), "until")), ignorenulls=True).over(_IN_FILE))
+    held = chunks.join(starts, ["file", "offset"], "left").withColumn("record", F.last(F.when(F.col("until").isNotNull(), F.struct(F.col("offset").alias("at"), "until")), ignorenulls=True).over(_in_file()))
     held = held.filter("offset < record.until")
     parts = F.sort_array(F.collect_list(F.struct("offset", "value")))
     text = held.groupBy("file", F.col("record.at").alias("offset")).agg(F.array_join(F.transform(parts, lambda x: x["value"]), MAGIC).alias("value"))
