@@ -8,8 +8,8 @@ threshold are counted in the other fragments.
 
 Copies: documents with equal sets form a class and take part once.  Large groups of near copies share only very
 frequent shingles, so lists of these aren't paired: every member is compared with the list's pivot (the one with the
-fewest shingles of its own), which is what connects such a group; then only members outside a list's main component are
-compared with the others, if the bound from their unshared shingles lets them be similar at all.  So no link between
+fewest other shingles), which is what connects such a group; then only members outside a list's main component are
+compared with the others, if their numbers of frequent shingles let them be similar at all.  So no link between
 components is lost, and pairs inside a component need not be found.
 
 Which shingles count as frequent changes the order, hence the cost, never the result: any order is right.
@@ -38,6 +38,8 @@ MOST_FREQUENT = 400_000
 COUNT_CHUNK = 3_000_000
 #: Fragments in which overlaps of the remaining pairs are counted.
 FRAGMENTS = 4
+#: Pairs of one node from which its fragments are dealt over several tasks.
+HUB_PAIRS = 256
 _EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 
 
@@ -164,7 +166,7 @@ def prefix_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def fragment_pairs(postings: DataFrame, partitions: int) -> DataFrame:
-    """Overlaps in the first fragment: (x, y, c) for nodes x < y, by partition; (x, x, c) counts what an odd x shares with nobody.
+    """Overlaps in the first fragment: (x, y, c) for nodes x < y, by partition.
 
     Partitions hold whole lists of a shingle; frequent ones aren't among them, so lists are short.
     """
@@ -184,9 +186,7 @@ def fragment_pairs(postings: DataFrame, partitions: int) -> DataFrame:
         new = np.concatenate([[True], h[1:] != h[:-1]])
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(h)))
-        single = begin[size == 1]
-        own = node[single][(node[single] & 1) == 1]
-        xs, ys, held = [own], [own], len(own)
+        xs, ys, held = [], [], 0
         many = np.repeat(size > 1, size)
         h, node = h[many], node[many]
         for d in range(1, int(size.max())):
@@ -243,20 +243,23 @@ def fragment_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.join(nodes, "half").dropDuplicates(["node", "f"]).select("node", "f", "s")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, hubs: bool) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (x, y) that are similar: overlaps are counted in each fragment and summed.
 
-    hubs: y may be the same in very many pairs; its fragments are then copied SALTS times.
+    Fragments of a y with more than HUB_PAIRS pairs are copied SALTS times and its pairs dealt over the copies.
     """
+    pairs = materialize(pairs, "pairs")
+    hubs = materialize(pairs.groupBy("y").count().filter(F.col("count") > HUB_PAIRS).select("y", F.lit(True).alias("hub")), "hubs")
+    pairs = join_small(pairs, hubs, "y", "left", F.col("x"))
     left = pairs.join(sets.select(F.col("node").alias("x"), "f", F.col("s").alias("sx")), "x")
     right = sets.select(F.col("node").alias("y"), "f", F.col("s").alias("sy"))
-    keys = ["y", "f"]
-    if hubs:
-        right = right.join(pairs.select("y").distinct(), "y", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = left.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
-        keys.append("salt")
-    partial = left.join(right, keys).select("x", "y", F.size(F.array_intersect("sx", "sy")).cast("long").alias("o"))
-    summed = partial.groupBy("x", "y").agg(F.sum("o").alias("o"))
+    partial = left.filter("hub is null").join(right, ["y", "f"])
+    if hubs.head(1):
+        copies = join_small(right, hubs, "y", "inner").drop("hub").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = left.filter("hub").withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+        partial = partial.unionByName(dealt.join(copies, ["y", "f", "salt"]).drop("salt"))
+    counted = partial.select("x", "y", F.size(F.array_intersect("sx", "sy")).cast("long").alias("o"))
+    summed = counted.groupBy("x", "y").agg(F.sum("o").alias("o"))
     sized = _with_nodes(summed, nodes.select("node", "n"))
     return sized.filter(_similar(F.col("x_n") + F.col("y_n"), F.col("o"))).select("x", "y")
 
@@ -307,6 +310,7 @@ def frequent_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _can_link() -> Column:
+    """Whether two odd nodes without a common shingle in the first fragment can be similar; pairs with one are found there."""
     most = F.least(F.col("n") - F.col("own"), F.col("y_n") - F.col("y_own"))
     return _similar(F.col("n") + F.col("y_n"), most)
 
@@ -321,7 +325,7 @@ def rest_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFram
     # sizes of similar sets lie in the same band or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)))).cast("int")
     marked = join_small(marked, main, "h", "inner", F.col("node")).filter("comps > 1").withColumn("band", band)
-    marked = materialize(marked.filter(_similar(F.col("n"), F.col("n") - F.col("own"))), "frequent-rest")
+    marked = materialize(marked.filter(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n")), "frequent-rest")
     rest = materialize(marked.filter("comp <> main").select("h", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("own").alias("y_own"), F.col("comp").alias("y_comp"), F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band")), "outside")
     keys = ["h", "band"]
     if written_bytes(rest) <= BROADCAST_BYTES:
@@ -348,9 +352,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     postings = kept.select(F.explode("prefix").alias("h"), "node")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = materialize(fragment_pairs(postings, partitions).groupBy("x", "y").agg(F.sum("c").alias("c")), "fragment-1")
-    own = counted.filter("x = y").select(F.col("x").alias("node"), F.col("c").alias("own"))
     sizes = materialize(kept.select("node", "n", "known", "last"), "nodes")
-    near = _with_nodes(counted.filter("x <> y"), sizes)
+    near = _with_nodes(counted, sizes)
     n, odd_x, odd_y = F.col("x_n") + F.col("y_n"), F.col("x") % 2 == 1, F.col("y") % 2 == 1
     left_x, left_y = F.col("c") + F.col("x_n") - F.col("x_known"), F.col("c") + F.col("y_n") - F.col("y_known")
     bound = F.when(odd_x & odd_y, F.least(left_x, left_y)).when(F.col("x_last") <= F.col("y_last"), left_x).otherwise(left_y)
@@ -359,7 +362,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # lists of frequent shingles
     odd = kept.filter(F.size("frequent") > 0)
     lists = materialize(odd.select(F.explode("frequent").alias("h"), "node"), "frequent-lists")
-    bounds = materialize(odd.select("node", "n").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long")), "bounds")
+    bounds = materialize(odd.select("node", "n", F.col("known").alias("own")), "bounds")
 
     wanted = near.select(F.col("x").alias("node")).union(near.select("y")).union(odd.select("node")).distinct()
     wanted = materialize(kept.select("doc_id", "node").join(wanted, "node"), "wanted")
@@ -369,12 +372,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sided = near.union(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "c"))
     best = sided.groupBy("x").agg(F.max(F.struct("c", (-F.col("y")).alias("y"))).alias("b")).select("x", (-F.col("b.y")).alias("y"))
     best = best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    links = verify(best, sets, sizes, hubs=True).union(verify(materialize(frequent_pairs(lists, bounds), "pivot-pairs"), sets, sizes, hubs=True))
+    links = verify(best, sets, sizes).union(verify(frequent_pairs(lists, bounds), sets, sizes))
     links = materialize(links, "first-links")
     comps = connected_components(links)
     apart = _with_components(near.select("x", "y"), comps).filter("x_comp <> y_comp").select("x", "y")
     apart = materialize(apart.union(rest_pairs(lists, bounds, comps)).distinct(), "apart")
-    more = materialize(verify(apart, sets, sizes, hubs=True), "more-links")
+    more = materialize(verify(apart, sets, sizes), "more-links")
     if more.head(1):
         comps = connected_components(links.union(more))
 
