@@ -2,9 +2,698 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from graphloom.functions import quality
+from graphloom.operators import dynamic, graph, hierarchy, louvain
+from graphloom.plans import run
+from graphloom.plans.store import materialize, shared_dir
+from graphloom.sources import tables
+
+C = F.col
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame, with its SQL if there is one."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+# graphs, as DataFrames and as SQL
+
+_EDGES = {
+    "planted": """
+pn AS (SELECT c_custkey AS a, lead(c_custkey, 1) OVER w AS b1, lead(c_custkey, 2) OVER w AS b2, lead(c_custkey, 3) OVER w AS b3 FROM customer
+  WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey)),
+pr AS (SELECT a, b1 AS b FROM pn UNION ALL SELECT a, b2 FROM pn UNION ALL SELECT a, b3 FROM pn
+  UNION ALL SELECT o_custkey, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) FROM orders WHERE o_orderkey % 20 = 0),
+edges AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, 1::BIGINT AS w FROM pr WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b)""",
+    "trade": """
+edges AS (SELECT least(c_nationkey, s_nationkey)::BIGINT AS src, greatest(c_nationkey, s_nationkey)::BIGINT AS dst, count(*)::BIGINT AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)""",
+    "ps": "edges AS (SELECT l_partkey AS src, l_suppkey + 1000000 AS dst, count(*)::BIGINT AS w FROM lineitem GROUP BY 1, 2)",
+}
+_LABELS = {
+    "planted": "labels AS (SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS comm FROM customer WHERE c_custkey IN (SELECT id FROM nodes))",
+    "trade": "labels AS (SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS comm FROM nation WHERE n_nationkey IN (SELECT id FROM nodes))",
+    "ps": "labels AS (SELECT id, id % 7 AS comm FROM nodes)",
+}
+_ARCS = """
+arcs AS (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges WHERE src <> dst),
+nodes AS (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) + 1 FROM arcs)))::BIGINT AS id, 1::BIGINT AS node_w)"""
+
+
+def ctes(name: str, labels: bool = True) -> str:
+    """edges, arcs, nodes and labels of a graph."""
+    return f"{_EDGES[name]},{_ARCS}" + (f",\n{_LABELS[name]}" if labels else "")
+
+
+class Graph:
+    """Arcs, nodes and reference labels of a graph of the tables; arcs are materialized, as loaded graphs are."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, name: str):
+        edges = getattr(tables, f"{name}_edges")(spark, sf_dir)
+        if "w" not in edges.columns:
+            edges = edges.withColumn("w", F.lit(1).cast("long"))
+        self.edges = edges
+        self.arcs = materialize(graph.symmetrise(edges), "arcs")
+        self.nodes = graph.nodes_of(self.arcs)
+        if name == "ps":
+            self.labels = self.nodes.select("id", (C("id") % 7).alias("comm"))
+        else:
+            self.labels = getattr(tables, f"{name}_labels")(spark, sf_dir).join(self.nodes.select("id"), "id")
+
+
+def long(*names: str) -> list[Column]:
+    return [C(n).cast("long").alias(n) for n in names]
+
+
+def both_graphs(body: Callable[[Graph], DataFrame], names=("planted", "trade")):
+    """The rows of several graphs, with their name."""
+
+    def run_(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = [body(Graph(spark, sf_dir, n)).select(F.lit(n).alias("graph"), "*") for n in names]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    return run_
+
+
+def both_sql(body: str, names=("planted", "trade")) -> str:
+    return "\nUNION ALL\n".join(f"SELECT '{n}' AS graph, * FROM (WITH {ctes(n)}\n{body})" for n in names)
+
+
+# sources and preparation
+
+_RAW_PS = "raw AS (SELECT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem)"
+
+
+def _raw_ps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "lineitem").select(C("l_partkey").alias("src"), (C("l_suppkey") + tables.SUPPLIER_OFFSET).alias("dst"), F.lit(1).cast("long").alias("w"))
+
+
+@query(f"WITH {_EDGES['trade']} SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges WHERE src <> dst")
+def edge_symmetrise(spark, sf_dir):
+    return graph.symmetrise(tables.trade_edges(spark, sf_dir))
+
+
+@query(f"WITH {_RAW_PS} SELECT DISTINCT src, dst, 1::BIGINT AS w FROM (SELECT src, dst FROM raw UNION ALL SELECT dst, src FROM raw)")
+def edge_clean_unweighted(spark, sf_dir):
+    return graph.clean_unweighted(graph.symmetrise(_raw_ps(spark, sf_dir)))
+
+
+@query(f"WITH {_RAW_PS} SELECT src, dst, count(*)::BIGINT AS w FROM (SELECT src, dst FROM raw UNION ALL SELECT dst, src FROM raw) GROUP BY 1, 2")
+def edge_clean_weighted(spark, sf_dir):
+    return graph.clean_weighted(graph.symmetrise(_raw_ps(spark, sf_dir)))
+
+
+_RENUMBER = f"{ctes('ps', False)}, m AS (SELECT src AS old_id, row_number() OVER (ORDER BY src) - 1 AS new_id FROM (SELECT DISTINCT src FROM arcs))"
+
+
+@query(f"WITH {_RENUMBER} SELECT old_id, new_id::BIGINT AS new_id FROM m")
+def renumber_map(spark, sf_dir):
+    return graph.renumber_map(graph.symmetrise(tables.ps_edges(spark, sf_dir)))
+
+
+@query(f"WITH {_RENUMBER} SELECT a.new_id::BIGINT AS src, b.new_id::BIGINT AS dst, w FROM arcs JOIN m a ON src = a.old_id JOIN m b ON dst = b.old_id")
+def renumber_edges(spark, sf_dir):
+    arcs = graph.symmetrise(tables.ps_edges(spark, sf_dir))
+    return graph.renumber(arcs, materialize(graph.renumber_map(arcs), "map"))
+
+
+_EVENTS = "ev AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS step, user_id AS src, dense_rank() OVER (ORDER BY event_type) + 100000 AS dst FROM events)"
+
+
+@query(f"WITH {_EVENTS} SELECT DISTINCT least(src, dst)::BIGINT AS src, greatest(src, dst)::BIGINT AS dst FROM ev WHERE src <> dst")
+def delta_simplify(spark, sf_dir):
+    return graph.simplify(tables.event_rows(spark, sf_dir))
+
+
+@query(f"""WITH {ctes('trade', False)}, a AS (SELECT * FROM arcs WHERE src <> dst OR src % 2 = 0)
+SELECT src, dst, w FROM a UNION ALL SELECT id, id, 1 FROM nodes WHERE id NOT IN (SELECT src FROM a WHERE src = dst)""")
+def add_self_loops(spark, sf_dir):
+    g = Graph(spark, sf_dir, "trade")
+    return graph.add_self_loops(g.arcs.filter("src <> dst or src % 2 = 0"), g.nodes)
+
+
+@query(f"""WITH {ctes('trade', False)}, a AS (SELECT src, dst, CASE WHEN src < dst AND (src + dst) % 5 = 0 THEN w + 1 ELSE w END AS w FROM arcs WHERE (src + 2 * dst) % 7 <> 0)
+SELECT a.src, a.dst, a.w, b.w AS reverse_w FROM a LEFT JOIN a b ON a.src = b.dst AND a.dst = b.src WHERE a.w IS DISTINCT FROM b.w""")
+def check_symmetry(spark, sf_dir):
+    arcs = Graph(spark, sf_dir, "trade").arcs.filter("(src + 2 * dst) % 7 <> 0")
+    return graph.asymmetric_arcs(arcs.withColumn("w", F.expr("case when src < dst and (src + dst) % 5 = 0 then w + 1 else w end")))
+
+
+@query(f"""WITH {ctes('planted', False)}, h AS (SELECT id, CASE WHEN id % 3 = 0 THEN id + 2 ELSE 1 END AS node_w FROM nodes) SELECT id, node_w FROM h""")
+def assign_node_weight(spark, sf_dir):
+    g = Graph(spark, sf_dir, "planted")
+    return graph.assign_node_weight(g.nodes, g.nodes.filter("id % 3 = 0").select("id", (C("id") + 2).alias("node_w")))
+
+
+# measures
+
+
+@query(f"WITH {ctes('planted', False)} SELECT id, count(src)::BIGINT AS degree FROM nodes LEFT JOIN arcs ON src = id GROUP BY id")
+def node_degree(spark, sf_dir):
+    g = Graph(spark, sf_dir, "planted")
+    return graph.degrees(g.arcs, g.nodes).select("id", "degree")
+
+
+@query(f"WITH {ctes('trade', False)} SELECT id, coalesce(sum(w), 0)::BIGINT AS weighted_degree FROM nodes LEFT JOIN arcs ON src = id GROUP BY id")
+def weighted_degree(spark, sf_dir):
+    g = Graph(spark, sf_dir, "trade")
+    return graph.degrees(g.arcs, g.nodes).select("id", *long("weighted_degree"))
+
+
+@query(f"WITH {ctes('trade', False)} SELECT src AS id, sum(w)::BIGINT AS loop_w FROM arcs WHERE src = dst GROUP BY 1")
+def self_loops(spark, sf_dir):
+    return graph.self_loops(Graph(spark, sf_dir, "trade").arcs)
+
+
+@query(f"WITH {ctes('trade', False)} SELECT src AS id, string_agg(dst || ':' || w, ' ' ORDER BY dst) AS neighbours FROM arcs GROUP BY 1")
+def adjacency_lists(spark, sf_dir):
+    lists = graph.adjacency_lists(Graph(spark, sf_dir, "trade").arcs)
+    return lists.select("id", F.array_join(F.transform("neighbours", lambda x: F.concat(x["dst"].cast("string"), F.lit(":"), x["w"].cast("string"))), " ").alias("neighbours"))
+
+
+@query(f"WITH {ctes('planted', False)} SELECT src, dst, w FROM arcs WHERE src > dst")
+def half_edges(spark, sf_dir):
+    return graph.half_edges(Graph(spark, sf_dir, "planted").arcs)
+
+
+@query(f"WITH {ctes('planted', False)} SELECT dst AS id, w FROM arcs WHERE src = 7")
+def neighbours(spark, sf_dir):
+    return graph.neighbours(Graph(spark, sf_dir, "planted").arcs, 7)
+
+
+@query(f"WITH {ctes('trade', False)} SELECT sum(w)::BIGINT AS m2 FROM arcs")
+def total_weight(spark, sf_dir):
+    return graph.total_weight(Graph(spark, sf_dir, "trade").arcs)
+
+
+@query(f"WITH {ctes('ps', False)} SELECT max(w)::BIGINT AS max_w FROM arcs")
+def max_weight(spark, sf_dir):
+    return graph.max_weight(graph.symmetrise(tables.ps_edges(spark, sf_dir)))
+
+
+@query(f"WITH {ctes('planted', False)} SELECT max(n)::BIGINT AS max_degree FROM (SELECT count(*) AS n FROM arcs GROUP BY src)")
+def max_degree(spark, sf_dir):
+    return graph.max_degree(Graph(spark, sf_dir, "planted").arcs)
+
+
+@query(f"""WITH {ctes('planted', False)}, d AS (SELECT id, count(src)::BIGINT AS degree FROM nodes LEFT JOIN arcs ON src = id GROUP BY id)
+SELECT id, degree, (sum(degree) OVER (ORDER BY id))::BIGINT AS cumulative_degree FROM d""")
+def csr_offsets(spark, sf_dir):
+    g = Graph(spark, sf_dir, "planted")
+    return graph.csr_offsets(g.arcs, g.nodes)
+
+
+# partitions
+
+_STATS = """stats AS (SELECT m.comm, coalesce(a.in_w, 0)::BIGINT AS in_w, coalesce(a.tot_w, 0)::BIGINT AS tot_w, m.node_w, m.size
+  FROM (SELECT comm, sum(node_w)::BIGINT AS node_w, count(*)::BIGINT AS size FROM nodes JOIN labels USING (id) GROUP BY 1) m
+  LEFT JOIN (SELECT x.comm, sum(CASE WHEN x.comm = y.comm THEN w ELSE 0 END) AS in_w, sum(w) AS tot_w
+    FROM arcs JOIN labels x ON src = x.id JOIN labels y ON dst = y.id GROUP BY 1) a ON m.comm = a.comm)"""
+
+
+@query(both_sql(f", {_STATS} SELECT * FROM stats"))
+def community_stats(spark, sf_dir):
+    return both_graphs(lambda g: graph.community_stats(g.arcs, g.nodes, g.labels).select("comm", *long("in_w", "tot_w"), "node_w", "size"))(spark, sf_dir)
+
+
+_VCW = """vcw AS (SELECT id, comm, sum(w)::BIGINT AS dnc FROM (SELECT src AS id, comm, w FROM arcs JOIN labels ON dst = id WHERE src <> dst
+  UNION ALL SELECT id, comm, 0 FROM labels) GROUP BY 1, 2)"""
+
+
+@query(both_sql(f", {_VCW} SELECT * FROM vcw"))
+def vertex_community_weights(spark, sf_dir):
+    return both_graphs(lambda g: graph.community_weights(g.arcs, g.labels).select("id", "comm", *long("dnc")))(spark, sf_dir)
+
+
+@query(both_sql("SELECT l.id, coalesce(sum(CASE WHEN x.comm = l.comm THEN w END), 0)::BIGINT AS own_w FROM labels l LEFT JOIN arcs ON src = l.id LEFT JOIN labels x ON dst = x.id GROUP BY 1"))
+def own_community_weight(spark, sf_dir):
+    return both_graphs(lambda g: graph.own_weights(g.arcs, g.labels).select("id", *long("own_w")))(spark, sf_dir)
+
+
+@query(f"WITH {ctes('planted')} SELECT comm, count(*)::BIGINT AS size FROM labels GROUP BY 1")
+def cluster_sizes(spark, sf_dir):
+    return hierarchy.cluster_sizes(Graph(spark, sf_dir, "planted").labels)
+
+
+@query(f"WITH {ctes('planted')} SELECT comm, string_agg(id, ' ' ORDER BY id) AS members FROM labels GROUP BY 1")
+def community_members(spark, sf_dir):
+    members = hierarchy.community_members(Graph(spark, sf_dir, "planted").labels)
+    return members.select("comm", F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"))
+
+
+# criteria
+
+_DEGREES = "deg AS (SELECT id, count(src)::DOUBLE AS d, coalesce(sum(CASE WHEN src = dst THEN w END), 0)::DOUBLE AS s, coalesce(sum(w), 0)::DOUBLE AS k FROM nodes LEFT JOIN arcs ON src = id GROUP BY id)"
+_CONDORA = """arcs0 AS (SELECT src, dst, w::DOUBLE AS w FROM arcs UNION ALL SELECT id, id, 1 FROM nodes WHERE id NOT IN (SELECT src FROM arcs WHERE src = dst)),
+deg0 AS (SELECT src AS id, count(*)::DOUBLE AS d, sum(CASE WHEN src = dst THEN w ELSE 0 END) AS s FROM arcs0 GROUP BY 1),
+again AS (SELECT src, dst, 2 * (2 * w / (a.d + b.d)) - (a.s / (2 * a.d) + b.s / (2 * b.d)) AS w, (a.s / (2 * a.d) + b.s / (2 * b.d)) - 2 * w / (a.d + b.d) AS extra
+  FROM arcs0 JOIN deg0 a ON src = a.id JOIN deg0 b ON dst = b.id)"""
+_DP = """deg0 AS (SELECT src AS id, count(*)::DOUBLE AS d FROM arcs GROUP BY 1),
+again AS (SELECT src, dst, 2 * w::DOUBLE / (a.d + b.d) AS w, (2 * w::DOUBLE / (a.d + b.d)) * (2 * w::DOUBLE / (a.d + b.d)) AS extra FROM arcs JOIN deg0 a ON src = a.id JOIN deg0 b ON dst = b.id)"""
+
+
+def _criterion_ctes(c: quality.Criterion) -> str:
+    prepare = {"condora": _CONDORA, "dp": _DP, None: "again AS (SELECT src, dst, w::DOUBLE AS w, 0::DOUBLE AS extra FROM arcs)"}[c.prepare]
+    return f"""{prepare},
+g AS (SELECT (SELECT sum(w) FROM again)::DOUBLE AS m2, (SELECT sum(extra) FROM again)::DOUBLE AS extra, (SELECT max(w) FROM arcs)::DOUBLE AS mx, (SELECT sum(node_w) FROM nodes)::DOUBLE AS n),
+stats AS (SELECT m.comm, coalesce(a.in_w, 0)::DOUBLE AS in_w, coalesce(a.tot_w, 0)::DOUBLE AS tot_w, m.node_w::DOUBLE AS w, m.size
+  FROM (SELECT comm, sum(node_w) AS node_w, count(*) AS size FROM nodes JOIN labels USING (id) GROUP BY 1) m
+  LEFT JOIN (SELECT x.comm, sum(CASE WHEN x.comm = y.comm THEN again.w ELSE 0 END) AS in_w, sum(again.w) AS tot_w
+    FROM again JOIN labels x ON src = x.id JOIN labels y ON dst = y.id GROUP BY 1) a ON m.comm = a.comm)"""
+
+
+_SCORES = {
+    0: "sum(CASE WHEN tot_w > 0 THEN in_w - tot_w * tot_w / m2 END) / any_value(m2)",
+    1: "(sum(2 * in_w - mx * w * w) + any_value(n * n * mx - m2)) / any_value(n * n * mx)",
+    2: "(sum(in_w - 0.5 * mx * w * w) + any_value(0.5 * (n * n * mx - m2))) / any_value(n * n * mx)",
+    3: "sum(in_w / (2 * w)) / any_value(n * mx)",
+    4: "(sum(in_w) + any_value(extra)) / any_value(n * n)",
+    5: "(sum(in_w - 2 * tot_w * w / n) + any_value(m2 / (n * n)) * sum(w * w)) / any_value(m2)",
+    6: "(sum(in_w) - any_value(m2 / (n * n)) * sum(w * w)) / any_value(m2)",
+    7: "(sum(2 * in_w / w) - any_value(extra) - count(*)) / any_value(n * n * mx)",
+    8: "(sum(CASE WHEN tot_w > 0 THEN in_w / tot_w ELSE 0 END) - count(*)) / any_value(n)",
+    9: "sum(2 * in_w - tot_w * tot_w / m2 - mx * w * w + (n * w * mx - tot_w) * (n * w * mx - tot_w) / (n * n * mx - m2)) / any_value(n * n * mx)",
+}
+_RATIO = "CASE WHEN {size} = 0 THEN (2 * dnc + s) / {one} - {minus} ELSE (in_w + 2 * dnc + s) / ({size} + {one}) - in_w / {size} END"
+_GAINS = {
+    0: "dnc - tot_w * k / m2",
+    1: "2 * dnc - u * w * mx",
+    2: "dnc - 0.5 * u * w * mx",
+    3: "CASE WHEN w = 0 THEN (2 * dnc + s) / (2 * u) ELSE (in_w + 2 * dnc + s) / (2 * (w + u)) - in_w / (2 * w) END",
+    4: "dnc",
+    5: "dnc - (tot_w * u + k * w) / n + m2 * u * w / (n * n)",
+    6: "dnc - m2 * u * w / (n * n)",
+    7: _RATIO.format(size="w", one="u", minus="0.5"),
+    8: "CASE WHEN kappa < 1 THEN 0 ELSE " + _RATIO.format(size="tot_w", one="k", minus="1") + " END",
+    9: "2 * dnc - k * tot_w / m2 - u * w * mx + (n * u * mx - k) * (n * w * mx - tot_w) / (n * n * mx - m2)",
+}
+
+
+def _gain_sql(c: quality.Criterion) -> str:
+    return f""", {_criterion_ctes(c)},
+deg AS (SELECT id, coalesce(sum(CASE WHEN src = dst THEN w END), 0)::DOUBLE AS s, coalesce(sum(w), 0)::DOUBLE AS k FROM nodes LEFT JOIN again ON src = id GROUP BY id),
+vcw AS (SELECT id, comm, sum(w)::DOUBLE AS dnc FROM (SELECT src AS id, comm, w FROM again JOIN labels ON dst = id WHERE src <> dst UNION ALL SELECT id, comm, 0 FROM labels) GROUP BY 1, 2),
+r AS (SELECT v.id, v.comm, v.dnc, d.k, d.s, 1::DOUBLE AS u, g.*, (SELECT count(*) FROM stats) - CASE WHEN z.size = 1 THEN 1 ELSE 0 END AS kappa,
+  t.in_w - CASE WHEN v.comm = o.comm THEN 2 * v.dnc + d.s ELSE 0 END AS in_w, t.tot_w - CASE WHEN v.comm = o.comm THEN d.k ELSE 0 END AS tot_w,
+  t.w - CASE WHEN v.comm = o.comm THEN 1 ELSE 0 END AS w
+  FROM vcw v JOIN deg d ON v.id = d.id JOIN labels o ON v.id = o.id JOIN stats t ON v.comm = t.comm JOIN stats z ON o.comm = z.comm, g)
+SELECT id, comm, {_cut_sql(_GAINS[c.id])} AS gain FROM r"""
+
+
+def _cut(c: Column) -> Column:
+    """Six digits, cut where short decimals and halves aren't: engines differ in the last bits of sums and in rounding ties."""
+    return F.floor(c * F.lit(1e6) + F.lit(0.3137)).cast("double") / F.lit(1e6)
+
+
+def _cut_sql(sql: str) -> str:
+    return f"floor(({sql}) * 1e6::DOUBLE + 0.3137::DOUBLE) / 1e6::DOUBLE"
+
+
+def _register_criteria() -> None:
+    for c in quality.CRITERIA.values():
+        def scores(spark, sf_dir, c=c):
+            return both_graphs(lambda g: quality.score(c.id, g.arcs, g.nodes, g.labels, digits=None).select("criterion", _cut(C("q")).alias("q")))(spark, sf_dir)
+
+        def gains(spark, sf_dir, c=c):
+            return both_graphs(lambda g: quality.gains(c.id, g.arcs, g.nodes, g.labels, digits=None).select("id", "comm", _cut(C("gain")).alias("gain")))(spark, sf_dir)
+
+        query(both_sql(f", {_criterion_ctes(c)} SELECT '{c.name}' AS criterion, {_cut_sql(_SCORES[c.id])} AS q FROM stats, g"), f"quality_{c.name}")(scores)
+        query(both_sql(_gain_sql(c)), f"gain_{c.name}")(gains)
+
+
+_register_criteria()
+
+
+@query(f"WITH {ctes('trade')}, {_CONDORA} SELECT src, dst, round(w, 9) AS w, round(extra, 9) AS extra FROM again")
+def reweight_condora(spark, sf_dir):
+    g = Graph(spark, sf_dir, "trade")
+    return quality.reweight_condora(g.arcs, g.nodes).select("src", "dst", F.round("w", 9).alias("w"), F.round("extra", 9).alias("extra"))
+
+
+@query(f"WITH {ctes('trade')}, {_DP} SELECT src, dst, round(w, 9) AS w, round(extra, 9) AS extra FROM again")
+def reweight_dp(spark, sf_dir):
+    g = Graph(spark, sf_dir, "trade")
+    return quality.reweight_dp(g.arcs, g.nodes).select("src", "dst", F.round("w", 9).alias("w"), F.round("extra", 9).alias("extra"))
+
+
+# local moves
+
+_VERTICES = """kv AS (SELECT id, count(src)::BIGINT AS degree, coalesce(sum(w), 0)::BIGINT AS k,
+  CASE WHEN count(src) = 0 THEN 0 WHEN count(src) <= 4 THEN 1 WHEN count(src) <= 8 THEN 2 WHEN count(src) <= 16 THEN 3 WHEN count(src) <= 32 THEN 4 WHEN count(src) <= 84 THEN 5 WHEN count(src) <= 319 THEN 6 ELSE 7 END AS bucket
+  FROM nodes LEFT JOIN arcs ON src = id GROUP BY id)"""
+
+
+def moves_sql(labels: str, where: str = "true", tag: str = "") -> str:
+    """CTEs ending in best{tag}(id, comm, g): best moves of vertices that satisfy `where`, against a table of labels."""
+    return f"""tot{tag} AS (SELECT comm, sum(k) AS tot, count(*) AS size FROM kv JOIN {labels} USING (id) GROUP BY 1),
+near{tag} AS (SELECT src AS id, l.comm, sum(w) AS e FROM arcs JOIN {labels} l ON dst = l.id WHERE src <> dst GROUP BY 1, 2),
+gains{tag} AS (SELECT v.id, n.comm, (SELECT sum(w) FROM arcs) * (n.e - coalesce(o.e, 0)) + v.k * ((t0.tot - v.k) - t1.tot) AS g
+  FROM kv v JOIN {labels} l ON v.id = l.id JOIN near{tag} n ON n.id = v.id AND n.comm <> l.comm LEFT JOIN near{tag} o ON o.id = v.id AND o.comm = l.comm
+  JOIN tot{tag} t0 ON t0.comm = l.comm JOIN tot{tag} t1 ON t1.comm = n.comm
+  WHERE (n.comm < l.comm OR t1.size > 1 OR t0.size > 1) AND {where}),
+best{tag} AS (SELECT id, arg_max(comm, (g, -comm)) AS comm, max(g)::BIGINT AS g FROM gains{tag} WHERE g > 0 GROUP BY 1)"""
+
+
+def apply_sql(labels: str, tag: str, out: str) -> str:
+    return f"{out} AS (SELECT l.id, coalesce(b.comm, l.comm) AS comm FROM {labels} l LEFT JOIN best{tag} b ON l.id = b.id)"
+
+
+@query(f"WITH {ctes('planted')}, {_VERTICES} SELECT id, degree, k, bucket FROM kv")
+def degree_buckets(spark, sf_dir):
+    g = Graph(spark, sf_dir, "planted")
+    return louvain.degree_buckets(g.arcs, g.nodes).select("id", "degree", *long("k"), "bucket")
+
+
+@query(both_sql(f", {_VERTICES}, {moves_sql('labels')} SELECT id, comm, g FROM best"))
+def best_moves(spark, sf_dir):
+    return both_graphs(lambda g: louvain.best_moves(g.arcs, louvain.degree_buckets(g.arcs, g.nodes), g.labels).select("id", "comm", *long("g")))(spark, sf_dir)
+
+
+@query(f"WITH {ctes('planted')}, {_VERTICES}, {moves_sql('labels', 'v.id % 3 = 0')} SELECT id, comm, g FROM best")
+def subset_best_moves(spark, sf_dir):
+    g = Graph(spark, sf_dir, "planted")
+    return louvain.best_moves(g.arcs, louvain.degree_buckets(g.arcs, g.nodes), g.labels, g.nodes.filter("id % 3 = 0")).select("id", "comm", *long("g"))
+
+
+def _pass_sql(where: str = "true") -> str:
+    parts, labels = ["l0 AS (SELECT id, id AS comm FROM nodes)"], "l0"
+    for b in range(1, 8):
+        parts += [moves_sql(labels, f"v.bucket = {b} AND {where}", str(b)), apply_sql(labels, str(b), f"l{b}")]
+        labels = f"l{b}"
+    return ",\n".join(parts)
+
+
+@query(f"WITH {ctes('planted', False)}, {_VERTICES}, {_pass_sql()} SELECT id, comm FROM l7")
+def bucket_pass(spark, sf_dir):
+    g = Graph(spark, sf_dir, "planted")
+    return louvain.bucket_pass(g.arcs, g.nodes, louvain.identity_labels(g.nodes), materialize)
+
+
+@query(f"WITH {ctes('planted', False)}, {_VERTICES}, {_pass_sql('v.id % 2 = 0')} SELECT id, comm FROM l7")
+def subset_bucket_pass(spark, sf_dir):
+    g = Graph(spark, sf_dir, "planted")
+    return louvain.bucket_pass(g.arcs, g.nodes, louvain.identity_labels(g.nodes), materialize, g.nodes.filter("id % 2 = 0").select("id"))
+
+
+@query(
+    f"WITH {ctes('planted', False)}, {_VERTICES}, l0 AS (SELECT id, id AS comm FROM nodes), "
+    + ", ".join(f"{moves_sql(f'l{i}', 'true', str(i))}, {apply_sql(f'l{i}', str(i), f'l{i + 1}')}" for i in range(3))
+    + " SELECT id, comm FROM l3"
+)
+def sync_sweeps_k3(spark, sf_dir):
+    g = Graph(spark, sf_dir, "planted")
+    return louvain.synchronous_sweeps(g.arcs, g.nodes, louvain.identity_labels(g.nodes), 3, materialize)
+
+
+@query(both_sql("SELECT sum(w)::BIGINT AS m2, sum(CASE WHEN x.comm = y.comm THEN w ELSE 0 END)::BIGINT AS inside FROM arcs JOIN labels x ON src = x.id JOIN labels y ON dst = y.id"))
+def modularity_parts(spark, sf_dir):
+    return both_graphs(lambda g: louvain.quality_parts(g.arcs, g.labels).select(*long("m2", "inside")))(spark, sf_dir)
+
+
+# contraction and levels
+
+_DENSE = "dense AS (SELECT id, dense_rank() OVER (ORDER BY comm) - 1 AS comm FROM labels)"
+
+
+@query(both_sql(f", {_DENSE} SELECT x.comm AS src, y.comm AS dst, sum(w)::BIGINT AS w FROM arcs JOIN dense x ON src = x.id JOIN dense y ON dst = y.id GROUP BY 1, 2"))
+def contract(spark, sf_dir):
+    return both_graphs(lambda g: louvain.contract(g.arcs, g.nodes, g.labels)[0].select("src", "dst", *long("w")))(spark, sf_dir)
+
+
+@query(both_sql(f", {_DENSE} SELECT comm AS id, count(*)::BIGINT AS node_w FROM dense GROUP BY 1"))
+def contract_nodes(spark, sf_dir):
+    return both_graphs(lambda g: louvain.contract(g.arcs, g.nodes, g.labels)[1].select("id", *long("node_w")))(spark, sf_dir)
+
+
+@query(f"WITH {ctes('trade')}, {_DENSE} SELECT x.comm AS src, y.comm AS dst, w FROM arcs JOIN dense x ON src = x.id JOIN dense y ON dst = y.id")
+def community_arcs(spark, sf_dir):
+    g = Graph(spark, sf_dir, "trade")
+    return louvain.community_arcs(g.arcs, g.labels)
+
+
+@query(f"WITH {ctes('planted')} SELECT comm, (row_number() OVER (ORDER BY comm) - 1)::BIGINT AS new_comm FROM (SELECT DISTINCT comm FROM labels)")
+def renumber_communities(spark, sf_dir):
+    return louvain.renumber_communities(Graph(spark, sf_dir, "planted").labels)
+
+
+@query(f"WITH {ctes('planted')}, {_DENSE}, up AS (SELECT DISTINCT comm AS id, comm % 4 AS comm FROM dense) SELECT dense.id, up.comm::BIGINT AS comm FROM dense JOIN up ON dense.comm = up.id")
+def compose_levels(spark, sf_dir):
+    g = Graph(spark, sf_dir, "planted")
+    return hierarchy.flatten(_two_levels(g))
+
+
+def _two_levels(g: Graph) -> DataFrame:
+    dense = g.labels.join(louvain.renumber_communities(g.labels), "comm").select("id", C("new_comm").alias("comm"))
+    upper = dense.select(C("comm").alias("id")).distinct().withColumn("comm", C("id") % 4)
+    return dense.select(F.lit(0).alias("level"), C("id").alias("node"), "comm").union(upper.select(F.lit(1).alias("level"), C("id").alias("node"), "comm"))
+
+
+@query(f"WITH {ctes('planted')} SELECT 0 AS level, count(*)::BIGINT AS nodes FROM labels UNION ALL SELECT 1, count(DISTINCT comm)::BIGINT FROM labels")
+def level_stats(spark, sf_dir):
+    return hierarchy.level_stats(_two_levels(Graph(spark, sf_dir, "planted")))
+
+
+@query(f"WITH {ctes('planted')} SELECT x.id AS a, y.id AS b FROM labels x JOIN labels y ON x.comm = y.comm AND x.id < y.id")
+def comembership_pairs(spark, sf_dir):
+    return hierarchy.comembership_pairs(Graph(spark, sf_dir, "planted").labels)
+
+
+@query(f"WITH {ctes('trade')} SELECT x.id AS a, y.id AS b, (x.comm = y.comm)::INT AS same FROM labels x, labels y")
+def comembership_matrix(spark, sf_dir):
+    return hierarchy.comembership_matrix(Graph(spark, sf_dir, "trade").labels)
+
+
+# changes
+
+_DAYS = f"""{_EVENTS}, base AS (SELECT src, dst::BIGINT AS dst, count(*)::BIGINT AS w FROM ev WHERE step < 10 GROUP BY 1, 2),
+arcs AS (SELECT src, dst, w FROM base UNION ALL SELECT dst, src, w FROM base),
+adds AS (SELECT src, dst::BIGINT AS dst FROM ev WHERE step = 10), dels AS (SELECT src, dst::BIGINT AS dst FROM ev WHERE step = 3),
+adds2 AS (SELECT src, dst FROM adds UNION ALL SELECT dst, src FROM adds), dels2 AS (SELECT src, dst FROM dels UNION ALL SELECT dst, src FROM dels)"""
+
+
+def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = materialize(tables.event_rows(spark, sf_dir).filter("step < 11"), "events")
+    base = rows.filter("step < 10").groupBy("src", "dst").agg(F.count("*").alias("w"))
+    one = lambda s: rows.filter(C("step") == s).select("src", "dst", F.lit(1).cast("long").alias("w"))
+    return graph.symmetrise(base), one(10), one(3)
+
+
+@query(f"WITH {_DAYS} SELECT DISTINCT src, dst, 1::BIGINT AS w FROM (SELECT src, dst FROM arcs UNION ALL SELECT src, dst FROM adds2)")
+def apply_adds(spark, sf_dir):
+    arcs, adds, _ = _days(spark, sf_dir)
+    return dynamic.apply_adds(arcs, adds)
+
+
+@query(f"WITH {_DAYS} SELECT src, dst, sum(w)::BIGINT AS w FROM (SELECT src, dst, w FROM arcs UNION ALL SELECT src, dst, 1 FROM adds2) GROUP BY 1, 2")
+def apply_adds_weighted(spark, sf_dir):
+    arcs, adds, _ = _days(spark, sf_dir)
+    return dynamic.apply_adds(arcs, adds, True)
+
+
+@query(f"WITH {_DAYS} SELECT src, dst, w FROM arcs WHERE (src, dst) NOT IN (SELECT (src, dst) FROM dels2)")
+def apply_deletes_unweighted(spark, sf_dir):
+    arcs, _, dels = _days(spark, sf_dir)
+    return dynamic.apply_deletes(arcs, dels)
+
+
+@query(f"""WITH {_DAYS}, less AS (SELECT src, dst, count(*) AS n FROM dels2 GROUP BY 1, 2)
+SELECT src, dst, (w - coalesce(n, 0))::BIGINT AS w FROM arcs LEFT JOIN less USING (src, dst) WHERE w > coalesce(n, 0)""")
+def apply_deletes_weighted(spark, sf_dir):
+    arcs, _, dels = _days(spark, sf_dir)
+    return dynamic.apply_deletes(arcs, dels, True)
+
+
+_CHANGED = f"""{ctes('planted')}, nc AS (SELECT count(*) AS n FROM customer),
+adds AS (SELECT o_custkey AS src, (o_custkey * 11 + o_orderkey) % n AS dst FROM orders, nc WHERE o_orderkey % 40 = 10
+  UNION ALL SELECT o_custkey, n + 3 + o_orderkey % 50 FROM orders, nc WHERE o_orderkey % 200 = 30 UNION ALL SELECT n + 60, n + 61 FROM nc),
+dels AS (SELECT src, dst FROM edges WHERE (src + dst) % 10 = 0 UNION ALL SELECT src, src + 5 FROM edges WHERE src % 50 = 0),
+adds2 AS (SELECT src, dst FROM adds UNION ALL SELECT dst, src FROM adds WHERE src <> dst),
+removed AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM dels WHERE (least(src, dst), greatest(src, dst)) IN (SELECT (src, dst) FROM edges)),
+removed2 AS (SELECT src, dst FROM removed UNION ALL SELECT dst, src FROM removed WHERE src <> dst),
+arcs_add AS (SELECT DISTINCT src, dst, 1::BIGINT AS w FROM (SELECT src, dst FROM arcs UNION ALL SELECT src, dst FROM adds2)),
+arcs_del AS (SELECT src, dst, w FROM arcs WHERE (src, dst) NOT IN (SELECT (src, dst) FROM removed2)),
+nodes_add AS (SELECT unnest(range(0, (SELECT max(src) + 1 FROM arcs_add)))::BIGINT AS id),
+ends AS (SELECT src AS id, count(*) AS n, min(dst) AS other FROM arcs_add WHERE src NOT IN (SELECT id FROM labels) GROUP BY 1),
+joins AS (SELECT ends.id, labels.comm FROM ends JOIN labels ON other = labels.id WHERE n = 1),
+fresh AS (SELECT id, (SELECT max(comm) FROM labels) + row_number() OVER (ORDER BY id) AS comm FROM nodes_add WHERE id NOT IN (SELECT id FROM labels) AND id NOT IN (SELECT id FROM joins)),
+seeded AS (SELECT id, comm FROM labels UNION ALL SELECT id, comm FROM joins UNION ALL SELECT id, comm::BIGINT FROM fresh)"""
+
+
+class Changed:
+    """The planted graph with a batch of additions, some of new vertices, and one of deletions, some of edges that don't exist."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        g = Graph(spark, sf_dir, "planted")
+        n = tables.table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
+        orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").crossJoin(F.broadcast(n))
+        near = orders.filter("o_orderkey % 40 = 10").selectExpr("o_custkey as src", "(o_custkey * 11 + o_orderkey) % n as dst")
+        far = orders.filter("o_orderkey % 200 = 30").selectExpr("o_custkey as src", "n + 3 + o_orderkey % 50 as dst")
+        self.adds = near.union(far).union(n.selectExpr("n + 60 as src", "n + 61 as dst"))
+        self.dels = g.edges.filter("(src + dst) % 10 = 0").select("src", "dst").union(g.edges.filter("src % 50 = 0").selectExpr("src", "src + 5 as dst"))
+        self.g, self.arcs, self.nodes, self.labels = g, g.arcs, g.nodes, g.labels
+
+    def added(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        arcs = materialize(dynamic.apply_adds(self.arcs, self.adds), "arcs")
+        nodes = dynamic.all_vertices(arcs, self.nodes)
+        return arcs, nodes, materialize(dynamic.seed_new_vertices(arcs, nodes, self.labels), "labels")
+
+    def removed(self) -> tuple[DataFrame, DataFrame]:
+        return dynamic.apply_deletes(self.arcs, self.dels), dynamic.effective_deletes(self.arcs, self.dels)
+
+
+@query(f"WITH {_CHANGED} SELECT src, dst FROM removed")
+def effective_deletes(spark, sf_dir):
+    return Changed(spark, sf_dir).removed()[1]
+
+
+@query(f"WITH {_CHANGED} SELECT id, comm FROM seeded")
+def seed_new_vertices(spark, sf_dir):
+    return Changed(spark, sf_dir).added()[2]
+
+
+_SCREEN_ADD = f"""{_CHANGED},
+kv AS (SELECT id, coalesce(sum(w), 0)::BIGINT AS k FROM nodes_add LEFT JOIN arcs_add ON src = id GROUP BY id),
+allowed AS (SELECT DISTINCT src AS id, comm FROM adds2 JOIN seeded ON dst = id UNION SELECT id, comm FROM seeded WHERE id IN (SELECT src FROM adds2)),
+tot AS (SELECT comm, sum(k) AS tot, count(*) AS size FROM kv JOIN seeded USING (id) GROUP BY 1),
+near AS (SELECT src AS id, l.comm, sum(w) AS e FROM arcs_add JOIN seeded l ON dst = l.id WHERE src <> dst GROUP BY 1, 2),
+gains AS (SELECT v.id, n.comm, (SELECT sum(w) FROM arcs_add) * (n.e - coalesce(o.e, 0)) + v.k * ((t0.tot - v.k) - t1.tot) AS g
+  FROM kv v JOIN seeded l ON v.id = l.id JOIN near n ON n.id = v.id AND n.comm <> l.comm JOIN allowed a ON a.id = v.id AND a.comm = n.comm
+  LEFT JOIN near o ON o.id = v.id AND o.comm = l.comm JOIN tot t0 ON t0.comm = l.comm JOIN tot t1 ON t1.comm = n.comm
+  WHERE n.comm < l.comm OR t1.size > 1 OR t0.size > 1),
+marks AS (SELECT id, arg_max(comm, (g, -comm)) AS comm FROM gains WHERE g > 0 GROUP BY 1),
+screened AS (SELECT id FROM marks UNION SELECT dst FROM arcs_add WHERE src IN (SELECT id FROM marks) UNION SELECT id FROM seeded WHERE comm IN (SELECT comm FROM marks))"""
+
+
+@query(f"WITH {_SCREEN_ADD} SELECT id FROM screened")
+def screen_add(spark, sf_dir):
+    c = Changed(spark, sf_dir)
+    arcs, nodes, labels = c.added()
+    return dynamic.screen_add(arcs, nodes, labels, c.adds)
+
+
+@query(f"WITH {_SCREEN_ADD} SELECT id, comm FROM marks")
+def screen_add_marks(spark, sf_dir):
+    c = Changed(spark, sf_dir)
+    arcs, nodes, labels = c.added()
+    return dynamic.screen_add_marks(arcs, nodes, labels, c.adds)
+
+
+@query(f"WITH {_SCREEN_ADD} SELECT (SELECT count(*) FROM screened)::BIGINT AS r_size, (SELECT count(*) FROM nodes_add)::BIGINT AS n, round(100.0::DOUBLE * (SELECT count(*) FROM screened) / (SELECT count(*) FROM nodes_add), 9) AS r_pct")
+def r_percentage(spark, sf_dir):
+    c = Changed(spark, sf_dir)
+    arcs, nodes, labels = c.added()
+    return dynamic.r_percentage(dynamic.screen_add(arcs, nodes, labels, c.adds), nodes)
+
+
+_DEL_MARKS = f"{_CHANGED}, marks AS (SELECT DISTINCT x.id, x.comm FROM removed2 JOIN labels x ON src = x.id JOIN labels y ON dst = y.id WHERE x.comm = y.comm)"
+
+
+@query(f"WITH {_DEL_MARKS} SELECT id FROM marks UNION SELECT dst FROM arcs_del WHERE src IN (SELECT id FROM marks) UNION SELECT id FROM labels WHERE comm IN (SELECT comm FROM marks)")
+def screen_del(spark, sf_dir):
+    c = Changed(spark, sf_dir)
+    arcs, removed = c.removed()
+    return dynamic.screen_del(arcs, c.labels, removed)
+
+
+@query(f"WITH {_DEL_MARKS} SELECT id FROM marks UNION SELECT dst FROM arcs_del WHERE src IN (SELECT id FROM marks)")
+def expand_marked(spark, sf_dir):
+    c = Changed(spark, sf_dir)
+    arcs, removed = c.removed()
+    return dynamic.expand(arcs, dynamic.screen_del_marks(c.labels, removed).select("id").distinct())
+
+
+@query(f"WITH {_CHANGED} SELECT DISTINCT x.id FROM adds2 JOIN seeded x ON src = x.id JOIN seeded y ON dst = y.id WHERE x.comm <> y.comm")
+def screen_endpoint_add(spark, sf_dir):
+    c = Changed(spark, sf_dir)
+    return dynamic.screen_endpoints(c.added()[2], c.adds)
+
+
+@query(f"WITH {_DEL_MARKS} SELECT id FROM labels WHERE comm IN (SELECT comm FROM marks) UNION SELECT dst FROM arcs_del JOIN marks ON src = marks.id JOIN labels l ON dst = l.id WHERE l.comm <> marks.comm")
+def screen_community_del(spark, sf_dir):
+    c = Changed(spark, sf_dir)
+    arcs, removed = c.removed()
+    return dynamic.screen_communities(arcs, c.labels, removed)
+
+
+@query(f"WITH {ctes('planted')} SELECT id FROM nodes")
+def screen_everything(spark, sf_dir):
+    return dynamic.screen_everything(Graph(spark, sf_dir, "planted").nodes)
+
+
+# whole runs: iterative, so without SQL
+
+
+@query()
+def louvain_full(spark, sf_dir):
+    """(id, comm) of the static run on the planted graph."""
+    arcs, nodes = run.load_graph(tables.planted_edges(spark, sf_dir))
+    return run.detect(arcs, nodes).labels
+
+
+@query()
+def louvain_hierarchy(spark, sf_dir):
+    """(level, node, comm) of the static run on the weighted trade graph."""
+    arcs, nodes = run.load_graph(tables.trade_edges(spark, sf_dir), True)
+    return run.detect(arcs.withColumn("w", C("w").cast("long")), nodes).hierarchy
+
+
+def day_changes(spark: SparkSession, sf_dir: str, days: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(start edges, changes): orders by day thin the planted graph's edges and add new ones."""
+    edges = materialize(tables.planted_edges(spark, sf_dir), "edges")
+    held = F.pmod(F.xxhash64("src", "dst"), F.lit(40))
+    start = edges.filter(held >= days)
+    gone = edges.filter((held >= 20) & (held < 20 + days)).select((held - 20).cast("int").alias("step"), F.lit("del").alias("op"), "src", "dst")
+    new = edges.filter(held < days).select(held.cast("int").alias("step"), F.lit("add").alias("op"), "src", "dst")
+    return start, gone.union(new)
+
+
+def _dynamic(mode: str):
+    def f(spark, sf_dir):
+        start, changes = day_changes(spark, sf_dir)
+        arcs, nodes = run.load_graph(start)
+        *_, reports = run.run_steps(arcs, nodes, materialize(changes, "changes"), 1, mode)
+        return run.report_frame(spark, reports, mode).drop("ms", "screening_ms")
+
+    return f
+
+
+for _mode in run.MODES:
+    query(name=f"dynamic_{_mode}")(_dynamic(_mode))
+
+
+@query()
+def stream_run(spark, sf_dir):
+    """Reports of the same changes as a stream of files."""
+    import uuid
+
+    from graphloom.streaming import changes as stream
+
+    start, changes = day_changes(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/graphloom-stream-{uuid.uuid4().hex}"
+    state = stream.start_state(spark, start, f"{folder}/state")
+    changes.withColumn("w", F.lit(1.0)).coalesce(1).write.json(f"{folder}/in")
+    q = stream.keep_up(stream.read_change_stream(spark, f"{folder}/in"), state, f"{folder}/progress")
+    q.awaitTermination()
+    return state.reports().drop("ms", "screening_ms")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the planted graph."""
+    return louvain_full(spark, sf_dir)

@@ -136,17 +136,17 @@ def prepared(c: Criterion, arcs: DataFrame, nodes: DataFrame) -> tuple[DataFrame
     return arcs, sums.crossJoin(F.broadcast(mx)).crossJoin(F.broadcast(n))
 
 
-def score(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """One row: criterion and its value q; 0 where it is undefined (no arcs)."""
+def score(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, digits: int | None = 9, **options) -> DataFrame:
+    """One row: criterion and its value q, rounded to `digits`; 0 where it is undefined (no arcs)."""
     c = criterion(which)
     arcs, sums = prepared(c, arcs, nodes)
     stats = graph.community_stats(arcs, nodes, labels).withColumnRenamed("node_w", "cw").crossJoin(F.broadcast(sums))
     got = stats.agg(c.score(parameters(**options)).alias("total"), F.first(c.scale()).alias("scale"))
     q = F.when(F.coalesce(C("scale"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise(C("total") / C("scale"))
-    return got.select(F.lit(c.name).alias("criterion"), F.round(q, 9).alias("q"))
+    return got.select(F.lit(c.name).alias("criterion"), (q if digits is None else F.round(q, digits)).alias("q"))
 
 
-def gains(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def gains(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, digits: int | None = 9, **options) -> DataFrame:
     """(id, comm, gain): for each vertex and adjacent community, its own included, with the vertex taken out first."""
     c = criterion(which)
     arcs, sums = prepared(c, arcs, nodes)
@@ -166,7 +166,8 @@ def gains(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame
         without(C("tot_w"), C("k")).alias("tot_w"),
         without(C("node_w"), C("u")).alias("cw"),
     )
-    return rows.select("id", "comm", F.round(c.gain(parameters(**options)), 9).alias("gain"))
+    gain = c.gain(parameters(**options))
+    return rows.select("id", "comm", (gain if digits is None else F.round(gain, digits)).alias("gain"))
 
 
 #: ΔQ of a move = factor * (gain of the new community - gain of the old one).
