@@ -291,7 +291,7 @@ _SCORES = {
     8: "(sum(CASE WHEN tot_w > 0 THEN in_w / tot_w ELSE 0 END) - count(*)) / any_value(n)",
     9: "sum(2 * in_w - tot_w * tot_w / m2 - mx * w * w + (n * w * mx - tot_w) * (n * w * mx - tot_w) / (n * n * mx - m2)) / any_value(n * n * mx)",
 }
-_RATIO = "CASE WHEN {size} = 0 THEN (2 * dnc + s) / {one} - {minus} ELSE (in_w + 2 * dnc + s) / ({size} + {one}) - in_w / {size} END"
+_RATIO = "CASE WHEN {size} = 0 THEN coalesce((2 * dnc + s) / nullif({one}, 0), 0) - {minus} ELSE (in_w + 2 * dnc + s) / ({size} + {one}) - in_w / {size} END"
 _GAINS = {
     0: "dnc - tot_w * k / m2",
     1: "2 * dnc - u * w * mx",

@@ -38,13 +38,18 @@ class Criterion:
     prepare: str | None = None
 
 
+def _over(a: Column, b: Column) -> Column:
+    """a / b, 0 where that is undefined."""
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
 def _owzad_gain(p: dict) -> Column:
     return _d("dnc") - F.lit(p["alpha"]) * _d("u") * _d("cw") * C("mx")
 
 
 def _ratio_gain(own: Column, size: Column, after: Column, empty_minus: float = 0.0) -> Column:
     """Change of inner weight per size when the vertex joins; the first member starts the community."""
-    start = (F.lit(2.0) * _d("dnc") + _d("s")) / after - F.lit(empty_minus)
+    start = _over(F.lit(2.0) * _d("dnc") + _d("s"), after) - F.lit(empty_minus)
     grown = (own + F.lit(2.0) * _d("dnc") + _d("s")) / (size + after) - own / size
     return F.when(size == 0, start).otherwise(grown)
 
@@ -57,7 +62,7 @@ _TOT = lambda: _d("tot_w")
 CRITERIA: dict[int, Criterion] = {
     c.id: c
     for c in (
-        Criterion(0, "modularity", lambda p: _where(_TOT() > 0, _IN() - _TOT() * _TOT() / C("m2")), lambda: C("m2"), lambda p: _d("dnc") - _TOT() * _d("k") / C("m2")),
+        Criterion(0, "modularity", lambda p: _where(_TOT() > 0, _IN() - _TOT() * _TOT() / C("m2")), lambda: C("m2"), lambda p: _d("dnc") - _over(_TOT() * _d("k"), C("m2"))),
         Criterion(1, "zahn", lambda p: _where(_W() > 0, F.lit(2.0) * _IN() - C("mx") * _W() * _W()) + F.first(_N2MX() - C("m2")), _N2MX, lambda p: F.lit(2.0) * _d("dnc") - _d("u") * _W() * C("mx")),
         Criterion(2, "owzad", lambda p: _where(_W() > 0, _IN() - F.lit(p["alpha"]) * C("mx") * _W() * _W()) + F.first(F.lit(p["alpha"]) * (_N2MX() - C("m2"))), _N2MX, _owzad_gain),
         Criterion(3, "goldberg", lambda p: _where(_W() > 0, _IN() / (F.lit(2.0) * _W())), lambda: C("n") * C("mx"), lambda p: _goldberg_gain()),
@@ -69,8 +74,8 @@ CRITERIA: dict[int, Criterion] = {
         Criterion(7, "dp", lambda p: _where(_W() > 0, F.lit(2.0) * _IN() / _W()) - F.first(C("extra")) - _where(_W() > 0, F.lit(1.0)), _N2MX, lambda p: _ratio_gain(_IN(), _W(), _d("u"), 0.5), "dp"),
         Criterion(8, "shimalik", lambda p: _where(_TOT() > 0, _IN() / _TOT()) - _where(_W() > 0, F.lit(1.0)), lambda: C("n"),
                   lambda p: F.when(C("kappa") < F.lit(p["kappa_min"]), F.lit(0.0)).otherwise(_ratio_gain(_IN(), _TOT(), _d("k"), 1.0))),
-        Criterion(9, "balmod", lambda p: _where(_W() > 0, F.lit(2.0) * _IN() - _TOT() * _TOT() / C("m2") - C("mx") * _W() * _W() + _balance(_W() * C("n") * C("mx") - _TOT(), C("n") * _W() * C("mx") - _TOT())), _N2MX,
-                  lambda p: F.lit(2.0) * _d("dnc") - _d("k") * _TOT() / C("m2") - _d("u") * _W() * C("mx") + _balance(C("n") * _d("u") * C("mx") - _d("k"), C("n") * _W() * C("mx") - _TOT())),
+        Criterion(9, "balmod", lambda p: _where(_W() > 0, F.lit(2.0) * _IN() - _over(_TOT() * _TOT(), C("m2")) - C("mx") * _W() * _W() + _balance(_W() * C("n") * C("mx") - _TOT(), C("n") * _W() * C("mx") - _TOT())), _N2MX,
+                  lambda p: F.lit(2.0) * _d("dnc") - _over(_d("k") * _TOT(), C("m2")) - _d("u") * _W() * C("mx") + _balance(C("n") * _d("u") * C("mx") - _d("k"), C("n") * _W() * C("mx") - _TOT())),
     )
 }
 
