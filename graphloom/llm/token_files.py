@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphloom.llm.common import join_small, materialize, new_path
-from graphloom.llm.tokens import tokenizer
+from graphloom.llm.tokens import batch_encoder
 
 BLOCK = 4096
 #: Share of a block's values that its width must hold.
@@ -123,15 +123,15 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, path: str, do
     dealt = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
-        encode = tokenizer(vocabulary, byte_level=False).encode
+        encode = batch_encoder(vocabulary).encode
         doc_ids, counts, parts, n = [], [], [], 0
 
         def segment():
             return pa.RecordBatch.from_arrays([pa.array([encode_segment(doc_ids, counts, np.frombuffer(b"".join(parts), "<u4"))], pa.binary())], names=["segment"])
 
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(value) + end
+            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids += end
                 doc_ids.append(_NULL_ID if key is None else key)
                 counts.append(len(ids) // 4)
                 parts.append(ids)

@@ -10,11 +10,19 @@ encoded whole.
 from __future__ import annotations
 
 import os
+import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces kept (about 120 MB).  A full cache starts anew once too many pieces of late texts are missing.
-CACHE_WORDS = 600_000
+from graphloom.llm.textvec import LOWER, buffers, slices, span_hashes
+
+#: Pieces kept (about 60 MB).  A full cache starts anew once too many pieces of late texts are missing.
+CACHE_WORDS = 300_000
+HOT_WORDS = 15_000
+#: Pieces whose ids a batch encoder keeps (about 60 MB).
+KNOWN_PIECES = 350_000
 MISSING_SHARE = 0.3
 #: Longer pieces are encoded but not kept.
 CACHE_CHARS = 64
@@ -32,6 +40,13 @@ def _latin(text: str) -> bool:
     return True
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class CachedTokenizer:
     def __init__(self, path: str, lead_space: bool):
         """lead_space: a piece keeps the space before it (byte-level vocabularies); else white space is dropped."""
@@ -42,19 +57,32 @@ class CachedTokenizer:
         self.lib.encode_special_tokens = True
         self.lead = " " if lead_space else ""
         self.mark, self.join = ("\n", "\n") if lead_space else ("\x00", " \x00 ")
+        self.model = self.lib.model
+        self.letters = {b: c for c, b in byte_alphabet().items()}
         ids = self.lib.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = ids[0] if len(ids) == 1 else None
         self.marks = {c: self.whole(c) for c in ".,"}
         self.cache: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}  # the pieces seen first, most of all that come: small enough for the processor's cache
         self.seen = self.missed = 0
 
     def whole(self, text: str) -> bytes:
         """Ids of a text by the library alone."""
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, p: str) -> bytes:
+        """Ids of a word of lower-case Latin letters: already normal and one pre-token, so the library's model suffices."""
+        if not p.isascii():
+            p = p.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(p)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _many(self, pieces: list[str]) -> dict[str, bytes]:
-        plain = [p for p in pieces if p.split() == [p] and self.mark not in p] if self.mark_id is not None else []
         out = {}
+        if not self.lead:
+            out = {p: self._word(p) for p in pieces if p.isalpha() and p == p.lower() and _latin(p)}
+            pieces = [p for p in pieces if p not in out]
+        plain = [p for p in pieces if p.split() == [p] and self.mark not in p] if self.mark_id is not None else []
         if plain:
             text = self.join.join([self.lead + p for p in plain])
             ids = np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4")
@@ -62,7 +90,7 @@ class CachedTokenizer:
             if len(cut) == len(plain) - 1:
                 raw = ids.tobytes()
                 at = [-1, *cut.tolist(), len(ids)]
-                out = {p: raw[4 * a + 4 : 4 * b] for p, a, b in zip(plain, at[:-1], at[1:], strict=True)}
+                out |= {p: raw[4 * a + 4 : 4 * b] for p, a, b in zip(plain, at[:-1], at[1:], strict=True)}
         for p in pieces:
             if p not in out:
                 out[p] = self.whole(self.lead + p)
@@ -74,7 +102,7 @@ class CachedTokenizer:
             left = []
             for i in lacking:
                 p = rest[i]
-                x = self.cache.get(p[:-1]) if p[-1:] in ".," and p[-2:-1].isalpha() else None
+                x = (self.hot.get(p[:-1]) or self.cache.get(p[:-1])) if p[-1:] in ".," and p[-2:-1].isalpha() else None
                 if x is None:
                     left.append(i)
                 else:
@@ -84,12 +112,13 @@ class CachedTokenizer:
         for i in lacking:
             body[i] = got[rest[i]]
         if len(self.cache) + len(got) <= CACHE_WORDS:
-            self.cache.update((p, x) for p, x in got.items() if len(p) <= CACHE_CHARS)
+            keep = {p: x for p, x in got.items() if len(p) <= CACHE_CHARS}
+            (self.hot if len(self.hot) < HOT_WORDS else self.cache).update(keep)
             return
         self.seen, self.missed = self.seen + len(rest), self.missed + len(lacking)
         if self.seen > 1_000_000:
             if self.missed > MISSING_SHARE * self.seen:
-                self.cache = {}
+                self.cache, self.hot = {}, {}
             self.seen = self.missed = 0
 
     def encode(self, text: str) -> bytes:
@@ -105,10 +134,16 @@ class CachedTokenizer:
             if _latin(text):
                 text = text.lower()
             first, rest = "", text.replace("\n", " ").split(" ")
-        body = list(map(self.cache.get, rest))
+        body = list(map(self.hot.get, rest))
         lacking = [i for i, x in enumerate(body) if x is None]
         if lacking:
-            self._learn(rest, body, lacking)
+            get, unknown = self.cache.get, []
+            for i in lacking:
+                x = body[i] = get(rest[i])
+                if x is None:
+                    unknown.append(i)
+            if unknown:
+                self._learn(rest, body, unknown)
         return (self.whole(first) if first else b"") + b"".join(body)
 
 
@@ -118,13 +153,6 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 PROBES = 50
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class ByteLevelTokenizer:
     """The ids that the tokenizers library gives for a byte-level BPE file, by tiktoken's faster merge loop.
 
@@ -166,3 +194,103 @@ def tokenizer(path: str, byte_level: bool) -> CachedTokenizer | ByteLevelTokeniz
     if key not in _made:
         _made[key] = ByteLevelTokenizer(path) if byte_level else CachedTokenizer(path, lead_space=False)
     return _made[key]
+
+
+class BatchEncoder:
+    """Ids of whole Arrow batches for vocabularies that drop white space and case.
+
+    Texts in Latin-1 are cut into words and runs of marks with array operations, at places where a token always ends; each
+    distinct piece of a slice is looked up once, by its hash, and the ids are put together by a gather.  Other texts are
+    encoded one by one.
+    """
+
+    def __init__(self, path: str):
+        self.slow = CachedTokenizer(path, lead_space=False)
+        self.known: dict[int, bytes] = {}
+
+    def encode(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        data, offsets = buffers(column)
+        for a, b in slices(offsets):
+            yield from self._slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+    def _pieces(self, hashes: np.ndarray, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Ids of distinct pieces; `at` gives a place of each."""
+        got = list(map(self.known.get, hashes.tolist()))
+        new = [i for i, x in enumerate(got) if x is None]
+        if new:
+            words = [data[s:e].tobytes().decode() for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            ids = self.slow._many(words)
+            for i, w in zip(new, words, strict=True):
+                got[i] = ids[w]
+            if len(self.known) + len(new) <= KNOWN_PIECES:
+                self.known.update(zip(hashes[new].tolist(), [got[i] for i in new], strict=True))
+            elif len(new) > 0.7 * len(got):  # other texts than those learned from
+                self.known = dict(zip(hashes.tolist(), got, strict=True))
+        return got
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        rows, n = len(offsets) - 1, len(data)
+        if n == 0:
+            return [b""] * rows
+        seen = np.concatenate([[0], np.cumsum(data > 0xC3)])
+        latin = seen[offsets[1:]] == seen[offsets[:-1]]
+        low = LOWER[data]
+        lead = low == 0xC3
+        trail = np.concatenate([[False], lead[:-1]])
+        low[trail & (low >= 0x80) & (low <= 0x9E) & (low != 0x97)] += 0x20
+        kind = _KIND[low]
+        kind[lead | trail] = 1
+        odd = np.flatnonzero(trail & ((low == 0x97) | (low == 0xB7)))  # signs of multiplication and division
+        kind[odd] = kind[odd - 1] = 0
+        word = (low != 32) & (low != 10)
+        turn = np.zeros(n, bool)
+        turn[1:] = kind[1:] * kind[:-1] == 2  # a letter beside a mark
+        turn[offsets[(offsets > 0) & (offsets < n)]] = True
+        starts = np.flatnonzero(word & (turn | ~np.concatenate([[False], word[:-1]])))
+        ends = np.flatnonzero(word & (np.append(turn[1:], True) | ~np.append(word[1:], False))) + 1
+        first = np.searchsorted(starts, offsets)
+        hashes, at, where = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        if not latin.all():  # pieces of other texts aren't looked up
+            mine = np.zeros(len(hashes), bool)
+            mine[where[np.repeat(latin, np.diff(first))]] = True
+        else:
+            mine = np.ones(len(hashes), bool)
+        kept = np.flatnonzero(mine)
+        # a place in a Latin text
+        if len(kept) < len(hashes):
+            ok = np.flatnonzero(np.repeat(latin, np.diff(first)))
+            at[where[ok]] = ok
+        got = self._pieces(hashes[kept], at[kept], low, starts, ends) if len(kept) else []
+        size, begin = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        size[kept] = [len(x) // 4 for x in got]
+        begin[kept] = np.cumsum(size[kept]) - size[kept]
+        flat = np.frombuffer(b"".join(got), "<u4")
+        count = size[where]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(begin[where] - total[:-1], count) + np.arange(total[-1])].tobytes()
+        cut = (4 * total[first]).tolist()
+        out = [ids[a:b] for a, b in zip(cut, cut[1:])]
+        for d in np.flatnonzero(~latin):
+            out[d] = self.slow.encode(data[offsets[d] : offsets[d + 1]].tobytes().decode())
+        return out
+
+
+def _kinds() -> np.ndarray:
+    """1: lower-case ASCII letters; 2: ASCII marks but the apostrophe, which may begin a token with letters; 0: others."""
+    kind = np.zeros(256, np.uint8)
+    kind[33:127] = 2
+    kind[[*range(48, 58), 39]] = 0
+    kind[97:123] = 1
+    return kind
+
+
+_KIND = _kinds()
+_batch: dict[str, BatchEncoder] = {}
+
+
+def batch_encoder(path: str) -> BatchEncoder:
+    """One for each worker process."""
+    if path not in _batch:
+        _batch[path] = BatchEncoder(path)
+    return _batch[path]
