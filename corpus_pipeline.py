@@ -13,7 +13,7 @@ from graphloom.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of which no language makes up half, go."""
+    """Documents without letters, or of which no language makes up a fair share, go."""
     return language_id.stage(spark, docs, sf_dir)
 
 

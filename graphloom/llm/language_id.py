@@ -236,7 +236,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 #: A document of which no language makes up this share is rejected, as is one without letters.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.35
 
 
 def stage(spark, documents: DataFrame, sf_dir: str) -> DataFrame:
