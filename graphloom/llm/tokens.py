@@ -98,11 +98,11 @@ class CachedTokenizer:
 
     def _learn(self, rest: list[str], body: list, lacking: list[int]) -> None:
         """Fill in the ids of pieces that the cache lacks, and keep them while there is room."""
-        if not self.lead:  # a letter and the mark behind it are always apart
+        if not self.lead:  # an ASCII letter and the mark behind it are always apart
             left = []
             for i in lacking:
                 p = rest[i]
-                x = (self.hot.get(p[:-1]) or self.cache.get(p[:-1])) if p[-1:] in ".," and p[-2:-1].isalpha() else None
+                x = (self.hot.get(p[:-1]) or self.cache.get(p[:-1])) if p[-1:] in ".," and p[-2:-1].isascii() and p[-2:-1].isalpha() else None
                 if x is None:
                     left.append(i)
                 else:
