@@ -105,7 +105,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(top["h"].to_numpy()) if top.num_rows else np.zeros(0, np.int64)
 
 
-DOCUMENT = "doc_id long, node long, n long, known long, last long, prefix array<long>, frequent array<long>"
+DOCUMENT = "doc_id long, tag long, node long, n long, known long, last long, prefix array<long>, frequent array<long>"
 
 
 def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
@@ -116,7 +116,7 @@ def prefix_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """One row for each document with its set's size, hash (`node`), and prefix in the global order.
 
     known: how many shingles the prefix shows up to its end; `last` is that end.  If frequent shingles reach into the prefix (the
-    node is odd then), all others lie in it, and known is their number.
+    node is odd then), all others lie in it, and known is their number.  tag: a hash of the text.
     """
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT longs
 
@@ -156,13 +156,13 @@ def prefix_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 node = (_signed(node) & ~np.int64(1)) | reach.astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(a, rows).cast(pa.int64()), pa.array(node), pa.array(n.astype(np.int64)), pa.array(np.where(reach, cold, length).astype(np.int64)), pa.array(last),
+                        ids.slice(a, rows).cast(pa.int64()), batch.column(2).slice(a, rows), pa.array(node), pa.array(n.astype(np.int64)), pa.array(np.where(reach, cold, length).astype(np.int64)), pa.array(last),
                         _lists(h[plain], doc2[plain], rows), _lists(h[often], doc2[often], rows),
                     ],
-                    names=["doc_id", "node", "n", "known", "last", "prefix", "frequent"],
+                    names=["doc_id", "tag", "node", "n", "known", "last", "prefix", "frequent"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, DOCUMENT)
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, DOCUMENT)
 
 
 def fragment_pairs(postings: DataFrame, partitions: int) -> DataFrame:
@@ -338,7 +338,10 @@ def rest_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFram
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) for each row of docs (doc_id, text)."""
+    """(doc_id, tag, n_shingles, component_id, component) for each row of docs (doc_id, text).
+
+    tag: a hash of the text; component: the component's node, which tells components apart whatever the ids.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = materialize(prefix_table(docs, frequent_shingles(docs)).withColumn("row", F.monotonically_increasing_id()), "prefixes")
@@ -384,9 +387,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # back to documents
     placed = classes.join(F.broadcast(comps) if written_bytes(comps) <= BROADCAST_BYTES else comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     grouped = placed.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("least_id").alias("component"), F.count("*").alias("nodes"), F.sum("copies").alias("rows")).filter("rows > 1")
-    labels = materialize(placed.select("node", "comp").join(grouped.select("comp", "component"), "comp").select("node", "component"), "labels")
-    out = join_small(table.select("doc_id", "node", "n", "row"), labels, "node", "left", F.col("row"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    labels = materialize(placed.select("node", "comp").join(grouped.select("comp", "component"), "comp").select("node", "comp", "component"), "labels")
+    out = join_small(table.select("doc_id", "tag", "node", "n", "row"), labels, "node", "left", F.col("row"))
+    component_id = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("component"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,17 +400,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays (of equal ids the one with the smallest text hash), with its own columns."""
+    """Pipeline stage: of each component one row stays, with its own columns: that with the smallest doc_id, then text hash, nulls last.
+
+    Rows without words are linked with nothing and all stay.
+    """
     columns = documents.columns
     renamed = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     doc_id, text = f"c{columns.index('doc_id')}", f"c{columns.index('text')}"
-    found = jaccard_components(documents.select("doc_id", "text"))
-    # rows that go: ids whose component has a smaller one
-    gone = materialize(found.filter("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.coalesce("doc_id", F.lit(-1)).alias("__gl_id")).groupBy("__gl_id").count(), "gone")
-    # equal rows of one id are one document
-    twice = renamed.groupBy(doc_id).count().filter("count > 1").select(doc_id)
-    keyed = renamed.withColumn("__gl_id", F.coalesce(F.col(doc_id), F.lit(-1)))
-    stay = join_small(keyed, gone, "__gl_id", "left_anti")
-    several = stay.join(twice, stay[doc_id].eqNullSafe(twice[doc_id]), "left_semi").dropDuplicates([doc_id, text])
-    single = stay.join(twice, stay[doc_id].eqNullSafe(twice[doc_id]), "left_anti")
-    return single.unionByName(several).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    kind = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "tag")
+    found = materialize(jaccard_components(documents.select("doc_id", "text")).filter("component is not null").withColumn("kind", kind), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "kind"))
+    winners = found.groupBy("component").agg(first.alias("w"), F.count("*").alias("rows")).filter("rows > 1").select("component", F.col("w.kind").alias("winner"))
+    marked = join_small(found, materialize(winners, "winners"), "component", "inner", F.col("kind"))
+    gone = materialize(marked.filter("kind <> winner").select(F.col("kind").alias("__gl_kind")).distinct(), "gone")
+    # equal rows of one document, of which one stays
+    twice = materialize(marked.filter("kind = winner").groupBy(F.col("kind").alias("__gl_kind")).count().filter("count > 1").select("__gl_kind", F.lit(True).alias("__gl_twice")), "twice")
+    key = F.col(doc_id).cast("long")
+    keyed = renamed.withColumn("__gl_kind", F.xxhash64(F.coalesce(key, F.lit(-1)), key.isNull(), F.xxhash64(text)))
+    stay = join_small(join_small(keyed, gone, "__gl_kind", "left_anti", F.col(text)), twice, "__gl_kind", "left", F.col(text))
+    once = stay.filter("__gl_twice").dropDuplicates(["__gl_kind"])
+    return stay.filter("__gl_twice is null").unionByName(once).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
