@@ -141,20 +141,23 @@ def prepared(c: Criterion, arcs: DataFrame, nodes: DataFrame) -> tuple[DataFrame
     return arcs, sums.crossJoin(F.broadcast(mx)).crossJoin(F.broadcast(n))
 
 
-def score(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, digits: int | None = 9, **options) -> DataFrame:
-    """One row: criterion and its value q, rounded to `digits`; 0 where it is undefined (no arcs)."""
+def score(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, digits: int | None = 9, sums: DataFrame | None = None, **options) -> DataFrame:
+    """One row: criterion and its value q, rounded to `digits`; 0 where it is undefined (no arcs).
+
+    sums: given if the arcs are prepared ones, or contracted from such.
+    """
     c = criterion(which)
-    arcs, sums = prepared(c, arcs, nodes)
+    arcs, sums = prepared(c, arcs, nodes) if sums is None else (arcs, sums)
     stats = graph.community_stats(arcs, nodes, labels).withColumnRenamed("node_w", "cw").crossJoin(F.broadcast(sums))
     got = stats.agg(c.score(parameters(**options)).alias("total"), F.first(c.scale()).alias("scale"))
     q = F.when(F.coalesce(C("scale"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise(C("total") / C("scale"))
     return got.select(F.lit(c.name).alias("criterion"), (q if digits is None else F.round(q, digits)).alias("q"))
 
 
-def gains(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, digits: int | None = 9, **options) -> DataFrame:
+def gains(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, digits: int | None = 9, sums: DataFrame | None = None, **options) -> DataFrame:
     """(id, comm, gain): for each vertex and adjacent community, its own included, with the vertex taken out first."""
     c = criterion(which)
-    arcs, sums = prepared(c, arcs, nodes)
+    arcs, sums = prepared(c, arcs, nodes) if sums is None else (arcs, sums)
     stats = graph.community_stats(arcs, nodes, labels)
     d = graph.degrees(arcs, nodes).select("id", C("weighted_degree").alias("k"), C("loop_w").alias("s"))
     vertex = d.join(nodes.select("id", C("node_w").alias("u")), "id").join(labels.select("id", C("comm").alias("own")), "id")
@@ -175,6 +178,18 @@ def gains(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame
     return rows.select("id", "comm", (gain if digits is None else F.round(gain, digits)).alias("gain"))
 
 
+def best_moves(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, sums: DataFrame, who: DataFrame, **options) -> DataFrame:
+    """(id, comm): for the vertices in `who`, the community with the largest gain over their own, the lower id first among equals."""
+    rows = gains(which, arcs, nodes, labels, None, sums, **options)
+    rows = rows.join(who.select("id"), "id", "left_semi").join(labels.select("id", C("comm").alias("own")), "id")
+    sizes = labels.groupBy("comm").agg(F.count("*").alias("size"))
+    rows = rows.join(sizes, "comm").join(sizes.select(C("comm").alias("own"), C("size").alias("own_size")), "own")
+    mine = rows.filter("comm = own").select("id", C("gain").alias("stay"))
+    other = rows.filter((C("comm") != C("own")) & ((C("comm") < C("own")) | (C("size") > 1) | (C("own_size") > 1))).join(mine, "id")
+    net = other.withColumn("net", F.round(C("gain") - C("stay"), 9)).filter("net > 0")
+    return net.groupBy("id").agg(F.max(F.struct("net", (-C("comm")).alias("minus"))).alias("b")).select("id", (-C("b.minus")).alias("comm"))
+
+
 #: ΔQ of a move = factor * (gain of the new community - gain of the old one).
 def move_factor(which: int | str) -> Callable[[float, float, float], float]:
     """(m2, n, mx) -> the factor between a difference of gains and the change of the score."""

@@ -1,7 +1,7 @@
 """Community detection and its upkeep over steps of changes.
 
 A level runs as DataFrame jobs, one for each non-empty degree bucket.  Once a graph has at most `local_arcs` arcs, the
-rest of the level loop runs on arrays in a single task (functions.local_louvain); the bound is checked before.
+rest of the level loop runs on arrays in a single task (functions.local_louvain); the bound, also on vertices, is checked before.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.functions import local_louvain
+from graphloom.functions import local_louvain, quality
 from graphloom.operators import dynamic, graph, louvain
 from graphloom.plans.metrics import Timer
 from graphloom.plans.store import materialize
@@ -23,7 +23,7 @@ C = F.col
 
 #: Stop a level when a pass gains less (fixed value, the usual default).
 MIN_GAIN = 0.001
-#: Arcs that a single task may hold (about 40 bytes each).
+#: Arcs, and vertices, that a single task may hold (about 40 bytes each).
 LOCAL_ARCS = 2_000_000
 MAX_PASSES = 100
 
@@ -109,7 +109,7 @@ def detect(arcs: DataFrame, nodes: DataFrame, labels: DataFrame | None = None, s
     hierarchy, metrics, level, flat, warm = None, [], 0, None, labels is not None
     while level < max_levels:
         n_arcs = arcs.count()
-        if n_arcs <= local_arcs:
+        if n_arcs <= local_arcs and nodes.count() <= local_arcs:
             rest, more = _local_levels(spark, arcs, nodes, labels, subset, options | {"max_levels": max_levels - level})
             rest = rest.withColumn("level", C("level") + level)
             hierarchy = rest if hierarchy is None else hierarchy.unionByName(rest)
@@ -133,6 +133,48 @@ def detect(arcs: DataFrame, nodes: DataFrame, labels: DataFrame | None = None, s
     return Result(materialize(flat.select("id", "comm"), "communities"), hierarchy, metrics)
 
 
+def detect_by(which: int | str, arcs: DataFrame, nodes: DataFrame, min_gain: float = MIN_GAIN, max_passes: int = MAX_PASSES, max_levels: int = 100, **options) -> Result:
+    """The level loop under any of the ten criteria, as DataFrame jobs.
+
+    The graph is prepared (loops, new weights) once, on the original vertices; its totals hold on all levels.
+    """
+    c = quality.criterion(which)
+    arcs, sums = quality.prepared(c, arcs, nodes)
+    arcs, sums = materialize(arcs, "arcs"), materialize(sums, "sums")
+    value = lambda labels: quality.score(which, arcs, nodes, labels, None, sums, **options).first()["q"]
+    hierarchy, metrics, flat = None, [], None
+    for level in range(max_levels):
+        labels = materialize(louvain.identity_labels(nodes), "labels")
+        vertices = materialize(louvain.degree_buckets(arcs, nodes), "buckets")
+        buckets = [r["bucket"] for r in vertices.filter("bucket > 0").select("bucket").distinct().orderBy("bucket").collect()]
+        q, improved, passes = value(labels), False, 0
+        while passes < max_passes:
+            before = labels
+            for b in buckets:
+                moves = quality.best_moves(which, arcs, nodes, labels, sums, vertices.filter(C("bucket") == b), **options)
+                labels = materialize(louvain.apply_moves(labels, moves), "labels")
+            passes += 1
+            now = value(labels)
+            if now < q:  # moves of one bucket can spoil each other's gains: the pass is undone
+                labels = before
+                break
+            improved |= now > q
+            stop = now - q < min_gain
+            q = now
+            if stop:
+                break
+        smaller, weights, dense = louvain.contract(arcs, nodes, labels)
+        dense = materialize(dense, "dense")
+        metrics.append({"level": level, "nodes": nodes.count(), "arcs": arcs.count(), "passes": passes, "quality": q})
+        part = dense.select(F.lit(level).alias("level"), C("id").alias("node"), "comm")
+        hierarchy = part if hierarchy is None else hierarchy.unionByName(part)
+        flat = dense if flat is None else materialize(louvain.compose(flat, dense), "flat")
+        if not improved:
+            break
+        arcs, nodes = materialize(smaller, "arcs"), materialize(weights, "nodes")
+    return Result(materialize(flat.select("id", "comm"), "communities"), hierarchy, metrics)
+
+
 MODES = ("delta", "full", "static")
 
 
