@@ -24,8 +24,10 @@ TOKEN_CHARS = 24
 SKETCH = 64
 #: Bits of an anchor's place; its hash has the other 40.
 PLACE_BITS = 23
-#: Ranges of doc_id at most; their bounds are held in the plan.
-MOST_RANGES = 10_000
+#: Ranges of doc_id for each shuffle partition: several small ones even out what tasks get.
+RANGES = 4
+#: Ranges at most; their bounds (8 bytes each) are held in the plan.
+MOST_RANGES = 100_000
 _FIRST = -(1 << 63)
 
 
@@ -58,6 +60,7 @@ def fingerprint(text: Column, sketch: int = SKETCH) -> Column:
 
         def of_mers(m: Column) -> Column:
             last = K - S
+
             def chosen(i: Column) -> Column:
                 edge = F.least(F.get(m, i), F.get(m, i + last))
                 return edge <= F.least(*[F.get(m, i + j) for j in range(1, last)])
@@ -115,11 +118,12 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
 def with_next_document(df: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, text, fp, next_text, next_fp): each document with the next one by doc_id, the last with the first."""
     spark = df.sparkSession
-    ranges = min(MOST_RANGES, ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = min(MOST_RANGES, ranges or RANGES * partitions)
     key = F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long")
     ids = df.select(key.alias("k"))
     shares = [i / ranges for i in range(1, ranges)]
-    found = ids.agg(F.percentile_approx("k", shares, max(10_000, 20 * ranges)).alias("b")).first()["b"] if shares else []
+    found = ids.agg(F.percentile_approx("k", shares, max(10_000, 10 * ranges)).alias("b")).first()["b"] if shares else []
     bounds = sorted(set(found or []))
     # one row for each range, at most MOST_RANGES
     firsts = sorted((r["r"], r["k"]) for r in ids.groupBy(_range_of(F.col("k"), bounds).alias("r")).agg(F.min("k").alias("k")).collect())
@@ -128,7 +132,7 @@ def with_next_document(df: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = df.select("doc_id", key.alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("own", _range_of(F.col("k"), bounds)).join(copies, "k", "left")
     places = F.array(F.struct(F.col("own").alias("range"), F.lit(0).alias("copy")), F.struct(F.col("before").alias("range"), F.lit(1).alias("copy")))
     places = F.when(F.col("before").isNull(), F.slice(places, 1, 1)).otherwise(places)
-    dealt = rows.withColumn("p", F.explode(places)).select("doc_id", "k", "text", "p.range", "p.copy").repartition(ranges, "range")
+    dealt = rows.withColumn("p", F.explode(places)).select("doc_id", "k", "text", "p.range", "p.copy").repartition(min(ranges, partitions), "range")
     marked = dealt.withColumn("fp", fingerprint(F.col("text"))).withColumn("tie", F.xxhash64("text"))
     w = Window.partitionBy("range").orderBy("copy", "k", "tie")
     return marked.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fp", F.lead("fp").over(w)).filter("copy = 0").select("doc_id", "text", "fp", "next_text", "next_fp")
