@@ -51,8 +51,8 @@ def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(at, values, n) if values.dtype.kind == "f" else _int_sums(at, values, n)
 
 
-def best_moves(g: Graph, labels: np.ndarray, who: np.ndarray, tot: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(vertices that move, their new communities) among `who`, against the given snapshot."""
+def best_moves(g: Graph, labels: np.ndarray, who: np.ndarray, tot: np.ndarray, size: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices that move, their new communities) among `who`, against the given snapshot; only: allowed vertex * n + community."""
     count = g.degree[who]
     arc = np.repeat(g.first[who] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     v, t, w = g.src[arc], g.dst[arc], g.w[arc]
@@ -70,6 +70,8 @@ def best_moves(g: Graph, labels: np.ndarray, who: np.ndarray, tot: np.ndarray, s
     mine = c == cur
     own[v[mine]] = e[mine]
     allowed = ~mine & ((c < cur) | (size[c] > 1) | (size[cur] > 1))
+    if only is not None:
+        allowed &= np.isin(v.astype(np.int64) * g.n + c, only)
     v, c, e, cur = v[allowed], c[allowed], e[allowed], cur[allowed]
     k = g.k[v]
     if g.exact and int(g.m2) * int(g.m2) > 2**62:
@@ -119,6 +121,25 @@ def one_level(g: Graph, labels: np.ndarray, subset: np.ndarray | None, min_gain:
     return labels, improved, passes
 
 
+def screen(g: Graph, labels: np.ndarray, v: np.ndarray, t: np.ndarray, added: bool) -> np.ndarray:
+    """Mask of the vertices to re-evaluate after changed edges (v, t), given in both directions: as in operators.dynamic."""
+    if added:
+        who = np.unique(v)
+        top = max(g.n, int(labels.max()) + 1)
+        only = np.unique(v.astype(np.int64) * g.n + labels[t])
+        marked, flagged = best_moves(g, labels, who, _sums(labels, g.k, top), np.bincount(labels, minlength=top), only) if len(who) else (who, who)
+    else:
+        same = labels[v] == labels[t]
+        marked = np.unique(v[same])
+        flagged = labels[marked]
+    out = np.isin(labels, flagged)
+    out[marked] = True
+    near = np.zeros(g.n, bool)
+    near[marked] = True
+    out[g.dst[near[g.src]]] = True
+    return out
+
+
 def contract(g: Graph, labels: np.ndarray) -> tuple[Graph, np.ndarray]:
     """(graph of communities, numbered from 0 in ascending order of their ids; the new number of each vertex)."""
     ids, dense = np.unique(labels, return_inverse=True)

@@ -44,14 +44,20 @@ class Result:
 _LOCAL = "kind int, level int, a long, b long, x double"
 
 
-def _local_levels(spark: SparkSession, arcs: DataFrame, nodes: DataFrame, labels: DataFrame | None, subset: DataFrame | None, options: dict) -> tuple[DataFrame, list[dict]]:
-    """(hierarchy, metrics) of a graph that fits one task; ids may be any integers."""
+def _local_levels(spark: SparkSession, arcs: DataFrame, nodes: DataFrame, labels: DataFrame | None, subset: DataFrame | None, options: dict, changed: tuple[str, DataFrame] | None = None) -> tuple[DataFrame, list[dict]]:
+    """(hierarchy, metrics) of a graph that fits one task; ids may be any integers.
+
+    changed: ("add" or "del", edges) to screen first; metrics then hold r_size, and there are no levels if it is 0.
+    """
     rows = arcs.select(F.lit(0).alias("kind"), C("src").alias("a"), C("dst").alias("b"), C("w").cast("double").alias("x"))
     rows = rows.unionByName(nodes.select(F.lit(1).alias("kind"), C("id").alias("a"), C("node_w").cast("long").alias("b"), F.lit(0.0).alias("x")))
     if labels is not None:
         rows = rows.unionByName(labels.select(F.lit(2).alias("kind"), C("id").alias("a"), C("comm").alias("b"), F.lit(0.0).alias("x")))
     if subset is not None:
         rows = rows.unionByName(subset.select(F.lit(3).alias("kind"), C("id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("x")))
+    if changed is not None:
+        rows = rows.unionByName(changed[1].select(F.lit(4).alias("kind"), C("src").cast("long").alias("a"), C("dst").cast("long").alias("b"), F.lit(0.0).alias("x")))
+    op = None if changed is None else changed[0]
     warm, screened, whole = labels is not None, subset is not None, dict(arcs.dtypes)["w"] not in ("double", "float")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +78,13 @@ def _local_levels(spark: SparkSession, arcs: DataFrame, nodes: DataFrame, labels
         if screened:
             chosen = np.zeros(len(ids), bool)
             chosen[at(a[kind == 3])] = True
-        levels, metrics = local_louvain.louvain(g, start, chosen, **options)
+        r_size = len(ids)
+        if op is not None:
+            v, t = at(a[kind == 4]), at(b[kind == 4])
+            chosen = local_louvain.screen(g, start, np.concatenate([v, t]), np.concatenate([t, v]), op == "add")
+            r_size = int(chosen.sum())
+        levels, metrics = local_louvain.louvain(g, start, chosen, **options) if r_size or op is None else ([], [{"level": -1, "nodes": len(ids), "arcs": len(g.src), "passes": 0, "quality": g.quality(start)}])
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (np.int32(-1), np.int32(0), np.int64(r_size), np.int64(0), 0.0)], names=["kind", "level", "a", "b", "x"])
         for i, dense in enumerate(levels):
             node = ids if i == 0 else np.arange(len(dense))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(dense), np.int32)), pa.array(np.full(len(dense), i, np.int32)), pa.array(node.astype(np.int64)), pa.array(dense.astype(np.int64)), pa.array(np.zeros(len(dense)))], names=["kind", "level", "a", "b", "x"])
@@ -80,10 +92,21 @@ def _local_levels(spark: SparkSession, arcs: DataFrame, nodes: DataFrame, labels
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (np.int32(m["passes"] + 1), np.int32(m["level"]), np.int64(m["nodes"]), np.int64(m["arcs"]), float(m["quality"]))], names=["kind", "level", "a", "b", "x"])
 
     out = materialize(rows.coalesce(1).mapInArrow(run, _LOCAL), "levels")
-    metrics = [{"level": r["level"], "nodes": r["a"], "arcs": r["b"], "passes": r["kind"] - 1, "quality": r["x"]} for r in out.filter("kind > 0").orderBy("level").collect()]
+    said = out.filter("kind <> 0").orderBy("level").collect()
+    r_size = next(r["a"] for r in said if r["kind"] == -1)
+    metrics = [{"level": r["level"], "nodes": r["a"], "arcs": r["b"], "passes": r["kind"] - 1, "quality": r["x"], "r_size": r_size} for r in said if r["kind"] > 0]
     return out.filter("kind = 0").select("level", C("a").alias("node"), C("b").alias("comm")), metrics
 
 
+def _flat(levels: DataFrame, metrics: list[dict]) -> DataFrame:
+    """Labels of the original vertices through all levels."""
+    flat = None
+    for m in metrics:
+        part = levels.filter(C("level") == m["level"]).select(C("node").alias("id"), "comm")
+        flat = part if flat is None else louvain.compose(flat, part)
+    return flat
+
+
 def run_level(arcs: DataFrame, nodes: DataFrame, labels: DataFrame, subset: DataFrame | None = None, min_gain: float = MIN_GAIN, max_passes: int = MAX_PASSES, on_bad_pass: str = "keep") -> tuple[DataFrame, bool, int, float]:
     """(labels, whether a pass gained, passes, quality): passes over the buckets as DataFrame jobs."""
     q, improved, passes = louvain.modularity(arcs, labels), False, 0
@@ -210,9 +233,17 @@ def half_step(arcs: DataFrame, nodes: DataFrame, labels: DataFrame, changes: Dat
         arcs = materialize(dynamic.apply_adds(arcs, changes, weighted), "arcs")
         nodes = materialize(dynamic.all_vertices(arcs, nodes), "nodes")
         labels = materialize(dynamic.seed_new_vertices(arcs, nodes, labels), "labels")
-    n = nodes.count()
+    n, n_arcs = nodes.count(), arcs.count()
     screen = Timer()
     subset, r_size = None, n
+    if mode == "delta" and max(n, n_arcs) <= options.get("local_arcs", LOCAL_ARCS):
+        # screened and re-evaluated in one task
+        kept = {k: v for k, v in options.items() if k != "local_arcs"}
+        levels, metrics = _local_levels(arcs.sparkSession, arcs, nodes, labels, None, kept, (op, removed if op == "del" else changes))
+        r_size = metrics[0]["r_size"]
+        if r_size:
+            labels = materialize(_flat(levels, metrics), "communities")
+        return arcs, nodes, labels, Step(step, op, n, n_arcs, r_size, metrics[-1]["quality"], len(metrics) if r_size else 0, 1000 * (time.time() - began), 0.0)
     if mode == "delta":
         with screen:
             screened = dynamic.screen_del(arcs, labels, removed) if op == "del" else dynamic.screen_add(arcs, nodes, labels, changes)
@@ -220,9 +251,9 @@ def half_step(arcs: DataFrame, nodes: DataFrame, labels: DataFrame, changes: Dat
             r_size = subset.count()
     if r_size == 0:  # nothing to re-evaluate: the labels carry over
         q = louvain.modularity(arcs, labels)
-        return arcs, nodes, labels, Step(step, op, n, arcs.count(), 0, q, 0, 1000 * (time.time() - began), screen.ms)
+        return arcs, nodes, labels, Step(step, op, n, n_arcs, 0, q, 0, 1000 * (time.time() - began), screen.ms)
     got = detect(arcs, nodes, None if mode == "static" else labels, subset, **options)
-    return arcs, nodes, got.labels, Step(step, op, n, arcs.count(), r_size, got.quality, len(got.metrics), 1000 * (time.time() - began), screen.ms)
+    return arcs, nodes, got.labels, Step(step, op, n, n_arcs, r_size, got.quality, len(got.metrics), 1000 * (time.time() - began), screen.ms)
 
 
 def run_steps(arcs: DataFrame, nodes: DataFrame, changes: DataFrame, steps: int, mode: str = "delta", weighted: bool = False, labels: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame, list[Step]]:

@@ -300,3 +300,11 @@ def test_timers():
             pass
     assert [(d, n) for d, n, _, _ in t.tree()] == [(0, "all"), (1, "part")]
     assert t.summary()["all"][0] == 1
+
+
+def test_screening_on_arrays_and_dataframes_agree(spark, toy):
+    labels = materialize(labels_frame(spark, P), "labels")
+    for op in ("del", "add"):
+        batch = tables.toy_changes(spark).filter(f"step = 0 and op = '{op}'")
+        reports = [run.half_step(*toy, labels, batch, op, local_arcs=n)[3] for n in (run.LOCAL_ARCS, 0)]
+        assert (reports[0].r_size, reports[0].quality) == (reports[1].r_size, pytest.approx(reports[1].quality))
