@@ -3,15 +3,15 @@
 A text's tokens are hashed; every K consecutive tokens are a k-mer.  A k-mer is chosen if the smallest of its
 inner s-mers (S tokens) is its first or its last one.  The choice depends on the k-mer alone, so the same passage
 gives the same anchors wherever it stands (closed syncmers; Edgar 2021).  An anchor is its hash and its place.
-The fingerprint holds the SKETCH anchors with the smallest hashes of all the text's anchors; from two fingerprints
-follow their likeness (Jaccard similarity of the anchor sets, exact up to SKETCH anchors) and the places that match.
+The fingerprint holds all anchors of the text, at each of their places; from two fingerprints follow their likeness
+(Jaccard similarity of the sets of anchor hashes) and the places that match.
 
 Documents are neighbours in ascending order of doc_id.  Ranges of doc_id are dealt to tasks, and the first document
 of each range is also sent to the range before it, so one shuffle of the texts pairs all neighbours.
 
 Defined cases: null text is empty, an empty text has an empty fingerprint and is alike (1) to another empty
-one; texts of fewer than K tokens have one anchor, the whole sequence; tokens longer than TOKEN_CHARS are cut; null
-ids come first; rows of one doc_id stand in the order of a hash of their texts; a single document is its own
+one; texts of fewer than K tokens have one anchor, the whole sequence; tokens longer than TOKEN_CHARS are cut; places
+from 2^PLACE_BITS - 1 on are given as that; null ids come first; rows of one doc_id stand in the order of a hash of their texts; a single document is its own
 next one; an empty table gives an empty result.
 """
 
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 K, S = 5, 2
 TOKEN_CHARS = 24
-SKETCH = 64
 #: Bits of an anchor's place; its hash has the other 40.
 PLACE_BITS = 23
 #: Ranges of doc_id for each shuffle partition: several small ones even out what tasks get.
@@ -49,8 +48,8 @@ def anchor_place(anchor: Column) -> Column:
     return anchor.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
 
 
-def fingerprint(text: Column, sketch: int = SKETCH) -> Column:
-    """array<long> of packed anchors with distinct hashes, in ascending order."""
+def fingerprint(text: Column, sketch: int | None = None) -> Column:
+    """array<long> of all packed anchors, in ascending order; with `sketch`, the first place of so many smallest hashes."""
     tokens = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN_CHARS), F.lit(0))
     hashes = F.transform(tokens, lambda w: F.xxhash64(w))
 
@@ -77,26 +76,44 @@ def fingerprint(text: Column, sketch: int = SKETCH) -> Column:
     def distinct(a: Column) -> Column:
         return F.filter(a, lambda x, i: (i == 0) | (anchor_hash(x) != anchor_hash(F.get(a, i - 1))))
 
-    return F.slice(_bind(F.sort_array(_bind(hashes, of_hashes)), distinct), 1, sketch)
+    every = F.sort_array(_bind(hashes, of_hashes))
+    return every if sketch is None else F.slice(_bind(every, distinct), 1, sketch)
 
 
-def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """Jaccard similarity of the anchor sets from two fingerprints; 1 for two empty ones."""
+def likeness(a: Column, b: Column, sketch: int | None = None) -> Column:
+    """Jaccard similarity of the sets of anchor hashes, 1 for two empty ones; with `sketch`, over so many smallest hashes."""
 
     def of_two(x: Column) -> Column:
-        ha, hb = F.transform(x["a"], anchor_hash), F.transform(x["b"], anchor_hash)
-        smallest = F.slice(F.sort_array(F.array_union(ha, hb)), 1, sketch)
-        return _bind(smallest, lambda u: F.size(F.array_intersect(F.array_intersect(u, ha), hb)) / F.size(u))
+        union, shared = F.array_union(x["a"], x["b"]), F.array_intersect(x["a"], x["b"])
+        if sketch is None:
+            return F.size(shared) / F.size(union)
+        return _bind(F.slice(F.sort_array(union), 1, sketch), lambda u: F.size(F.array_intersect(u, shared)) / F.size(u))
 
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_bind(F.struct(a.alias("a"), b.alias("b")), of_two))
+    hashes = F.struct(F.transform(a, anchor_hash).alias("a"), F.transform(b, anchor_hash).alias("b"))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_bind(hashes, of_two))
+
+
+def _first_place(fp: Column, anchor: Column) -> Column:
+    """First place in a fingerprint of an anchor's hash, by binary search; null if it isn't there."""
+    least = F.shiftleft(anchor_hash(anchor), PLACE_BITS)
+    steps = F.lit([1 << i for i in range(30, -1, -1)])
+    before = F.aggregate(steps, F.lit(0), lambda at, s: F.when((s <= F.size(fp) - at) & (F.get(fp, at + s - 1) < least), at + s).otherwise(at))
+    return _bind(F.get(fp, before), lambda x: F.when(anchor_hash(x) == anchor_hash(anchor), anchor_place(x)))
 
 
 def matching_places(a: Column, b: Column) -> Column:
-    """array<struct<a, b>>: token places of the anchors that two fingerprints share, for positional matching."""
-    hb = F.transform(b, anchor_hash)
-    pairs = F.transform(a, lambda x: F.struct(anchor_place(x).alias("a"), F.array_position(hb, anchor_hash(x)).alias("at")))
-    shared = F.filter(pairs, lambda p: p["at"] > 0)
-    return F.sort_array(F.transform(shared, lambda p: F.struct(p["a"].alias("a"), anchor_place(F.get(b, p["at"].cast("int") - 1)).alias("b"))))
+    """array<struct<a, b>>: token places of the anchors that two fingerprints share, for positional matching.
+
+    Every place of a shared anchor in either text is there, a repeated one with the other text's first.
+    """
+
+    def pairs(x: Column) -> Column:
+        again = F.filter(x["b"], lambda y, i: (i > 0) & (anchor_hash(y) == anchor_hash(F.get(x["b"], i - 1))))
+        of_a = F.transform(x["a"], lambda y: F.struct(anchor_place(y).alias("a"), _first_place(x["b"], y).alias("b")))
+        of_b = F.transform(again, lambda y: F.struct(_first_place(x["a"], y).alias("a"), anchor_place(y).alias("b")))
+        return F.sort_array(F.filter(F.concat(of_a, of_b), lambda p: p["a"].isNotNull() & p["b"].isNotNull()))
+
+    return _bind(F.struct(a.alias("a"), b.alias("b")), pairs)
 
 
 def as_text(fp: Column) -> Column:

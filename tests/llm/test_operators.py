@@ -496,6 +496,30 @@ def test_fingerprint_likeness_is_jaccard(spark):
         assert r["got"] == pytest.approx(r["j"])
 
 
+def test_fingerprint_holds_all_anchors(spark):
+    """Long texts keep every anchor at every place; a changed word and a shared passage show at the operator's own setting."""
+    rng = random.Random(8)
+    passage, line = random_words(rng, 50, 100_000), random_words(rng, 9, 100_000)
+    a = f"{random_words(rng, 3000, 100_000)} {passage} {random_words(rng, 3000, 100_000)}"
+    b = f"{random_words(rng, 2000, 100_000)} {passage} {random_words(rng, 2000, 100_000)}"
+    changed = a.split(" ")
+    changed[4000] = "changed"
+    texts = [(1, a), (2, " ".join(changed)), (3, b), (4, " ".join([line] * 100))]
+    found = spark.createDataFrame(texts, "id long, text string").select("*", fingerprints.fingerprint(F.col("text")).alias("fp"), F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h"))
+    got = {r["id"]: r for r in found.withColumn("s", F.expr("transform(sequence(0, size(h) - 2), i -> xxhash64(h[i], h[i + 1]))")).collect()}
+    for r in got.values():
+        assert sorted(x & ((1 << fingerprints.PLACE_BITS) - 1) for x in r["fp"]) == syncmers(r["h"], r["s"])
+    hashes = {i: {x >> fingerprints.PLACE_BITS for x in r["fp"]} for i, r in got.items()}
+    pairs = spark.createDataFrame([(i, j, got[i]["fp"], got[j]["fp"]) for i, j in [(1, 2), (1, 3), (4, 4)]], "i long, j long, a array<long>, b array<long>")
+    out = {(r["i"], r["j"]): r for r in pairs.select("i", "j", fingerprints.likeness(F.col("a"), F.col("b")).alias("near"), fingerprints.matching_places(F.col("a"), F.col("b")).alias("m")).collect()}
+    for (i, j), r in out.items():
+        assert r["near"] == pytest.approx(len(hashes[i] & hashes[j]) / len(hashes[i] | hashes[j]))
+    assert 0.99 < out[1, 2]["near"] < 1
+    assert len(out[1, 3]["m"]) > 10 and {x["b"] - x["a"] for x in out[1, 3]["m"]} == {-1000}
+    places = set(syncmers(got[4]["h"], got[4]["s"]))
+    assert {x["a"] for x in out[4, 4]["m"]} == {x["b"] for x in out[4, 4]["m"]} == places and len(places) > 100
+
+
 def test_fingerprint_odd_rows(spark):
     got = fingerprints.fingerprint_documents(documents(spark, ODD, ("fp", "range"))).collect()
     assert len(got) == len(ODD)
