@@ -2,8 +2,9 @@
 
 A notice that may differ in at most k edits is split into k + 1 pieces; by the pigeonhole
 principle one piece stands unchanged in every match, so an exact search for the pieces loses
-nothing.  Around each hit the `regex` library matches the whole notice with at most k errors,
-at word borders, and reports the span and the edits.
+nothing.  Around the hits the `regex` library matches the whole notice with at most k errors
+against every span between word borders whose length allows it.  Where spans of one notice
+overlap the one with the fewest edits stays, then the first, then the shortest; all others are reported.
 
 Defined cases: null text counts as empty (no words, no matches); repeated rows are scanned
 each; very long texts are scanned whole; other columns pass unchanged.
@@ -12,6 +13,7 @@ each; very long texts are scanned whole; other columns pass unchanged.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -63,7 +65,8 @@ class Notice:
     label: str
     edits: int
     pieces: list[tuple[bytes, int]] = field(default_factory=list)  # (piece, its offset in the phrase)
-    pattern: regex.Pattern | None = None
+    pattern: regex.Pattern | None = None  # finds whether there is a match
+    whole: regex.Pattern | None = None  # fewest edits of a given span
 
 
 def compile_notices(notices=NOTICES, edit_chars: int = EDIT_CHARS) -> list[Notice]:
@@ -72,8 +75,8 @@ def compile_notices(notices=NOTICES, edit_chars: int = EDIT_CHARS) -> list[Notic
         k = edits[0] if edits else len(phrase) // edit_chars
         cut = [len(phrase) * i // (k + 1) for i in range(k + 2)]
         pieces = [(phrase[a:b].encode(), a) for a, b in zip(cut, cut[1:])]
-        pattern = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(phrase, literal_spaces=True)}){{e<={k}}}(?![^ ])")
-        out.append(Notice(phrase, label, k, pieces, pattern))
+        fuzzy = rf"(?:{regex.escape(phrase, literal_spaces=True)}){{e<={k}}}"
+        out.append(Notice(phrase, label, k, pieces, regex.compile(rf"(?<![^ ]){fuzzy}(?![^ ])"), regex.compile(rf"(?b){fuzzy}")))
     return out
 
 
@@ -115,6 +118,26 @@ def _windows(norm: bytes, notice: Notice) -> list[tuple[int, int]]:
     return out
 
 
+def _spans(window: str, notice: Notice) -> list[tuple[int, int, int]]:
+    """(first word, end word, edits) of the matches in a window, in order, without those that overlap a better one."""
+    if not notice.pattern.search(window):
+        return []
+    starts = [0, *(i + 1 for i, c in enumerate(window) if c == " ")]
+    ends = [*(x - 1 for x in starts[1:]), len(window)]
+    shortest, longest = len(notice.phrase) - notice.edits, len(notice.phrase) + notice.edits
+    found = []
+    for i, start in enumerate(starts):
+        for j in range(bisect_left(ends, start + shortest, i), bisect_right(ends, start + longest, i)):
+            if m := notice.whole.fullmatch(window[start : ends[j]]):
+                found.append((sum(m.fuzzy_counts), i, j + 1))
+    taken, out = bytearray(len(starts)), []
+    for edits, i, j in sorted(found):
+        if not any(taken[i:j]):
+            taken[i:j] = b"\1" * (j - i)
+            out.append((i, j, edits))
+    return sorted(out)
+
+
 def scan(norm: bytes, notices: list[Notice]) -> list[dict]:
     """All fuzzy matches of a normalized text, as spans in words with their edits."""
     out = []
@@ -123,11 +146,12 @@ def scan(norm: bytes, notices: list[Notice]) -> list[dict]:
             continue
         for a, b in _windows(norm, notice):
             window = norm[a:b].decode("utf-8", "replace")
-            for m in notice.pattern.finditer(window):
-                before = norm[:a].count(b" ") + window[: m.start()].count(" ")
+            spans = _spans(window, notice)
+            before, words = (norm.count(b" ", 0, a), window.split(" ")) if spans else (0, [])
+            for i, j, edits in spans:
                 out.append({
-                    "label": notice.label, "phrase": notice.phrase, "edits": sum(m.fuzzy_counts),
-                    "start_word": before, "end_word": before + m[0].count(" ") + 1, "text": m[0],
+                    "label": notice.label, "phrase": notice.phrase, "edits": edits,
+                    "start_word": before + i, "end_word": before + j, "text": " ".join(words[i:j]),
                 })
     return out
 

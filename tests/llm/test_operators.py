@@ -77,6 +77,46 @@ def test_license_pigeonhole_loses_no_match():
         assert {m["label"] for m in license_scan.scan(norm, compiled)} == whole
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def license_spans(text, notice):
+    """(first word, end word, edits) from all runs of words, the best of those that overlap."""
+    words, found = text.split(" "), []
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            span = " ".join(words[i:j])
+            if abs(len(span) - len(notice.phrase)) <= notice.edits and (d := levenshtein(span, notice.phrase)) <= notice.edits:
+                found.append((d, i, j))
+    out = []
+    for d, i, j in sorted(found):
+        if all(j <= x or y <= i for x, y, _ in out):
+            out.append((i, j, d))
+    return sorted(out)
+
+
+def test_license_notices_close_together():
+    """Notices with more edits before a better one are found; all spans are those of brute force over all runs of words."""
+    compiled = license_scan.compile_notices()
+    spans = lambda text, phrase: [(m["start_word"], m["end_word"], m["edits"]) for m in license_scan.scan(license_scan.normalize(text), compiled) if m["phrase"] == phrase]
+    assert len(spans("mit licence " * 50 + "mit license", "mit license")) == 51
+    assert spans("the apache licence or apache license applies", "apache license") == [(1, 3, 1), (4, 6, 0)]
+    rng = random.Random(7)
+    for _ in range(40):
+        some = rng.sample(license_scan.NOTICES, 2)
+        text = " ".join(rng.choice([edited(rng, rng.choice(some)[0], rng.randrange(4)), edited(rng, rng.choice(some)[0], 1), random_words(rng, rng.randrange(1, 4))]) for _ in range(12))
+        norm = license_scan.normalize(text).decode()
+        for notice in compiled:
+            if notice.phrase in (some[0][0], some[1][0]):
+                assert spans(norm, notice.phrase) == license_spans(norm, notice)
+
+
 def test_license_spans_and_odd_rows(spark):
     rows = [*ODD, (20, "A GNU Genral Public Licence. And the MIT License; all rights reserved"), (21, "the mit license mit license")]
     df = license_scan.scan_licenses(documents(spark, rows, ("score", "matches")))
