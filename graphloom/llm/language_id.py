@@ -3,7 +3,7 @@
 Training counts hashed byte n-grams of labelled texts by language.  A document is taken as a
 mixture: each of its words was drawn from one language, with a likelihood that is the product of
 its n-grams' probabilities.  Expectation-maximisation estimates the proportions; the language set
-is grown from the best single language as long as the penalised likelihood (BIC) rises.
+is the one of highest penalised likelihood (BIC) of all sizes, from the best single language to all learned ones.
 
 Training may use a bounded sample of labelled rows (`sample_rows`, `sample_bytes` of text for each
 language); prediction reads every text whole.
@@ -33,8 +33,7 @@ BUCKETS = 1 << 15
 #: Words longer than this many bytes count as several.
 WORD_BYTES = 48
 ROUNDS = 8
-#: Languages in a document's set at most; factor of the BIC penalty.
-MOST_LANGUAGES = 3
+#: Factor of the BIC penalty, which alone limits a document's set of languages.
 PENALTY = 4.0
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -155,15 +154,15 @@ def mixtures(ll: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int
     return theta, total
 
 
-def infer(ll: np.ndarray, first: np.ndarray, most: int = MOST_LANGUAGES, penalty: float = PENALTY) -> np.ndarray:
+def infer(ll: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Proportions by document over the language set that the penalised likelihood selects."""
     docs, langs = len(first) - 1, ll.shape[1]
     n = np.diff(first)
-    full, _ = mixtures(ll, first, np.ones((docs, langs)))
+    full, of_full = mixtures(ll, first, np.ones((docs, langs)))
     order = np.argsort(-full, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     best, chosen = np.full(docs, -np.inf), np.zeros((docs, langs))
-    for k in range(1, min(most, langs) + 1):
+    for k in range(1, langs + 1):
         if k == 1:
             # the best single language by its own likelihood
             sums = np.zeros((docs, langs))
@@ -173,6 +172,8 @@ def infer(ll: np.ndarray, first: np.ndarray, most: int = MOST_LANGUAGES, penalty
             theta = np.zeros((docs, langs))
             theta[np.arange(docs), sums.argmax(1)] = 1
             value = sums.max(1)
+        elif k == langs:
+            theta, value = full, of_full
         else:
             theta, value = mixtures(ll, first, (rank < k).astype(float))
         value = value - penalty * (k - 1) * 0.5 * np.log(np.maximum(n, 2))

@@ -228,6 +228,19 @@ def test_language_mixtures(spark):
     assert all(0 <= r["lang_score"] <= 1 for r in got.values())
 
 
+def test_language_sets_have_no_cap(spark):
+    """Texts of four and five languages get them all, and their shares; texts of one or two don't."""
+    rng = random.Random(9)
+    speak = {k: [f"{a}{b}{c}" for a in s for b in s for c in s] for k, s in {"aa": ["ka", "mo", "ti"], "bb": ["shr", "eng", "ould"], "cc": ["üß", "öch", "ein"], "dd": ["zza", "gli", "occ"], "ee": ["vy", "jx", "qu"]}.items()}
+    say = lambda shares: " ".join(rng.choice(speak[k]) for k, n in shares.items() for _ in range(n))
+    model = language_id.train(documents(spark, [(i, say({k: 60}), k) for i, k in enumerate([*speak] * 20)]))
+    shares = {1: {"aa": 60, "bb": 50, "cc": 50, "dd": 40}, 2: {"aa": 60, "bb": 50, "cc": 40, "dd": 30, "ee": 20}, 3: {"ee": 200}, 4: {"dd": 120, "bb": 80}}
+    got = {r["doc_id"]: r for r in language_id.identify_languages(documents(spark, [(i, say(x)) for i, x in shares.items()]), model).collect()}
+    for i, x in shares.items():
+        assert got[i]["lang_mixture"] == pytest.approx({k: n / sum(x.values()) for k, n in x.items()}, abs=0.03)
+        assert got[i]["lang_score"] == got[i]["lang_mixture"][got[i]["lang_pred"]] and got[i]["lang_pred"] == max(x, key=x.get)
+
+
 def test_language_without_labels(spark):
     model = language_id.train(documents(spark, [(1, "abc", None), (2, None, "aa")]))
     assert [r["lang_pred"] for r in language_id.identify_languages(documents(spark, [(1, "abc")]), model).collect()] == ["und"]
