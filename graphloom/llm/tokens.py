@@ -54,7 +54,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.added = [x.content.lower() for x in self.lib.get_added_tokens_decoder().values()]
+        self.hint = os.path.commonprefix(self.added)[:2]
         self.lead = " " if lead_space else ""
         self.mark, self.join = ("\n", "\n") if lead_space else ("\x00", " \x00 ")
         self.model = self.lib.model
@@ -66,6 +67,10 @@ class CachedTokenizer:
         self.hot: dict[str, bytes] = {}  # the pieces seen first, most of all that come: small enough for the processor's cache
         self.seen = self.missed = 0
 
+    def holds_added(self, text: str) -> bool:
+        """Whether a text may hold an added token; such a text isn't cut but goes to the library."""
+        return self.hint in text and any(map(text.lower().__contains__, self.added))
+
     def whole(self, text: str) -> bytes:
         """Ids of a text by the library alone."""
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -125,6 +130,8 @@ class CachedTokenizer:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self.holds_added(text):
+            return self.whole(text)
         if self.lead:
             if text[-1] == " " or any(x in text for x in (_ASCII_AFTER_SPACE if text.isascii() else _AFTER_SPACE)):
                 return self.whole(text)
@@ -174,7 +181,7 @@ class ByteLevelTokenizer:
         self.probes = PROBES
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None:
+        if self.fast is None or self.slow.holds_added(text):
             return self.slow.encode(text)
         ids = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         if self.probes:
@@ -271,7 +278,13 @@ class BatchEncoder:
         ids = flat[np.repeat(begin[where] - total[:-1], count) + np.arange(total[-1])].tobytes()
         cut = (4 * total[first]).tolist()
         out = [ids[a:b] for a, b in zip(cut, cut[1:])]
-        for d in np.flatnonzero(~latin):
+        alone, raw, hint = ~latin, data.tobytes(), self.slow.hint.encode()
+        at = raw.find(hint) if self.slow.added else -1
+        while 0 <= at < n:
+            d = int(np.searchsorted(offsets, at, "right")) - 1
+            alone[d] = True
+            at = raw.find(hint, int(offsets[d + 1]))
+        for d in np.flatnonzero(alone):
             out[d] = self.slow.encode(data[offsets[d] : offsets[d + 1]].tobytes().decode())
         return out
 

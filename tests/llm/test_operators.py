@@ -361,6 +361,20 @@ def test_token_files_odd_rows(spark, tmp_path):
 ALPHABET = ["a", "B", "é", "É", "×", "÷", " ", "  ", "\n", "'", "s", "t", ".", ",", "1", "²", "»", "!", "ª", "Σ", "\t", "l", "L", "\xa0", "\x00", "İ", "J̌", "<|endoftext|>", "日"]
 
 
+def test_added_tokens_as_the_library_does_by_default():
+    from tokenizers import Tokenizer
+
+    for path, byte_level in [(packing.vocabulary_path(), True), (token_files.vocabulary_path(), False)]:
+        lib = Tokenizer.from_file(path)
+        texts = ["a <|endoftext|> b", "plain <| text", "", "<", "|startoftext|>", "<|startoftext|>Some Wörds<|EndOfText|>.", "中 <|endoftext|>\n", "x<|endoftext|><|endoftext|>", "last one"]
+        right = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        makers = [tokens.ByteLevelTokenizer(path), tokens.CachedTokenizer(path, lead_space=True)] if byte_level else [tokens.CachedTokenizer(path, lead_space=False)]
+        for made in makers:
+            assert [np.frombuffer(made.encode(t), "<u4").tolist() for t in texts] == right
+        if not byte_level:
+            assert [np.frombuffer(x, "<u4").tolist() for x in tokens.BatchEncoder(path).encode(pa.array(texts))] == right
+
+
 def test_cached_ids_are_the_librarys():
     rng = random.Random(2)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(0, 30))) for _ in range(4000)]
