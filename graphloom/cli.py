@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 from graphloom.functions import quality
 from graphloom.operators import graph, hierarchy
@@ -27,11 +27,11 @@ def convert(spark: SparkSession, source: str, target: str, weighted: bool = Fals
 def detect(spark: SparkSession, source: str, target: str, criterion: int = 0, min_gain: float = run.MIN_GAIN, alpha: float = 0.5, kappa_min: int = 1, start: str | None = None) -> run.Result:
     """Communities of a Parquet graph; hierarchy, labels and cluster sizes go under target."""
     arcs, nodes = files.read_parquet_graph(spark, source)
+    labels = files.read_partition(spark, start, nodes) if start else None
     if quality.criterion(criterion).id == 0:
-        labels = files.read_partition(spark, start, nodes) if start else None
         got = run.detect(arcs, nodes, labels, min_gain=min_gain)
     else:
-        got = run.detect_by(criterion, arcs, nodes, min_gain, alpha=alpha, kappa_min=kappa_min)
+        got = run.detect_by(criterion, arcs, nodes, min_gain, start=labels, alpha=alpha, kappa_min=kappa_min)
     files.write_hierarchy(got.hierarchy, f"{target}/hierarchy")
     files.write_partition(got.labels, f"{target}/labels")
     files.write_cluster_sizes(got.labels, f"{target}/sizes")
@@ -96,7 +96,10 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "steps":
         steps(spark, a.graph, a.o, a.a, a.x, a.b, a.m, a.w, a.e)
     else:
-        matrix(spark, a.hierarchy, a.l, a.d).orderBy(F.expr("1")).show(1000, False)
+        rows = matrix(spark, a.hierarchy, a.l, a.d)
+        print(*rows.columns)
+        for row in rows.orderBy(*rows.columns).toLocalIterator():
+            print(*row)
 
 
 if __name__ == "__main__":

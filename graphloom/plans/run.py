@@ -156,8 +156,8 @@ def detect(arcs: DataFrame, nodes: DataFrame, labels: DataFrame | None = None, s
     return Result(materialize(flat.select("id", "comm"), "communities"), hierarchy, metrics)
 
 
-def detect_by(which: int | str, arcs: DataFrame, nodes: DataFrame, min_gain: float = MIN_GAIN, max_passes: int = MAX_PASSES, max_levels: int = 100, **options) -> Result:
-    """The level loop under any of the ten criteria, as DataFrame jobs.
+def detect_by(which: int | str, arcs: DataFrame, nodes: DataFrame, min_gain: float = MIN_GAIN, max_passes: int = MAX_PASSES, max_levels: int = 100, start: DataFrame | None = None, **options) -> Result:
+    """The level loop under any of the ten criteria, as DataFrame jobs.  With start labels the first level is contracted even without a gain.
 
     The graph is prepared (loops, new weights) once, on the original vertices; its totals hold on all levels.
     """
@@ -167,7 +167,8 @@ def detect_by(which: int | str, arcs: DataFrame, nodes: DataFrame, min_gain: flo
     value = lambda labels: quality.score(which, arcs, nodes, labels, None, sums, **options).first()["q"]
     hierarchy, metrics, flat = None, [], None
     for level in range(max_levels):
-        labels = materialize(louvain.identity_labels(nodes), "labels")
+        warm = level == 0 and start is not None
+        labels = materialize(start if warm else louvain.identity_labels(nodes), "labels")
         vertices = materialize(louvain.degree_buckets(arcs, nodes), "buckets")
         buckets = [r["bucket"] for r in vertices.filter("bucket > 0").select("bucket").distinct().orderBy("bucket").collect()]
         q, improved, passes = value(labels), False, 0
@@ -192,7 +193,7 @@ def detect_by(which: int | str, arcs: DataFrame, nodes: DataFrame, min_gain: flo
         part = dense.select(F.lit(level).alias("level"), C("id").alias("node"), "comm")
         hierarchy = part if hierarchy is None else hierarchy.unionByName(part)
         flat = dense if flat is None else materialize(louvain.compose(flat, dense), "flat")
-        if not improved:
+        if not improved and not warm:
             break
         arcs, nodes = materialize(smaller, "arcs"), materialize(weights, "nodes")
     return Result(materialize(flat.select("id", "comm"), "communities"), hierarchy, metrics)

@@ -34,6 +34,20 @@ def test_detect_and_matrix(spark, folder, capsys):
     cli.main(["detect", str(folder / "g"), "-o", str(folder / "again"), "-p", str(folder / "d/labels")])
 
 
+def test_matrix_prints_all_rows(spark, tmp_path, capsys):
+    rows = spark.range(40).selectExpr("0 AS level", "id AS node", "id % 2 AS comm")
+    files.write_hierarchy(rows, str(tmp_path / "h"))
+    cli.main(["matrix", str(tmp_path / "h"), "-l", "1", "-d"])
+    assert len(capsys.readouterr().out.splitlines()) >= 1600
+
+
+def test_detect_starts_from_partition_under_any_criterion(spark, folder, tmp_path):
+    """All in one community stays together: moves of single vertices out of it are never to an empty one."""
+    (tmp_path / "p.txt").write_text("\n".join(f"{i} 0" for i in range(14)))
+    got = cli.detect(spark, str(folder / "g"), str(tmp_path / "o"), criterion=1, start=str(tmp_path / "p.txt"))
+    assert got.metrics[1]["nodes"] == 1
+
+
 def test_steps(spark, folder):
     cli.main(["steps", str(folder / "g"), "-o", str(folder / "s"), "-a", "1", "-x", str(folder / "del"), "-b", str(folder / "add")])
     rows = spark.read.json(str(folder / "s/report")).collect()
