@@ -1,99 +1,68 @@
-"""Shared plumbing of the text operators: tables, the shared folder, safe joins."""
+"""Shared plumbing of the text operators: tables, columns, and what plans.store has."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: A side is broadcast only if its written size stays under this many bytes.
-BROADCAST_BYTES = 16 * 1024 * 1024
-#: Copies of a small side when a salted join replaces a broadcast.
-SALTS = 32
+from graphloom.plans.store import BROADCAST_BYTES, SALTS, join_small, materialize, new_path, shared_dir, written_bytes
 
-_own_dir: str | None = None
+__all__ = ["BROADCAST_BYTES", "SALTS", "annotate", "id_crc32_mod", "join_small", "kept_columns", "materialize", "new_path", "rename_clashes", "shared_dir", "strings", "table", "written_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(_own_dir)
-    return _own_dir
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/graphloom-{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind a materialized table, as Spark's own planner sees them."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def join_small(left: DataFrame, small: DataFrame, key: str, how: str = "left", salt_by: Column | None = None) -> DataFrame:
-    """Join a materialized table with unique `key` to a side whose keys may be very hot.
-
-    Up to BROADCAST_BYTES of files the small side is broadcast.  Beyond that each of its
-    rows is copied SALTS times and the left rows of a key are dealt over the copies, so one
-    hot key never lands in one task.
-    """
-    if written_bytes(small) <= BROADCAST_BYTES:
-        return left.join(F.broadcast(small), key, how)
-    salt = F.pmod(F.xxhash64(salt_by if salt_by is not None else F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
-    copies = small.withColumn("__gl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("__gl_salt", salt).join(copies, [key, "__gl_salt"], how).drop("__gl_salt")
-
-
 def id_crc32_mod(column: Column, m: int) -> Column:
     """crc32 of the decimal text of an id, modulo m."""
     return F.pmod(F.crc32(F.encode(column.cast("string"), "UTF-8")), F.lit(m))
 
 
+def rename_clashes(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with its columns of these names (compared without case, as Spark does) called input_<name>, with more underscores while that is taken."""
+    new, taken = {n.lower() for n in names}, {c.lower() for c in [*df.columns, *names]}
+    out = []
+    for c in df.columns:
+        name = c
+        if c.lower() in new:
+            name = f"input_{c}"
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        out.append(name)
+    return df.toDF(*out)
+
+
 def annotate(df: DataFrame, columns: list[str], fields: list[T.StructField], make: Callable[[], Callable[[list[pa.Array]], list[pa.Array]]]) -> DataFrame:
     """Append `fields` to every row of df, computed in Arrow batches from `columns`.
 
-    make() runs once in each task and returns the batch function.  Rows, their order and all other
-    columns pass unchanged; fields replace columns of the same name.
+    make() runs once in each task and returns the batch function.  Rows, their order and all other columns pass
+    unchanged; a column of df that has the name of one of `fields` stays, named input_<name>.
     """
-    names = [f.name for f in fields]
-    df = df.drop(*[c for c in names if c in df.columns])
+    at = [df.columns.index(c) for c in columns]
+    df = rename_clashes(df, [f.name for f in fields])
     schema = T.StructType(df.schema.fields + fields)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make()
         for batch in batches:
-            got = call([batch.column(batch.schema.get_field_index(c)) for c in columns])
-            yield pa.RecordBatch.from_arrays(list(batch.columns) + got, names=list(batch.schema.names) + names)
+            got = call([batch.column(i) for i in at])
+            yield pa.RecordBatch.from_arrays(list(batch.columns) + got, names=names)
 
     return df.mapInArrow(run, schema)
 
 
+def kept_columns(df: DataFrame) -> tuple[DataFrame, list[Column], dict[str, str]]:
+    """(df with columns c0, c1, ..., the columns that restore its names, name: its new name): operators' own columns can't clash then."""
+    columns = df.columns
+    renamed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    return renamed, [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], {c: f"c{i}" for i, c in enumerate(columns)}
+
+
 def strings(array: pa.Array) -> list[str]:
     """Texts of a column, null as empty."""
     return [x if x is not None else "" for x in array.to_pylist()]
-
-
-def uint32_bytes(ids) -> bytes:
-    import numpy as np
-
-    return np.asarray(ids, dtype="<u4").tobytes()

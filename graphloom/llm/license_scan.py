@@ -6,16 +6,20 @@ nothing.  Around the hits the `regex` library matches the whole notice with at m
 against every span between word borders whose length allows it.  Where spans of one notice
 overlap the one with the fewest edits stays, then the first, then the shortest; all others are reported.
 
-Defined cases: null text counts as empty (no words, no matches); repeated rows are scanned
-each; very long texts are scanned whole; other columns pass unchanged.
+Defined cases: null and empty texts have no words and no matches, and score 0; repeated rows are scanned
+each; very long texts are scanned whole, in time that grows with their length; ties between overlapping spans
+of equal edits go to the first, then the shortest; an empty table gives an empty result; other columns pass
+unchanged, those with the name of an output as input_<name>.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -54,6 +58,8 @@ NOTICES = (
     ("all rights reserved", "all-rights-reserved"),
 )
 EDIT_CHARS = 9
+#: Spans of a notice whose edits a task keeps.
+KNOWN_SPANS = 20_000
 
 _WORD_BYTES = bytes(b for b in range(256) if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b in _WORD_BYTES else 32 for b in range(256))
@@ -67,6 +73,16 @@ class Notice:
     pieces: list[tuple[bytes, int]] = field(default_factory=list)  # (piece, its offset in the phrase)
     pattern: regex.Pattern | None = None  # finds whether there is a match
     whole: regex.Pattern | None = None  # fewest edits of a given span
+    known: dict[str, int] = field(default_factory=dict)  # edits of spans seen, -1 beyond the bound
+
+    def edits_of(self, span: str) -> int:
+        got = self.known.get(span)
+        if got is None:
+            m = self.whole.fullmatch(span)
+            if len(self.known) >= KNOWN_SPANS:
+                self.known.clear()
+            got = self.known[span] = sum(m.fuzzy_counts) if m else -1
+        return got
 
 
 def compile_notices(notices=NOTICES, edit_chars: int = EDIT_CHARS) -> list[Notice]:
@@ -97,24 +113,28 @@ def find_places(norm: bytes, phrase: bytes) -> list[int]:
 
 
 def _windows(norm: bytes, notice: Notice) -> list[tuple[int, int]]:
-    """Merged byte ranges, cut at spaces, that hold every match with at most `edits` errors."""
+    """Merged byte ranges between word borders that hold every match with at most `edits` errors."""
     found = []
     # an error may insert a character of up to four bytes
     slack, length = 4 * notice.edits + 1, len(notice.phrase)
     for piece, offset in notice.pieces:
         at = norm.find(piece)
         while at >= 0:
-            found.append((at - offset - slack, at - offset + length + slack))
+            found.append((max(at - offset - slack, 0), min(at - offset + length + slack, len(norm))))
             at = norm.find(piece, at + 1)
-    out: list[tuple[int, int]] = []
+    merged: list[list[int]] = []
     for a, b in sorted(found):
-        a = norm.rfind(b" ", 0, max(a, 0)) + 1 if a > 0 else 0
-        b = norm.find(b" ", max(b, 0)) if b < len(norm) else len(norm)
-        b = len(norm) if b < 0 else b
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
         else:
-            out.append((a, b))
+            merged.append([a, b])
+    out = []
+    for a, b in merged:
+        # matches begin and end at word borders, so words cut by the range's ends are left out
+        begin = a if a == 0 or norm[a - 1] == 32 else norm.find(b" ", a, b) + 1
+        end = b if b == len(norm) or norm[b] == 32 else norm.rfind(b" ", a, b)
+        if (begin or a == 0) and end > begin:
+            out.append((begin, end))
     return out
 
 
@@ -128,8 +148,9 @@ def _spans(window: str, notice: Notice) -> list[tuple[int, int, int]]:
     found = []
     for i, start in enumerate(starts):
         for j in range(bisect_left(ends, start + shortest, i), bisect_right(ends, start + longest, i)):
-            if m := notice.whole.fullmatch(window[start : ends[j]]):
-                found.append((sum(m.fuzzy_counts), i, j + 1))
+            edits = notice.edits_of(window[start : ends[j]])
+            if edits >= 0:
+                found.append((edits, i, j + 1))
     taken, out = bytearray(len(starts)), []
     for edits, i, j in sorted(found):
         if not any(taken[i:j]):
@@ -138,16 +159,28 @@ def _spans(window: str, notice: Notice) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def word_of(norm: bytes) -> Callable[[int], int]:
+    """The number of the word that starts at a byte, for many bytes of one text."""
+    spaces: list[np.ndarray] = []
+
+    def of(at: int) -> int:
+        if not spaces:
+            spaces.append(np.flatnonzero(np.frombuffer(norm, np.uint8) == 32))
+        return int(np.searchsorted(spaces[0], at))
+
+    return of
+
+
 def scan(norm: bytes, notices: list[Notice]) -> list[dict]:
     """All fuzzy matches of a normalized text, as spans in words with their edits."""
-    out = []
+    out, number = [], word_of(norm)
     for notice in notices:
         if not any(piece in norm for piece, _ in notice.pieces):
             continue
         for a, b in _windows(norm, notice):
             window = norm[a:b].decode("utf-8", "replace")
             spans = _spans(window, notice)
-            before, words = (norm.count(b" ", 0, a), window.split(" ")) if spans else (0, [])
+            before, words = (number(a), window.split(" ")) if spans else (0, [])
             for i, j, edits in spans:
                 out.append({
                     "label": notice.label, "phrase": notice.phrase, "edits": edits,
@@ -185,7 +218,8 @@ def scan_licenses(df: DataFrame, text: str = "text", notices=NOTICES, edit_chars
             for value in strings(columns[0]):
                 norm = normalize(value)
                 n_words.append(norm.count(b" ") + 1 if norm else 0)
-                at = [(norm.count(b" ", 0, x), label) for p, label in base if p in norm for x in find_places(norm, p)]
+                number = word_of(norm)
+                at = [(number(x), label) for p, label in base if p in norm for x in find_places(norm, p)]
                 found = scan(norm, compiled)
                 starts.append(sorted(x for x, _ in at))
                 labels.append(sorted({label for _, label in at}))

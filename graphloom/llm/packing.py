@@ -10,8 +10,10 @@ of the same number of ids; the tiers' incomplete groups are put together.
 Packing is local to an input partition: no shuffle, memory bounded by POOL pieces, padding at most
 one window for each partition.  A task that runs again on the same rows makes the same pieces.
 
-Defined cases: a null text is empty, a document then has its end id alone; repeated rows are
-packed each; an empty table gives no rows; other columns are not read.
+Defined cases: a null text is empty, a document then has its end id alone; a null doc_id is kept;
+repeated rows are packed each; ties between pieces of one length go to the one that came last (in short
+lists the first), the same on each run over the same rows; very long texts are encoded whole and cut
+into full windows as they come; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 
 class Packer:
-    """Packs pieces (doc_id, start, ids, doc_tokens) of one partition; `out` collects finished rows."""
+    """Packs pieces (doc_id, start, ids, doc_tokens) of one partition; `out` collects the rows of closed step groups."""
 
     def __init__(self, partition: int, tiers=TIERS, group_ids: int = GROUP_IDS):
         self.tiers, self.group_ids = tuple(sorted(tiers)), group_ids
@@ -47,8 +49,8 @@ class Packer:
         self.by_length: dict[int, list[tuple]] = {}
         self.lengths: list[int] = []  # sorted keys of by_length
         self.waiting = 0
-        self.out: list[tuple] = []
-        self.last: list[tuple[int, list[tuple]]] = []
+        self.out: list[tuple] = []  # rows of closed step groups
+        self.held: dict[int, list[tuple]] = {}  # rows of open ones
 
     def add_document(self, doc_id: int | None, ids: bytes) -> None:
         n, top, at = len(ids) // 4, self.tiers[-1], 0
@@ -127,36 +129,29 @@ class Packer:
         if group is None:
             group, ids = self.base + self.n_groups, 0
             self.n_groups += 1
-        self.open[tier] = (group, ids + tier)
-        if ids + tier >= self.group_ids:
-            del self.open[tier]
-        rows, offset = [], 0
+        rows, offset = self.held.setdefault(group, []), 0
         for doc_id, start, piece, total in window:
             n = len(piece) // 4
             rows.append((doc_id, start, n, total, sequence, offset, tier, group, piece))
             offset += n
-        self.out.extend(rows)
+        self.open[tier] = (group, ids + tier)
+        if ids + tier >= self.group_ids:
+            del self.open[tier]
+            self.out.extend(self.held.pop(group))
 
     def _close(self) -> None:
         """Incomplete groups of several tiers become common ones, filled up to the same number of ids."""
-        parts = sorted(self.open.values(), key=lambda x: -x[1])
-        names, size, target = {}, 0, None
-        for group, ids in parts:
+        size, target = 0, None
+        for group, ids in sorted(self.open.values(), key=lambda x: -x[1]):
             if target is None or size + ids > self.group_ids:
                 target, size = group, 0
-            names[group] = target
+            self.out.extend((*r[:7], target, r[8]) for r in self.held.pop(group))
             size += ids
-        self.merged = names
+        self.open = {}
 
-    def drain(self, to_the_end: bool = False) -> list[tuple]:
+    def drain(self) -> list[tuple]:
         """Rows whose step group is final."""
-        if to_the_end:
-            rows = [(*r[:7], self.merged.get(r[7], r[7]), r[8]) for r in self.out]
-            self.out = []
-            return rows
-        still = {g for g, _ in self.open.values()}
-        rows = [r for r in self.out if r[7] not in still]
-        self.out = [r for r in self.out if r[7] in still]
+        rows, self.out = self.out, []
         return rows
 
 
@@ -181,7 +176,7 @@ def pack_documents(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
                 if len(packer.out) >= POOL:
                     yield from _batches(packer.drain())
         packer.pack(to_the_end=True)
-        yield from _batches(packer.drain(to_the_end=True))
+        yield from _batches(packer.drain())
 
     return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
 

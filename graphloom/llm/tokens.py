@@ -156,15 +156,13 @@ class CachedTokenizer:
 
 #: How the byte-level vocabulary splits texts (fixed value, as in its file's pre-tokenizer).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of each worker process whose ids are compared with the library's.
-PROBES = 50
 
 
 class ByteLevelTokenizer:
     """The ids that the tokenizers library gives for a byte-level BPE file, by tiktoken's faster merge loop.
 
-    Ids follow the order of merges there, so they serve as ranks.  The first texts of each process are encoded by
-    both; should ids ever differ, the library does all.
+    Ids follow the order of merges there, so they serve as ranks; the file's pre-tokenizer is checked to be the one that
+    BYTE_PATTERN spells out.  Texts that may hold an added token go to the library.
     """
 
     def __init__(self, path: str):
@@ -175,23 +173,23 @@ class ByteLevelTokenizer:
         self.slow = CachedTokenizer(path, lead_space=True)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split = spec["pre_tokenizer"]
+        if spec.get("normalizer") or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split.get("use_regex", True):
+            raise ValueError(f"{path}: not a plain byte-level vocabulary")
         letters, added = byte_alphabet(), {x["content"] for x in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.probes = PROBES
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None or self.slow.holds_added(text):
+        if self.slow.holds_added(text):
             return self.slow.encode(text)
-        ids = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-        if self.probes:
-            self.probes -= 1
-            if ids != (right := self.slow.whole(text)):
-                self.fast = None
-                return right
-        return ids
+        if len(text) > LONG_CHARS:  # no Python object for each id
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
+#: Texts of more characters are encoded without Python integers.
+LONG_CHARS = 1_000_000
 _made: dict[tuple[str, bool], CachedTokenizer | ByteLevelTokenizer] = {}
 
 

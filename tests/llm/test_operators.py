@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from base64 import b32encode
 from itertools import combinations
@@ -129,6 +130,19 @@ def test_license_spans_and_odd_rows(spark):
     assert df.count() == len(rows) and license_scan.scan_licenses(documents(spark, [])).count() == 0
 
 
+def test_license_many_places_in_one_text():
+    """Time grows with the places: a million of them in one text take seconds, a word of a megabyte with seeds inside too."""
+    compiled, norm = license_scan.compile_notices((("mit license", "mit"),)), license_scan.normalize("mit license " * 1_000_000)
+    began = time.perf_counter()
+    found = license_scan.scan(norm, compiled)
+    assert len(found) == 1_000_000 and found[-1]["start_word"] == 1_999_998 and found[7]["text"] == "mit license"
+    number = license_scan.word_of(norm)
+    places = [number(x) for x in license_scan.find_places(norm, b"mit license")]
+    assert places[:3] == [0, 2, 4] and len(places) == 1_000_000
+    assert license_scan.scan(license_scan.normalize("license" * 150_000), license_scan.compile_notices()) == []
+    assert time.perf_counter() - began < 90
+
+
 # 2: packing
 
 
@@ -161,7 +175,6 @@ def test_packing_holds_every_id_once(spark, sf_dir):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(packing.vocabulary_path())
-    lib.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] or "" for r in sequence(spark, sf_dir, "documents").collect()}
     ids = {d: [*lib.encode(t, add_special_tokens=False).ids, 0] for d, t in texts.items()}
     pieces = packing.query(spark, sf_dir).collect()
@@ -185,7 +198,7 @@ def test_packer_on_random_lengths(seed):
             packer.pack()
             rows += packer.drain()
     packer.pack(to_the_end=True)
-    rows += packer.drain(to_the_end=True)
+    rows += packer.drain()
     names = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
     pieces = [dict(zip(names, r)) | {"ids_crc32": zlib.crc32(r[8])} for r in rows]
     padding, _ = check_pieces(pieces, {i: [i] * n for i, n in enumerate(lengths)})
@@ -202,6 +215,21 @@ def test_packing_odd_rows(spark):
     assert packing.pack_documents(documents(spark, []), packing.vocabulary_path()).count() == 0
 
 
+def test_packing_many_empty_documents():
+    """Time grows with the documents: 200,000 of them with one id each take seconds, also while step groups are open."""
+    began = time.perf_counter()
+    packer, n = packing.Packer(0), 0
+    for i in range(200_000):
+        packer.add_document(i, packing.END_ID)
+        if packer.waiting >= packing.POOL:
+            packer.pack()
+        if len(packer.out) >= packing.POOL:
+            n += len(packer.drain())
+    packer.pack(to_the_end=True)
+    assert n + len(packer.drain()) == 200_000 and not packer.held
+    assert time.perf_counter() - began < 20
+
+
 # 3: language id
 
 
@@ -336,7 +364,6 @@ def test_token_files_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(token_files.vocabulary_path())
-    lib.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] or "" for r in sequence(spark, sf_dir, "documents").collect()}
     start = 0
     got = {r["doc_id"]: r for r in token_files.query(spark, sf_dir).collect()}
@@ -375,13 +402,24 @@ def test_added_tokens_as_the_library_does_by_default():
             assert [np.frombuffer(x, "<u4").tolist() for x in tokens.BatchEncoder(path).encode(pa.array(texts))] == right
 
 
+def test_ids_of_every_kind_of_character_are_the_librarys():
+    """Characters beside letters, digits, marks and spaces: the basic plane in part, and some of the others (all were compared once)."""
+    some = [chr(i) for i in (*range(0, 0x3000), *range(0x3000, 0x10000, 5), *range(0x10000, 0x110000, 97)) if not 0xD800 <= i < 0xE000]
+    fast, plain = tokens.ByteLevelTokenizer(packing.vocabulary_path()), tokens.CachedTokenizer(token_files.vocabulary_path(), lead_space=False)
+    texts = ["".join(f"\na{c}a1{c}1 {c}b {c}{c} .{c}. '{c}s" for c in some[i : i + 500]) for i in range(0, len(some), 500)]
+    for text, ids in zip(texts, tokens.BatchEncoder(token_files.vocabulary_path()).encode(pa.array(texts)), strict=True):
+        assert fast.encode(text) == fast.slow.whole(text)
+        assert ids == plain.whole(text)
+    long = "of words, and 12 more\n" * 60_000
+    assert fast.encode(long) == fast.slow.whole(long)
+
+
 def test_cached_ids_are_the_librarys():
     rng = random.Random(2)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(0, 30))) for _ in range(4000)]
     batch = tokens.BatchEncoder(token_files.vocabulary_path())
     plain = tokens.CachedTokenizer(token_files.vocabulary_path(), lead_space=False)
     fast = tokens.ByteLevelTokenizer(packing.vocabulary_path())
-    fast.probes = 0
     lead = tokens.CachedTokenizer(packing.vocabulary_path(), lead_space=True)
     for text, ids in zip(texts, batch.encode(pa.array(texts)), strict=True):
         assert ids == plain.whole(text) == plain.encode(text)

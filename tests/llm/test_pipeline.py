@@ -68,7 +68,6 @@ def test_run_packs_the_mix(spark, staged, sf_dir):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(packing.vocabulary_path())
-    lib.encode_special_tokens = True
     total = sum(len(lib.encode(r["text"], add_special_tokens=False).ids) + 1 for r in staged["mixing"].select("text").collect())
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert pieces.agg({"length": "sum"}).first()[0] == total
