@@ -1,28 +1,32 @@
 """WARC writing, and reading by boundary-chain verification.
 
-Archives are plain WARC 1.1 files, written by Spark's own writer into any file system it knows.  Reading
-splits files at the magic line that starts a record, so large files are read in parts by many tasks.  Every
+Archives are plain WARC 1.1 files, written by Spark's own writer into any file system it knows; any version 1.x is
+read.  Reading splits files at the magic that starts a record, so large files are read in parts by many tasks.  Every
 place of the magic is a candidate: a task emits the candidate's offset and, from its Content-Length, the
 offset of its successor.  Whether a candidate is a record or text inside a payload shows only in the
 chain: records are what is reached from the start of the file by following successors.
 
-Candidates whose successor is the next candidate form runs; only the ends of runs need jumps, and these
-are followed by pointer jumping (the jumps are doubled in each round).  All steps are DataFrame operations
-and shuffle offsets and digests, not payloads, but for the few payloads that hold a magic line.
+Offsets are sums inside a block of a file (what one task reads), moved by the sums of the blocks before: no task
+orders more than a block.  Candidates whose successor is the next candidate form runs; only the ends of runs need
+jumps, and these are followed by pointer jumping (the jumps are doubled in each round).  All steps are DataFrame
+operations and shuffle offsets and digests, not payloads, but for the few blocks with payloads that hold a magic.
 
 Defined cases: null payloads are empty; of equal payloads the smallest page_id is the response (repeated
 rows of that id too) and null ids come last; a null url is written as about:blank; line ends in urls are
-escaped; an empty table gives no records; records behind a broken one are not reached and not returned.
+escaped; payloads of any length are written whole; other columns, whatever their names, are not read; an empty
+table gives no records.  A length that is missing, negative or runs past the end of the file breaks the chain: that
+record and those behind it are not reached and not returned.  A file that doesn't begin with a record is an error.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from graphloom.llm.common import BROADCAST_BYTES, join_small, materialize, new_path, written_bytes
+from graphloom.llm.common import join_small, materialize, new_path
 
 #: Fixed values of the format.
-MAGIC = "WARC/1.1\r\n"
+MAGIC = "WARC/1."
+VERSION = "1\r\n"
 RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
@@ -58,7 +62,7 @@ def write_warc(pages: DataFrame, path: str, date: str = HEX_SHA1_EMPTY_DATE) ->
     http = F.concat(F.lit(HTTP_HEAD + "\r\nContent-Length: "), n.cast("string"), F.lit("\r\n\r\n"))
     body = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     head = F.concat(
-        F.lit(MAGIC + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
+        F.lit(MAGIC + VERSION + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), digest,
@@ -79,20 +83,24 @@ def _id_of(c: Column) -> Column:
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The text between magic lines, with its file and its order there."""
+    """The text between places of the magic, with its file, the block that it was read in, and its order there."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
 
 
-def _in_file():
-    return Window.partitionBy("file").orderBy("block", "at")
+def _in_block():
+    return Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _with_offsets(chunks: DataFrame, size: Column) -> DataFrame:
-    """Append offset (of the magic before the chunk, negative for what precedes the first one) and next."""
-    step = size + len(MAGIC)
-    begin = F.coalesce(F.sum(step).over(_in_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return chunks.withColumn("offset", begin - len(MAGIC)).withColumn("next", F.coalesce(F.lead("offset").over(_in_file()), F.col("offset") + step))
+def _blocks_before(name: str, of=F.sum):
+    """A value over the blocks before in the file: one row for each block."""
+    return of(name).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _with_offsets(chunks: DataFrame, blocks: DataFrame, size: Column) -> DataFrame:
+    """Append offset (of the magic before the chunk, negative for what precedes the first one); blocks: (file, block, begin)."""
+    inside = F.coalesce(F.sum(size + len(MAGIC)).over(_in_block()), F.lit(0))
+    return join_small(chunks.withColumn("inside", inside), blocks.select("file", "block", "begin"), ["file", "block"], "inner").withColumn("offset", F.col("begin") + F.col("inside") - len(MAGIC)).drop("inside", "begin")
 
 
 def _payload(rest: Column, content_length: Column) -> tuple[Column, Column]:
@@ -102,35 +110,47 @@ def _payload(rest: Column, content_length: Column) -> tuple[Column, Column]:
     return n.cast("long"), F.sha1(F.substring(rest.cast("binary"), start + 1, n))
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """All places of the magic line with their successors, fields, and payload digest as if they were records."""
-    c = _chunks(spark, path)
+def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(all places of the magic with their successors, fields, and payload digest as if they were records; blocks of the files)."""
     head = F.substring_index("value", "\r\n\r\n", 1)
-    c = c.withColumn("head", head).withColumn("length", _header(F.col("head"), "Content-Length").try_cast("long"))
+    c = _chunks(spark, path).withColumn("head", head).withColumn("head_bytes", F.octet_length("head").cast("long"))
+    length = _header(F.col("head"), "Content-Length").try_cast("long")
+    c = c.withColumn("length", F.when(F.rlike("head", F.lit(r"^\d+\r\n")) & (length >= 0), length))
     rest = F.substr(F.col("value"), F.length("head") + 5)
     payload_bytes, sha1 = _payload(rest, F.col("length"))
-    head_bytes = F.octet_length("head")
+    size, skip = F.octet_length("value").cast("long"), F.col("head_bytes") + F.col("length") + len(RECORD_END) + 4
     narrow = c.select(
-        "file", "block", "at", F.octet_length("value").cast("long").alias("size"), head_bytes.cast("long").alias("head_bytes"), "length",
+        "file", "block", "at", size.alias("size"), skip.alias("skip"), "length",
+        # the successor is the next candidate
+        F.when(skip.eqNullSafe(size), 0).otherwise(1).alias("broken"),
         _header(F.col("head"), "WARC-Type").alias("record_type"),
         _id_of(_header(F.col("head"), "WARC-Record-ID")).alias("page_id"),
         _id_of(_header(F.col("head"), "WARC-Refers-To")).alias("refers_to"),
         F.regexp_extract(_header(F.col("head"), "WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("declared_digest"),
-        _header(F.col("value"), "Content-Length").alias("unused"),
         F.regexp_extract(rest, r"^[^\r\n]*(?:\r\n[^\r\n]+)*?\r\nContent-Length: *(\d+)", 1).try_cast("long").alias("http_length"),
         payload_bytes.alias("payload_bytes"), sha1.alias("sha1"),
-    ).drop("unused")
-    placed = _with_offsets(narrow, F.col("size")).withColumn("succ", F.col("offset") + len(MAGIC) + F.col("head_bytes") + 4 + F.col("length") + 4)
-    broken = F.when(F.col("succ").eqNullSafe(F.col("next")), 0).otherwise(1)
-    run = F.coalesce(F.sum(broken).over(_in_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return materialize(placed.withColumn("run", run).withColumn("broken", broken).filter("offset >= 0"), "warc-candidates")
+    )
+    narrow = materialize(narrow, "warc-chunks")
+    sums = narrow.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"), F.sum("broken").alias("breaks"))
+    zero = F.lit(0)
+    blocks = sums.select(
+        "file", "block", F.coalesce(_blocks_before("bytes"), zero).alias("begin"), F.coalesce(_blocks_before("breaks"), zero).alias("breaks"),
+        (F.sum("bytes").over(Window.partitionBy("file")) - len(MAGIC)).alias("file_end"),
+    )
+    blocks = materialize(blocks, "warc-blocks")
+    run = F.coalesce(F.sum("broken").over(_in_block()), zero)
+    placed = _with_offsets(narrow.withColumn("inside_run", run), blocks, F.col("size"))
+    placed = join_small(placed, blocks.select("file", "block", "breaks", "file_end"), ["file", "block"], "inner")
+    succ = F.col("offset") + len(MAGIC) + F.col("skip")
+    placed = placed.withColumn("run", F.col("breaks") + F.col("inside_run")).withColumn("succ", F.when(succ <= F.col("file_end"), succ)).filter("offset >= 0")
+    return materialize(placed.drop("inside_run", "breaks", "file_end", "skip"), "warc-candidates"), blocks
 
 
 def reached_runs(cand: DataFrame) -> DataFrame:
-    """(file, run, entry): runs that the chain from the file's start enters, and where."""
+    """(file, run, entry): runs that the chain from the file's start enters, and where.  Successors lie behind, so a run is entered once."""
     first = cand.filter("offset = 0").select("file", "run", F.col("offset").alias("entry"))
     jumps = cand.filter("broken = 1 and succ is not null").select("file", "run", "succ")
-    ends = cand.select("file", F.col("offset").alias("succ"), F.col("run").alias("to"))
+    ends = cand.filter("length is not null").select("file", F.col("offset").alias("succ"), F.col("run").alias("to"))
     # from the end of a run to the place in another one where its successor starts
     jump = materialize(jumps.join(ends, ["file", "succ"]).select("file", "run", "to", F.col("succ").alias("entry")), "warc-jumps")
     reached = materialize(first, "warc-reached")
@@ -139,7 +159,7 @@ def reached_runs(cand: DataFrame) -> DataFrame:
     n = reached.count()
     while True:
         new = reached.join(jump, ["file", "run"]).select("file", F.col("to").alias("run"), jump["entry"])
-        reached = materialize(reached.union(new).distinct(), "warc-reached")
+        reached = materialize(reached.union(new).groupBy("file", "run").agg(F.min("entry").alias("entry")), "warc-reached")
         m = reached.count()
         if m == n:
             return reached
@@ -149,16 +169,20 @@ def reached_runs(cand: DataFrame) -> DataFrame:
         jump = materialize(doubled, "warc-jumps")
 
 
+_RECORD = ("file", "offset", "page_id", "record_type", "refers_to", "declared_digest", "http_length", "payload_bytes", "sha1")
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record reached: file, offset, page_id, record_type, refers_to, payload_bytes, payload_digest, declared_digest."""
-    cand = candidates(spark, path)
-    reached = reached_runs(cand)
-    side = F.broadcast(reached) if written_bytes(reached) <= BROADCAST_BYTES else reached
-    records = cand.join(side, ["file", "run"]).filter("offset >= entry")
-    whole = records.filter("succ = next").select("file", "offset", "page_id", "record_type", "refers_to", "declared_digest", "http_length", "payload_bytes", "sha1")
-    split = materialize(records.filter("succ > next").select("file", "offset", "succ", "length", "page_id", "record_type", "refers_to", "declared_digest", "http_length"), "warc-split")
+    cand, blocks = candidates(spark, path)
+    begun = cand.filter("offset = 0 and length is not null").select("file")
+    if lost := blocks.filter("block = 0 and file_end > 0").join(begun, "file", "left_anti").head(1):
+        raise ValueError(f"{lost[0]['file']} doesn't begin with a WARC 1.x record")
+    records = join_small(cand, reached_runs(cand), ["file", "run"], "inner").filter("offset >= entry and succ is not null")
+    whole = records.filter("broken = 0").select(*_RECORD)
+    split = materialize(records.filter(f"broken = 1 and succ > offset + {len(MAGIC)} + size").select("block", "succ", "length", *_RECORD), "warc-split")
     if split.head(1):
-        whole = whole.unionByName(_reassembled(spark, path, split))
+        whole = whole.unionByName(_reassembled(spark, path, cand, blocks, split))
     revisit = F.col("record_type") == "revisit"
     return whole.select(
         "file", "offset", "page_id", "record_type", "refers_to",
@@ -168,19 +192,28 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _reassembled(spark: SparkSession, path: str, split: DataFrame) -> DataFrame:
-    """Records whose payload holds magic lines: their chunks are put together again."""
-    files = split.select("file").distinct()
-    chunks = _with_offsets(_chunks(spark, path).join(files, "file", "left_semi"), F.octet_length("value"))
-    starts = split.select("file", "offset", F.col("succ").alias("until"))
-    held = chunks.join(starts, ["file", "offset"], "left").withColumn("record", F.last(F.when(F.col("until").isNotNull(), F.struct(F.col("offset").alias("at"), "until")), ignorenulls=True).over(_in_file()))
-    held = held.filter("offset < record.until")
-    parts = F.sort_array(F.collect_list(F.struct("offset", "value")))
-    text = held.groupBy("file", F.col("record.at").alias("offset")).agg(F.array_join(F.transform(parts, lambda x: x["value"]), MAGIC).alias("value"))
+def _reassembled(spark: SparkSession, path: str, cand: DataFrame, blocks: DataFrame, split: DataFrame) -> DataFrame:
+    """Records whose payload holds the magic: their chunks are put together again.
+
+    Which record a chunk belongs to follows from the offsets alone; payloads are read anew, of the blocks concerned.
+    """
+    starts = split.select("file", "offset", F.struct("offset", "succ").alias("start"))
+    marked = cand.select("file", "block", "at", "offset").join(starts, ["file", "offset"], "left")
+    held = F.last("start", ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    # starts ascend in a file, so the last one of the blocks before is the largest
+    by_block = marked.groupBy("file", "block").agg(F.max("start").alias("top"))
+    carried = materialize(by_block.select("file", "block", _blocks_before("top", F.max).alias("carried")), "warc-carried")
+    parts = join_small(marked.withColumn("held", held), carried, ["file", "block"], "inner").withColumn("held", F.coalesce("held", "carried"))
+    parts = materialize(parts.filter("offset < held.succ").select("file", "block", "offset", F.col("held.offset").alias("record")), "warc-parts")
+    concerned = materialize(parts.select("file", "block").distinct().withColumn("concerned", F.lit(True)), "warc-concerned")
+    chunks = join_small(_chunks(spark, path), concerned, ["file", "block"], "inner").drop("concerned")
+    chunks = _with_offsets(chunks, blocks, F.octet_length("value").cast("long")).select("file", "offset", "value")
+    pieces = F.sort_array(F.collect_list(F.struct("offset", "value")))
+    text = chunks.join(parts.drop("block"), ["file", "offset"]).groupBy("file", F.col("record").alias("offset")).agg(F.array_join(F.transform(pieces, lambda x: x["value"]), MAGIC).alias("value"))
     rest = F.substr(F.col("value"), F.length(F.substring_index("value", "\r\n\r\n", 1)) + 5)
     payload_bytes, sha1 = _payload(rest, F.col("length"))
-    done = split.join(text, ["file", "offset"]).withColumn("payload_bytes", payload_bytes).withColumn("sha1", sha1)
-    return done.select("file", "offset", "page_id", "record_type", "refers_to", "declared_digest", "http_length", "payload_bytes", "sha1")
+    done = split.drop("payload_bytes", "sha1").join(text, ["file", "offset"]).withColumn("payload_bytes", payload_bytes).withColumn("sha1", sha1)
+    return done.select(*_RECORD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,6 +331,33 @@ def test_warc_small_splits(spark, tmp_path):
     assert got == expected_pages(rows)
 
 
+def warc_record(page_id, payload, version="1.1", length=None):
+    body = f"HTTP/1.1 200 OK\r\nContent-Length: {len(payload)}\r\n\r\n{payload}"
+    n = len(body) if length is None else length
+    return f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page_id}>\r\nContent-Length: {n}\r\n\r\n{body}\r\n\r\n"
+
+
+def test_warc_broken_lengths_and_versions(spark, tmp_path):
+    """A length that points back, or past the end, ends the chain; no record comes twice; versions 1.x are read; other files are errors."""
+    read = lambda text: _read_text(spark, tmp_path, text)
+    two = warc_record(1, "one") + warc_record(2, "two WARC/1.1\r\n and more")
+    assert read(two) == [1, 2] == read(two.replace("WARC/1.1", "WARC/1.0"))
+    back = -(len(two) - len(warc_record(1, "one")) + 20)
+    assert read(two + warc_record(3, "three", length=back)) == [1, 2]
+    assert read(two + warc_record(3, "three", length="x") + warc_record(4, "four")) == [1, 2]
+    assert read(two + warc_record(3, "three", length=10**6)) == [1, 2]
+    assert read(warc_record(1, warc_record(7, "inner") * 3) + warc_record(2, "b")) == [1, 2]
+    for bad in ("no archive at all", "x" + two, "WARC/2.0\r\n\r\n"):
+        with pytest.raises(ValueError, match="doesn't begin"):
+            read(bad)
+
+
+def _read_text(spark, tmp_path, text):
+    path = tmp_path / f"a{len(list(tmp_path.iterdir()))}.warc"
+    path.write_bytes(text.encode())
+    return sorted(r["page_id"] for r in warc.read_warc(spark, str(path)).collect())
+
+
 def test_warc_empty_table(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
