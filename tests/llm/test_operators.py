@@ -275,6 +275,80 @@ def test_language_without_labels(spark):
     assert language_id.identify_languages(documents(spark, []), model).count() == 0
 
 
+def test_language_many_languages_and_bounds(spark):
+    """A thousand languages are learned from without a plan that grows with them; the model keeps the most frequent ones."""
+    rows = [(i, f"wort{i % 1000} satz{i % 1000}", f"l{i % 1000:03}") for i in range(3000)] + [(5000 + i, "mehr worte", "l007") for i in range(5)]
+    model = language_id.train(documents(spark, rows), languages=20)
+    assert len(model["langs"]) == 20 and model["langs"][0] == "l000" and "l007" in model["langs"]
+    assert language_id.train(documents(spark, rows), languages=1000)["logp"].shape[2] == 1000
+
+
+def test_language_sample_is_the_same_for_all_layouts(spark):
+    rng = random.Random(3)
+    df = documents(spark, [(i, random_words(rng, 30), "ab"[i % 2]) for i in range(400)])
+    models = [language_id.train(df.repartition(n), key="doc_id", sample_rows=100, sample_bytes=5_000)["logp"] for n in (1, 7)]
+    assert (models[0] == models[1]).all() and (models[0] != language_id.train(df)["logp"]).any()
+
+
+def language_brute(text, model):
+    """(languages, proportions, log-likelihoods by word) by loops over words and letters."""
+    logp, words, out = model["logp"].astype(np.float64), [], None
+    raw = bytes(language_id.prepare(np.frombuffer(text.encode(), np.uint8)))
+    for m in re.finditer(rb"[^ ]+", raw):
+        words += [(i, min(i + language_id.WORD_BYTES, m.end())) for i in range(m.start(), m.end(), language_id.WORD_BYTES)]
+    borders = [s for s, _ in words] + [len(raw)]
+    ll = np.zeros((len(words), logp.shape[2]))
+    for w, (a, b) in enumerate(zip(borders, borders[1:])):
+        for end in range(a, b):
+            for k, size in enumerate(language_id.SIZES):
+                gram = (b"\0" * size + raw[: end + 1])[-size:]
+                bucket = int(language_id.gram_buckets(np.frombuffer(gram, np.uint8), size)[-1])
+                ll[w] += logp[k, bucket] / len(language_id.SIZES)
+    langs, step = ll.shape[1], language_id.PENALTY * 0.5 * np.log(max(len(words), 2))
+
+    def em(allowed):
+        t = allowed / allowed.sum()
+        for _ in range(language_id.ROUNDS):
+            q = t * np.exp(ll - ll.max(1, keepdims=True))
+            t = (q / q.sum(1, keepdims=True)).mean(0)
+        return t, np.log((t * np.exp(ll - ll.max(1, keepdims=True))).sum(1)).sum() + ll.max(1).sum()
+
+    one = int(ll.sum(0).argmax())
+    full, of_full = em(np.ones(langs))
+    order = [one, *[int(j) for j in np.argsort(-full, kind="stable") if j != one]]
+    best, out = ll.sum(0)[one], np.eye(langs)[one]
+    for k in range(2, langs + 1):
+        if of_full - (k - 1) * step <= best + 1e-9:
+            break
+        t, value = em(np.isin(np.arange(langs), order[:k]).astype(float))
+        if value - (k - 1) * step > best + 1e-9:
+            best, out = value - (k - 1) * step, t
+    return out
+
+
+def test_language_sets_and_scores_match_brute_force(spark, monkeypatch):
+    """Which set is chosen, the prediction and its score, for texts in one batch, whatever their neighbours and the slices."""
+    rng = random.Random(11)
+    speak = {k: [f"{a}{b}" for a in s for b in s] for k, s in {"aa": ["ka", "mo", "ti"], "bb": ["shr", "eng", "ka"], "cc": ["üß", "öch", "ti"], "dd": ["zza", "eng", "mo"]}.items()}
+    say = lambda k, n: " ".join(rng.choice(speak[k]) for _ in range(n))
+    model = language_id.train(documents(spark, [(i, say(k, 40), k) for i, k in enumerate([*speak] * 10)]))
+    texts = ["  " + say("aa", 3), say("bb", 12) + " " + say("cc", 7), "\n" + say("dd", 30) + " " + say("aa", 9) + "\t" + say("cc", 5), "x", " - \n", "kamo" * 60 + " " + say("cc", 4), say("cc", 60)]
+    texts += [" ".join(say(rng.choice([*speak]), rng.randrange(1, 9)) for _ in range(rng.randrange(1, 7))) for _ in range(25)]
+    for words in (500_000, 7):
+        monkeypatch.setattr(language_id, "SLICE_WORDS", words)
+        raw = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *map(len, raw)])
+        ll, first = language_id.word_likelihoods(np.frombuffer(b"".join(raw), np.uint8), offsets, model["logp"])
+        for got, text in zip(language_id.infer(ll, first), texts, strict=True):
+            if text.strip():
+                assert got == pytest.approx(language_brute(text, model), abs=1e-3), text
+    monkeypatch.setattr(language_id, "SLICE_WORDS", 500_000)
+    for r in language_id.identify_languages(documents(spark, list(enumerate(texts))).coalesce(1), model).collect():
+        theta = language_brute(r["text"], model)
+        if re.search("[a-z]", r["text"]):
+            assert r["lang_pred"] == model["langs"][int(theta.argmax())] and r["lang_score"] == pytest.approx(theta.max(), abs=1e-3)
+
+
 def test_language_em_matches_plain_loop():
     rng = np.random.default_rng(0)
     ll, first = rng.normal(size=(50, 3)), np.array([0, 20, 20, 50])
