@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import BROADCAST_BYTES, SALTS, join_small, materialize, written_bytes
+from graphloom.llm.common import BROADCAST_BYTES, SALTS, join_small, kept_columns, materialize, written_bytes
 from graphloom.llm.textvec import LOWER, NOT_SPACE, buffers, mix, slices, window_hashes, words
 
 SHINGLE = 5
@@ -402,11 +402,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one row stays, with its own columns: that with the smallest doc_id, then text hash, nulls last.
 
-    Rows without words are linked with nothing and all stay.
+    Rows without words are linked with nothing and all stay.  Of rows equal in doc_id and text one stays, whichever of them.  Null
+    ids take part; very long texts are compared whole; columns pass whatever their names; an empty table stays empty.
     """
-    columns = documents.columns
-    renamed = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
-    doc_id, text = f"c{columns.index('doc_id')}", f"c{columns.index('text')}"
+    renamed, restored, name = kept_columns(documents)
+    doc_id, text = name["doc_id"], name["text"]
     kind = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "tag")
     found = materialize(jaccard_components(documents.select("doc_id", "text")).filter("component is not null").withColumn("kind", kind), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "kind"))
@@ -419,4 +419,4 @@ def stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     keyed = renamed.withColumn("__gl_kind", F.xxhash64(F.coalesce(key, F.lit(-1)), key.isNull(), F.xxhash64(text)))
     stay = join_small(join_small(keyed, gone, "__gl_kind", "left_anti", F.col(text)), twice, "__gl_kind", "left", F.col(text))
     once = stay.filter("__gl_twice").dropDuplicates(["__gl_kind"])
-    return stay.filter("__gl_twice is null").unionByName(once).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    return stay.filter("__gl_twice is null").unionByName(once).select(*restored)

@@ -6,9 +6,9 @@ patterns estimates the share of good documents and each rule's accuracy on good
 (Dawid and Skene 1979).  A document's posterior probability of being good replaces the rule that
 all tests must pass.
 
-Defined cases: a null text has no words, fails the base rules and is not kept; repeated rows are judged
-each; texts are read whole whatever their length; an empty table gives an empty result; other
-columns pass unchanged.
+Defined cases: null and empty texts have no words, fail the base rules and are not kept; repeated rows are judged
+each and alike; a posterior of exactly KEEP keeps; texts are read whole whatever their length; an empty table gives an
+empty result; other columns pass unchanged, those with the name of an output as input_<name>.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from graphloom.llm.common import annotate
+from graphloom.llm.common import annotate, kept_columns, materialize, rename_clashes, table
 from graphloom.llm.textvec import NOT_SPACE, buffers, runs, slices, span_hashes, table256, window_hashes, words
 
 #: The base rules (fixed values): fewest words, most percent of words in repeated windows.
@@ -45,6 +45,8 @@ MORE = ("n_lines", "n_upper", "n_lower", "n_digits", "n_letters", "n_strong", "n
 
 
 def _per_document(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if len(offsets) == 2:  # a long text is alone in its slice
+        return np.array([np.count_nonzero(mask)])
     seen = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
     return seen[offsets[1:]] - seen[offsets[:-1]]
 
@@ -71,8 +73,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     # lines with a word, and those equal to an earlier one
     starts, ends, first = runs(_IS_LINE[data], offsets)
     lines = np.repeat(np.arange(n), np.diff(first))
-    seen = np.concatenate([[0], np.cumsum(NOT_SPACE[data])])
-    full = seen[ends] > seen[starts]
+    full = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
     starts, ends, lines = starts[full], ends[full], lines[full]
     earlier, _ = _earlier_equal(lines, span_hashes(data, starts, ends))
     out["n_lines"] = np.bincount(lines, minlength=n)
@@ -201,21 +202,21 @@ def judge(featured: DataFrame, model: dict) -> DataFrame:
     table = F.array(*[F.lit(float(x)) for x in np.round(model["posterior"], 9)])
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < LEAST_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * n)
+    featured = rename_clashes(featured, ["base_failed", "quality", "kept"])
     out = featured.withColumn("base_failed", failed).withColumn("quality", table[F.col("vote_pattern")])
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from graphloom.llm.common import materialize, table
-
     featured = materialize(add_features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality-features")
     return judge(featured, fit_documents(featured)).drop("vote_pattern")
 
 
 def stage(spark, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are kept, with their own columns."""
-    columns = documents.columns
-    renamed = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
-    text = f"c{columns.index('text')}"
-    model = fit_documents(add_features(documents.select("text")).drop("text"))
-    return judge(add_features(renamed, text), model).filter("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    """Pipeline stage: documents that are kept, with their own columns, whatever their names.
+
+    Null, empty and short texts go; equal texts stay or go together; an empty table stays empty.
+    """
+    renamed, restored, name = kept_columns(documents)
+    featured = materialize(add_features(renamed, name["text"]), "quality-features")
+    return judge(featured, fit_documents(featured)).filter("kept").select(*restored)

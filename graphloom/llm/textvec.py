@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes worked on at a time; bounds the temporary arrays (about 40 bytes per text byte).
+#: Text bytes worked on at a time; bounds the temporary arrays of byte-wise steps (about 40 bytes for each), also inside a longer text.
 SLICE_BYTES = 2_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +100,31 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: differences of a prefix polynomial, brought to a common power, then mixed."""
+    """64-bit hashes of byte spans, which ascend and don't overlap.
+
+    Worked on in slices; a span longer than a slice is hashed as the sequence of its pieces, wherever it stands.
+    """
+    if len(data) <= SLICE_BYTES:
+        return _slice_hashes(data, starts, ends)
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        a, b = int(starts[i]), int(ends[i])
+        if b - a > SLICE_BYTES:
+            cuts = np.append(np.arange(a, b, SLICE_BYTES), b)
+            h = np.uint64(b - a)
+            for x, y in zip(cuts, cuts[1:]):
+                h = mix(np.array([h * _B]) + _slice_hashes(data[x:y], np.array([0]), np.array([y - x])))[0]
+            out[i] = h
+            i += 1
+            continue
+        j = int(np.searchsorted(ends, a + SLICE_BYTES, "right"))
+        out[i:j] = _slice_hashes(data[a : int(ends[j - 1])], starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
+def _slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Differences of a prefix polynomial, brought to a common power, then mixed."""
     power, inverse = _power_tables(len(data) + 1)
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])

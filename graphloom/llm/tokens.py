@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from graphloom.llm.textvec import LOWER, buffers, slices, span_hashes
+from graphloom.llm.textvec import LOWER, SLICE_BYTES, buffers, slices, span_hashes
 
 #: Pieces kept (about 60 MB).  A full cache starts anew once too many pieces of late texts are missing.
 CACHE_WORDS = 300_000
@@ -217,7 +217,24 @@ class BatchEncoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         data, offsets = buffers(column)
         for a, b in slices(offsets):
-            yield from self._slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            part = data[offsets[a] : offsets[b]]
+            if len(part) > SLICE_BYTES:
+                yield self._long(part)
+            else:
+                yield from self._slice(part, offsets[a : b + 1] - offsets[a])
+
+    def _long(self, data: np.ndarray) -> bytes:
+        """Ids of a text longer than a slice: of its parts between spaces or line feeds, unless it may hold an added token."""
+        if self.slow.added and self.slow.hint.encode() in data.tobytes():
+            return self.slow.encode(data.tobytes().decode())
+        out, at = [], 0
+        while at < len(data):
+            end = at + SLICE_BYTES // 2
+            gap = next((int(x[0]) + i for i in range(end, len(data), SLICE_BYTES) if len(x := np.flatnonzero((data[i : i + SLICE_BYTES] == 32) | (data[i : i + SLICE_BYTES] == 10)))), len(data))
+            part = data[at:gap]
+            out += self._slice(part, np.array([0, len(part)]))
+            at = gap
+        return b"".join(out)
 
     def _pieces(self, hashes: np.ndarray, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Ids of distinct pieces; `at` gives a place of each."""

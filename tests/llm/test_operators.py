@@ -1,6 +1,7 @@
 """Each text operator against brute force, an exact round trip, or held-out labels; and the cases its docstring defines."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -567,18 +568,27 @@ def test_mixing_targets_and_takings(spark):
 
 
 def test_mixing_buckets_equal_one_sort(spark, monkeypatch):
-    """The bucketed prefix sums choose what one sort by key chooses."""
+    """Narrowed intervals choose what one sort by key chooses, also with few buckets, skewed weights and hot equal rows."""
     rng = random.Random(8)
-    rows = [(i, random_words(rng, 5 + i % 20), "en", "ab"[i % 5 == 0]) for i in range(3000)]
+    rows = [(i, random_words(rng, 5 + i % 20) + " ###" * (8 * (i % 3 == 0)), "en", "ab"[i % 5 == 0]) for i in range(3000)] + [(7, "the same words again", "en", "a")] * 700
     df = documents(spark, rows)
-    many = {r["doc_id"]: r["copies"] for r in _with_buckets(monkeypatch, df, 1)}
-    few = {r["doc_id"]: r["copies"] for r in _with_buckets(monkeypatch, df, 10**9)}
-    assert many == few
+    takings = []
+    for most, buckets in ((10**9, 1024), (1, 1024), (1, 4)):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", most)
+        monkeypatch.setattr(mixing, "BUCKETS", buckets)
+        got = {}
+        for r in mixing.mix_sources(df).collect():
+            got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["copies"]
+        takings.append(got)
+    assert takings[0] == takings[1] == takings[2]
 
 
-def _with_buckets(monkeypatch, df, rows):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
-    return mixing.mix_sources(df).collect()
+def test_mixing_takes_equal_rows_singly(spark, monkeypatch):
+    """A source of equal rows alone comes near its target, however its rows are dealt."""
+    rows = [(1, "a b c d", "en", "z")] * 1000 + [(5, "x y " * 50, "en", "a"), (6, "x z " * 50, "en", "b")]
+    for parts in (1, 6):
+        got = mixing.mix_sources(documents(spark, rows).repartition(parts)).filter("source = 'z'").collect()
+        assert len(got) == 1000 and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 4 and 4000 < got[0]["target"] < 8000
 
 
 def test_mixing_matches_sql(spark, sf_dir, duck):
@@ -623,6 +633,58 @@ def test_quality_features_match_brute_force(spark, sf_dir):
         assert tuple(r[c] for c in quality_rules.FEATURES) == rule_features(r["text"]), r["doc_id"]
 
 
+def plain_votes(f):
+    """The eight rules, spelled out for one document."""
+    n, chars, cased, lines = max(f["n_words"], 1), max(f["word_chars"], 1), max(f["n_upper"] + f["n_lower"], 1), max(f["n_lines"], 1)
+    rule = lambda bad, good: -1 if bad else int(good)
+    return (
+        rule(f["n_words"] < 50, f["n_words"] >= 100), rule(not 2.5 <= chars * (f["word_chars"] > 0) / n <= 12, 3 <= f["word_chars"] / n <= 9),
+        rule(f["n_symbols"] / n > 0.1, f["n_symbols"] / n < 0.02), rule(f["n_upper"] / cased > 0.4, f["n_upper"] / cased < 0.2),
+        rule(f["n_letters"] / chars < 0.75, f["n_letters"] / chars > 0.88),
+        rule(f["n_dup_lines"] / lines > 0.3 or 2 * f["n_repeat_words"] > n, f["n_dup_lines"] / lines < 0.1 and f["n_repeat_words"] / n < 0.2),
+        rule(f["n_strong"] / n > 0.15, f["n_strong"] / n < 0.03), rule(f["n_top_word"] / n > 0.3 and f["n_words"] > 10, f["n_top_word"] / n < 0.15),
+    )
+
+
+def test_quality_kept_matches_brute_force(spark, sf_dir):
+    """Votes counted by a dictionary, EM by loops over patterns, and the verdict of every document recomputed."""
+    texts = {r["doc_id"]: r["text"] or "" for r in sequence(spark, sf_dir, "documents").collect()}
+    by_doc = {}
+    for d, t in texts.items():
+        n, chars, symbols, dup, repeated = rule_features(t)
+        w, flat = WORDS.findall(t), "".join(WORDS.findall(t))
+        f = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeated, "n_lines": sum(bool(WORDS.search(x)) for x in t.split("\n"))}
+        f |= {"n_upper": sum("A" <= c <= "Z" for c in t), "n_lower": sum("a" <= c <= "z" for c in t), "n_strong": t.count("!") + t.count("?"), "n_top_word": max((w.count(x) for x in set(w)), default=0)}
+        f["n_letters"] = sum(c > "\x7f" or c.isalpha() for c in flat)
+        by_doc[d] = (plain_votes(f), n < 50 or 100 * repeated > 50 * n)
+    counts = {}
+    for v, _ in by_doc.values():
+        counts[v] = counts.get(v, 0) + 1
+    prior, p = 0.7, {1: [[0.005, 0.1, 0.895]] * 8, 0: [[0.25, 0.1, 0.65]] * 8}
+
+    def good(v):
+        z = math.log(prior / (1 - prior))
+        for j, x in enumerate(v):
+            if x:
+                share = [p[c][j][x + 1] / (p[c][j][0] + p[c][j][2]) for c in (0, 1)]
+                z += math.log(share[1] / share[0])
+        return 1 / (1 + math.exp(-max(-60, min(60, z))))
+
+    for _ in range(200):
+        g = {v: good(v) for v in counts}
+        weight = {1: {v: n * g[v] for v, n in counts.items()}, 0: {v: n * (1 - g[v]) for v, n in counts.items()}}
+        prior = min(0.95, max(0.05, sum(weight[1].values()) / sum(counts.values())))
+        for c in (0, 1):
+            p[c] = [[(sum(n for v, n in weight[c].items() if v[j] == x) + 1) / (sum(weight[c].values()) + 3) for x in (-1, 0, 1)] for j in range(8)]
+        for j in range(8):
+            p[1][j][0] = min(p[1][j][0], p[0][j][0])
+        p = {c: [[x / sum(row) for x in row] for row in p[c]] for c in p}
+    for r in quality_rules.query(spark, sf_dir).collect():
+        v, failed = by_doc[r["doc_id"]]
+        assert r["base_failed"] == failed and r["quality"] == pytest.approx(good(v), abs=1e-6)
+        assert r["kept"] == (not failed and good(v) >= 0.5)
+
+
 def test_quality_posterior_separates_labels(spark, sf_dir):
     quality = {r["doc_id"]: r["quality"] for r in sequence(spark, sf_dir, "labels").collect()}
     got = {r["doc_id"]: r for r in quality_rules.query(spark, sf_dir).collect()}
@@ -666,7 +728,12 @@ def test_fingerprint_pairs(spark, sf_dir):
         r = got[d]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edit.encode()).hexdigest()
         assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        # likeness again from the printed fingerprints: 16 hex digits for each anchor, whose last 23 bits are its place
+        anchors = lambda x: {int(x[i : i + 16], 16) >> fingerprints.PLACE_BITS for i in range(0, len(x), 16)}
+        one, two = anchors(r["fingerprint"]), anchors(r["edited_fingerprint"])
+        three = anchors(got[rows[(i + 1) % len(rows)][0]]["fingerprint"])
+        for near, other in ((r["near_edited"], two), (r["near_next"], three)):
+            assert near == pytest.approx(len(one & other) / len(one | other) if one | other else 1.0)
     # half of the text is kept, little of it is in the next one
     far = [r for r in got.values() if r["n_chars"] > 400]
     assert np.mean([r["near_edited"] for r in far]) > 0.2 > np.mean([r["near_next"] for r in far])
@@ -773,6 +840,41 @@ def test_classifier_without_labels_and_odd_rows(spark):
     assert quality_classifier.sample_labelled(df, spark.createDataFrame([(9, 1), (1, None)], "doc_id long, quality int"))[:2] == ([], [])
 
 
+def test_classifier_scores_match_brute_force(spark, sf_dir):
+    """Learning and scoring again by hand: samples by hash, dictionaries, sizes of chunks, the curve by gradient descent."""
+    import zstandard
+
+    documents_, labels = sequence(spark, sf_dir, "documents"), sequence(spark, sf_dir, "labels")
+    known = labels.filter(~quality_classifier.held_out(F.col("doc_id")))
+    good, bad, share = quality_classifier.sample_labelled(documents_, known)
+    texts = {r["doc_id"]: r["text"] for r in documents_.collect()}
+    y = {r["doc_id"]: r["quality"] for r in known.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    assert sorted(good) == sorted(texts[d] for d, q in y.items() if q == 1) and sorted(bad) == sorted(texts[d] for d, q in y.items() if q == 0)
+    assert share == pytest.approx(sum(y.values()) / len(y))
+    model = quality_classifier.learn(good, bad, share)
+
+    def size(raw, dictionary):
+        data = zstandard.ZstdCompressionDict(dictionary)
+        return len(zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
+
+    def difference(text):
+        raw = (text or "").encode()
+        n = -(-len(raw) // quality_classifier.CHUNK)
+        chunks = [raw[len(raw) * i // n : len(raw) * (i + 1) // n] for i in range(n)]
+        return sum(size(c, model["dictionaries"][0]) - size(c, model["dictionaries"][1]) for c in chunks) / max(len(raw), 1)
+
+    fit = [(difference(t), c) for c, group in ((0, bad), (1, good)) for t in group[max(1, len(group) // 2) :]]
+    x, c = np.array([a for a, _ in fit]), np.array([b for _, b in fit], float)
+    a = b = 0.0
+    for _ in range(20_000):  # the same ridge as the operator's curve
+        q = 1 / (1 + np.exp(-(a + b * x / x.std())))
+        a, b = a + 0.02 * ((c - q).sum() - 1e-3 * a), b + 0.02 * (((c - q) * x / x.std()).sum() - 1e-3 * b)
+    a += math.log(share / (1 - share)) - math.log(c.sum() / (len(c) - c.sum()))
+    for r in quality_classifier.query(spark, sf_dir).collect():
+        z = a + b * difference(texts[r["doc_id"]]) / x.std()
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-3)
+
+
 # 10: Jaccard join
 
 

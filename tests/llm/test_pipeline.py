@@ -112,6 +112,28 @@ def test_mix_stage_with_repeated_rows(spark):
     assert out.columns == documents(spark, rows, ("copies", "row")).columns
 
 
+def test_stages_pass_any_column(spark, sf_dir):
+    """Maps, structs that hold maps, arrays, and names that operators use pass all stages but the last; rows stay whole."""
+    rng = random.Random(2)
+    lexicon = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 8))) for _ in range(900)]
+    say = lambda n: " ".join(rng.choice(lexicon) for _ in range(n))
+    rows = [(i, say(120), "en", "ab"[i % 2]) for i in range(60)]
+    rows += [rows[0], rows[0], (1, rows[2][1], "en", None), (None, say(130), "en", "a"), (900, None, "en", "a"), (901, "", "en", "a"), (902, say(60_000), "en", "b")]
+    df = documents(spark, rows).withColumn("nested", F.struct(F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))).withColumn("a map", F.create_map(F.lit("k"), F.array("text")))
+    for extra in ("size", "copies", "kept", "lang_pred", "quality", "node", "__gl_kind", "n_words", "c0"):
+        df = df.withColumn(extra, F.concat(F.lit(f"{extra}:"), F.coalesce("text", F.lit("")).substr(1, 9)))
+    docs, long = materialize(df, "any-columns"), 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        assert docs.columns == df.columns and docs.dtypes == df.dtypes, name
+        got = docs.collect()
+        assert len(got) > 30 and all(r["size"] == "size:" + (r["text"] or "")[:9] and r["__gl_kind"] == "__gl_kind:" + (r["text"] or "")[:9] for r in got), name
+        assert all(r["nested"]["m"] == {"k": r["doc_id"]} and r["a map"] == {"k": [r["text"]]} for r in got)
+        long += any(len(r["text"] or "") > 100_000 for r in got)
+        assert name == "language_id" or all(r["text"] for r in got)
+    assert long >= 3 and corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 30
+
+
 def test_packing_check_helper_rejects_a_gap():
     piece = {"doc_id": 1, "start": 1, "length": 1, "doc_tokens": 2, "sequence_id": 0, "offset": 0, "ids_crc32": 0}
     with pytest.raises(AssertionError):
