@@ -6,19 +6,24 @@ gives the same anchors wherever it stands (closed syncmers; Edgar 2021).  An anc
 The fingerprint holds all anchors of the text, at each of their places; from two fingerprints follow their likeness
 (Jaccard similarity of the sets of anchor hashes) and the places that match.
 
-Documents are neighbours in ascending order of doc_id.  Ranges of doc_id are dealt to tasks, and the first document
-of each range is also sent to the range before it, so one shuffle of the texts pairs all neighbours.
+Documents are neighbours in ascending order of doc_id, then of a hash of the text.  Ranges of that order are dealt to
+tasks, by bounds from a bounded sample, and the first document of each range is also sent to the range before it, so one
+shuffle of the texts pairs all neighbours.  Equal rows take part once and come back as many, so neither they nor the
+rows of one id must fit one range.
 
 Defined cases: null text is empty, an empty text has an empty fingerprint and is alike (1) to another empty
-one; texts of fewer than K tokens have one anchor, the whole sequence; tokens longer than TOKEN_CHARS are cut; places
-from 2^PLACE_BITS - 1 on are given as that; null ids come first; rows of one doc_id stand in the order of a hash of their texts; a single document is its own
-next one; an empty table gives an empty result.
+one; texts of fewer than K tokens have one anchor, the whole sequence; tokens longer than TOKEN_CHARS are cut; very long
+texts are read whole, places from 2^PLACE_BITS - 1 on are given as that; null ids come first; an equal row's next document
+is the next of its equals, the last one's what follows; a single document is its own next one; other columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from graphloom.llm.common import join_small, materialize, table
+
 K, S = 5, 2
 TOKEN_CHARS = 24
 #: Bits of an anchor's place; its hash has the other 40.
@@ -27,6 +32,8 @@ PLACE_BITS = 23
 RANGES = 4
 #: Ranges at most; their bounds (8 bytes each) are held in the plan.
 MOST_RANGES = 100_000
+#: Documents sampled for each range to find the bounds.
+SAMPLED = 20
 _FIRST = -(1 << 63)
 
 
@@ -120,39 +127,68 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds that are at most key, by binary search."""
+def _range_of(k: Column, tie: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Number of bounds that are at most (k, tie), by binary search."""
     if not bounds:
         return F.lit(0)
     steps, step = [], 1 << (len(bounds).bit_length() - 1)
     while step:
         steps.append(step)
         step >>= 1
-    held = F.lit(bounds)
-    return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(F.get(held, at + s - 1) <= key, at + s).otherwise(at))
+    ks, ties = F.lit([b[0] for b in bounds]), F.lit([b[1] for b in bounds])
+
+    def go(at: Column, s: Column) -> Column:
+        i = at + s - 1
+        return F.when((F.get(ks, i) < k) | ((F.get(ks, i) == k) & (F.get(ties, i) <= tie)), at + s).otherwise(at)
+
+    return F.aggregate(F.lit(steps), F.lit(0), go)
+
+
+def _bounds(keys: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """(k, tie) that cut the keys into about equal ranges, from a sample of SAMPLED for each."""
+    n = keys.count()
+    if ranges < 2 or n == 0:
+        return []
+    sample = keys if n <= SAMPLED * ranges else keys.sample(SAMPLED * ranges / n, seed=11)
+    # bounded, so one task may order it
+    place = F.row_number().over(Window.orderBy("k", "tie"))
+    size = max(1, min(n, SAMPLED * ranges) // ranges)
+    chosen = sample.withColumn("place", place).filter(F.col("place") % size == 0).select("k", "tie").distinct().limit(2 * ranges)
+    return sorted((r["k"], r["tie"]) for r in chosen.collect())
 
 
 def with_next_document(df: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(doc_id, text, fp, next_text, next_fp): each document with the next one by doc_id, the last with the first."""
+    """(doc_id, text, fp, next_text, next_fp): each document with the next one in order, the last with the first."""
     spark = df.sparkSession
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = min(MOST_RANGES, ranges or RANGES * partitions)
-    key = F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long")
-    ids = df.select(key.alias("k"))
-    shares = [i / ranges for i in range(1, ranges)]
-    found = ids.agg(F.percentile_approx("k", shares, max(10_000, 10 * ranges)).alias("b")).first()["b"] if shares else []
-    bounds = sorted(set(found or []))
-    # one row for each range, at most MOST_RANGES
-    firsts = sorted((r["r"], r["k"]) for r in ids.groupBy(_range_of(F.col("k"), bounds).alias("r")).agg(F.min("k").alias("k")).collect())
-    sent = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
-    copies = F.broadcast(spark.createDataFrame(sent, "k long, before int"))
-    rows = df.select("doc_id", key.alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("own", _range_of(F.col("k"), bounds)).join(copies, "k", "left")
+    text = F.coalesce("text", F.lit(""))
+    rows = df.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("k"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    keys = rows.select("k", "tie")
+    repeated = materialize(keys.groupBy("k", "tie").agg(F.count("*").alias("n")).filter("n > 1"), "fp-repeated")
+    if repeated.head(1):
+        rows = join_small(rows, repeated, ["k", "tie"], "left", salt_by=F.monotonically_increasing_id())
+        rows = rows.filter("n is null").unionByName(rows.filter("n is not null").dropDuplicates(["k", "tie"]))
+    else:
+        rows = rows.withColumn("n", F.lit(None).cast("long"))
+    bounds = _bounds(keys, ranges)
+    own = _range_of(F.col("k"), F.col("tie"), bounds)
+    # one row for each range, at most 2 * MOST_RANGES
+    firsts = sorted((r["r"], r["f"]["k"], r["f"]["tie"]) for r in keys.groupBy(own.alias("r")).agg(F.min(F.struct("k", "tie")).alias("f")).collect())
+    sent = [(k, tie, firsts[i - 1][0]) for i, (_, k, tie) in enumerate(firsts)]
+    copies = F.broadcast(spark.createDataFrame(sent, "k long, tie long, before int"))
+    rows = rows.withColumn("own", own).join(copies, ["k", "tie"], "left")
     places = F.array(F.struct(F.col("own").alias("range"), F.lit(0).alias("copy")), F.struct(F.col("before").alias("range"), F.lit(1).alias("copy")))
     places = F.when(F.col("before").isNull(), F.slice(places, 1, 1)).otherwise(places)
-    dealt = rows.withColumn("p", F.explode(places)).select("doc_id", "k", "text", "p.range", "p.copy").repartition(min(ranges, partitions), "range")
-    marked = dealt.withColumn("fp", fingerprint(F.col("text"))).withColumn("tie", F.xxhash64("text"))
+    dealt = rows.withColumn("p", F.explode(places)).select("doc_id", "k", "tie", "n", "text", "p.range", "p.copy").repartition(min(ranges, partitions), "range")
+    marked = dealt.withColumn("fp", fingerprint(F.col("text")))
     w = Window.partitionBy("range").orderBy("copy", "k", "tie")
-    return marked.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fp", F.lead("fp").over(w)).filter("copy = 0").select("doc_id", "text", "fp", "next_text", "next_fp")
+    paired = marked.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fp", F.lead("fp").over(w)).filter("copy = 0")
+    last = paired.select("doc_id", "text", "fp", "next_text", "next_fp")
+    if not repeated.head(1):
+        return last
+    several = paired.filter("n > 1").withColumn("i", F.explode(F.sequence(F.lit(2), F.col("n"))))
+    return last.unionByName(several.select("doc_id", "text", "fp", F.col("text").alias("next_text"), F.col("fp").alias("next_fp")))
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -169,7 +205,5 @@ def fingerprint_documents(df: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.llm.common import table
-
     found = fingerprint_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -1,7 +1,7 @@
 """Token-id files in patched frame-of-reference blocks.
 
-Documents are dealt by ranges of doc_id, encoded, and written as one binary file for each range, in
-ascending order of doc_id.  A file is a row of segments; numbers are little-endian:
+Documents are dealt by ranges of doc_id, encoded, and written as binary files in ascending order of doc_id: the files
+of a range, of FILE_SEGMENTS segments at most, are read by as many tasks.  A file is a row of segments; numbers are little-endian:
 
     segment   "GLTK", u32 bytes of the segment, u32 documents, u32 ids, u32 blocks,
               documents x (i64 doc_id, u32 ids),
@@ -16,8 +16,9 @@ of its values; what remains of larger values goes to the exception list (patched
 reference; Zukowski et al. 2006, Lemire and Boytsov 2015).  The block starts are an index: any block is
 decoded without the others.  Each segment is followed by one line feed, the separator of the writer.
 
-Defined cases: null texts are empty and have their end id alone; null ids come first and come back as
-null; rows of one doc_id stand in the order of their texts; an empty table gives no documents.
+Defined cases: null and empty texts have their end id alone; null ids come first and come back as
+null; rows of one doc_id stand in the order of their texts, equal rows each; very long texts are encoded in parts and
+lie in one segment of their own size; other columns, whatever their names, are not read; an empty table gives no documents.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphloom.llm.common import join_small, materialize, new_path
 from graphloom.llm.tokens import batch_encoder
@@ -37,6 +38,8 @@ BLOCK = 4096
 PERCENTILE = 0.95
 #: Ids after which a segment is closed; bounds the memory of writer and reader.
 SEGMENT_IDS = 1_000_000
+#: Segments in a file at most; bounds what a reader holds (some 40 MB) whatever the size of a range.
+FILE_SEGMENTS = 16
 MAGIC = b"GLTK"
 _NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIIII")
@@ -143,11 +146,18 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, path: str, do
             yield segment()
 
     # Spark's own writer commits the files; the bytes of the string column are written as they are
-    dealt.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    dealt.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
+
+
+def _file_number(path: Column) -> Column:
+    """The order of the writer's files: its task, then its file of that task, whatever the number of digits."""
+    name = F.element_at(F.split(path, "/"), -1)
+    task, of_task = (F.regexp_extract(name, r"^part-(\d+)-.*-c(\d+)", i).cast("long") for i in (1, 2))
+    return task * 1_000_000 + of_task
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each document of the files: file, place in it, doc_id, ids before it in the file, n_tokens, ids (binary)."""
+    """One row for each document of the files: file (its order among all), place in it, doc_id, ids before it in the file, n_tokens, ids (binary)."""
 
     def run(batches):
         for batch in batches:
@@ -159,15 +169,15 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     n = len(counts)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([name] * n, pa.string()), pa.array(range(place, place + n), pa.int64()), pa.array([None if d == _NULL_ID else d for d in doc_ids], pa.int64()),
+                            pa.array([name] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), pa.array([None if d == _NULL_ID else d for d in doc_ids], pa.int64()),
                             pa.array((at[:-1] + start).tolist(), pa.int64()), pa.array(counts, pa.int64()), pa.array(values, pa.binary()),
                         ],
                         names=["file", "place", "doc_id", "file_start", "n_tokens", "ids"],
                     )
                     start, place = start + int(at[-1]), place + n
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.mapInArrow(run, "file string, place long, doc_id long, file_start long, n_tokens long, ids binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(_file_number(F.col("path")).alias("file"), "content")
+    return files.mapInArrow(run, "file long, place long, doc_id long, file_start long, n_tokens long, ids binary")
 
 
 def with_global_starts(documents: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import materialize
 from graphloom.llm import fingerprints, jaccard_join, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, token_files, tokens, warc
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -487,6 +488,22 @@ def test_token_files_odd_rows(spark, tmp_path):
     assert token_files.read_token_files(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_of_many_segments(spark, tmp_path, monkeypatch):
+    """Ranges are cut into files and segments; files are in the order of their numbers, not of their names."""
+    monkeypatch.setattr(token_files, "FILE_SEGMENTS", 3)
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 40)
+    rng = random.Random(6)
+    rows = [(i, random_words(rng, rng.randrange(0, 30))) for i in range(300)]
+    token_files.write_token_files(documents(spark, rows), token_files.vocabulary_path(), 2, str(tmp_path / "t"), files=2)
+    assert len(list((tmp_path / "t").glob("part-*"))) > 10
+    got = token_files.with_global_starts(materialize(token_files.read_token_files(spark, str(tmp_path / "t")), "files")).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in got] == list(range(300))
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+    names = [f"/x/part-{t:05}-u-c{c:03}.txt" for t, c in [(0, 0), (0, 1), (0, 1000), (99_999, 0), (100_000, 0)]]
+    numbers = [r["n"] for r in spark.createDataFrame([(x,) for x in names], "p string").select(token_files._file_number(F.col("p")).alias("n")).collect()]
+    assert numbers == sorted(set(numbers))
+
+
 ALPHABET = ["a", "B", "é", "É", "×", "÷", " ", "  ", "\n", "'", "s", "t", ".", ",", "1", "²", "»", "!", "ª", "Σ", "\t", "l", "L", "\xa0", "\x00", "İ", "J̌", "<|endoftext|>", "日"]
 
 
@@ -806,6 +823,21 @@ def test_fingerprint_odd_rows(spark):
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
 
 
+def test_fingerprint_hot_ids_and_equal_rows(spark):
+    """Null ids, one id and equal rows that hold most of the table are dealt over ranges; each row has its next one."""
+    rng = random.Random(12)
+    rows = [(None, random_words(rng, 12)) for _ in range(60)] + [(7, random_words(rng, 9)) for _ in range(60)] + [(9, "the same words in all of these rows")] * 50 + [(i, random_words(rng, 8)) for i in range(10, 30)]
+    df = documents(spark, rows)
+    ties = {r["text"]: r["t"] for r in df.select("text", F.xxhash64("text").alias("t")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]))
+    expected = sorted((str(d), t, order[(i + 1) % len(order)][1]) for i, (d, t) in enumerate(order))
+    for ranges in (1, 13):
+        got = fingerprints.with_next_document(df, ranges).collect()
+        assert sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in got) == expected
+    bounds = fingerprints._bounds(df.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text").alias("tie")), 13)
+    assert len({k for k, _ in bounds}) < len(bounds)
+
+
 # 9: quality classifier
 
 
