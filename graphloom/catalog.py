@@ -403,13 +403,13 @@ def _pass_sql(where: str = "true") -> str:
 @query(f"WITH {ctes('planted', False)}, {_VERTICES}, {_pass_sql()} SELECT id, comm FROM l7")
 def bucket_pass(spark, sf_dir):
     g = Graph(spark, sf_dir, "planted")
-    return louvain.bucket_pass(g.arcs, g.nodes, louvain.identity_labels(g.nodes), materialize)
+    return louvain.bucket_pass(g.arcs, g.nodes, louvain.identity_labels(g.nodes))
 
 
 @query(f"WITH {ctes('planted', False)}, {_VERTICES}, {_pass_sql('v.id % 2 = 0')} SELECT id, comm FROM l7")
 def subset_bucket_pass(spark, sf_dir):
     g = Graph(spark, sf_dir, "planted")
-    return louvain.bucket_pass(g.arcs, g.nodes, louvain.identity_labels(g.nodes), materialize, g.nodes.filter("id % 2 = 0").select("id"))
+    return louvain.bucket_pass(g.arcs, g.nodes, louvain.identity_labels(g.nodes), g.nodes.filter("id % 2 = 0").select("id"))
 
 
 @query(
@@ -419,7 +419,7 @@ def subset_bucket_pass(spark, sf_dir):
 )
 def sync_sweeps_k3(spark, sf_dir):
     g = Graph(spark, sf_dir, "planted")
-    return louvain.synchronous_sweeps(g.arcs, g.nodes, louvain.identity_labels(g.nodes), 3, materialize)
+    return louvain.synchronous_sweeps(g.arcs, g.nodes, louvain.identity_labels(g.nodes), 3)
 
 
 @query(both_sql("SELECT sum(w)::BIGINT AS m2, sum(CASE WHEN x.comm = y.comm THEN w ELSE 0 END)::BIGINT AS inside FROM arcs JOIN labels x ON src = x.id JOIN labels y ON dst = y.id"))
@@ -551,7 +551,7 @@ class Changed:
 
     def added(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         arcs = materialize(dynamic.apply_adds(self.arcs, self.adds), "arcs")
-        nodes = dynamic.all_vertices(arcs, self.nodes)
+        nodes = materialize(dynamic.all_vertices(arcs, self.nodes), "nodes")
         return arcs, nodes, materialize(dynamic.seed_new_vertices(arcs, nodes, self.labels), "labels")
 
     def removed(self) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ a bucket against one snapshot.  Contracted graphs get small quickly; there a tas
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 #: Upper bounds of the degree buckets (fixed values); the last bucket is open.
@@ -51,20 +53,27 @@ def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(at, values, n) if values.dtype.kind == "f" else _int_sums(at, values, n)
 
 
-def best_moves(g: Graph, labels: np.ndarray, who: np.ndarray, tot: np.ndarray, size: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(vertices that move, their new communities) among `who`, against the given snapshot; only: allowed vertex * n + community."""
+def _near(g: Graph, labels: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vertex, adjacent community, weight between them, loops left out) of the vertices in `who`, in order."""
     count = g.degree[who]
     arc = np.repeat(g.first[who] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     v, t, w = g.src[arc], g.dst[arc], g.w[arc]
     keep = v != t
     v, c, w = v[keep], labels[t[keep]], w[keep]
     if len(v) == 0:
-        return v, c
+        return v, c, w
     order = np.lexsort((c, v))
     v, c, w = v[order], c[order], w[order]
     begin = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (c[1:] != c[:-1])]))
     e = np.add.reduceat(w, begin)
-    v, c = v[begin], c[begin]
+    return v[begin], c[begin], e
+
+
+def best_moves(g: Graph, labels: np.ndarray, who: np.ndarray, tot: np.ndarray, size: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices that move, their new communities) among `who`, against the given snapshot; only: allowed vertex * n + community."""
+    v, c, e = _near(g, labels, who)
+    if len(v) == 0:
+        return v, c
     cur = labels[v]
     own = np.zeros(g.n, e.dtype)
     mine = c == cur
@@ -90,35 +99,156 @@ def best_moves(g: Graph, labels: np.ndarray, who: np.ndarray, tot: np.ndarray, s
     return v[first], c[first]
 
 
-def one_level(g: Graph, labels: np.ndarray, subset: np.ndarray | None, min_gain: float, max_passes: int, on_bad_pass: str = "keep") -> tuple[np.ndarray, bool, int]:
-    """(labels, whether a pass gained, passes)."""
+@dataclass(frozen=True)
+class Rule:
+    """A criterion of functions.quality by id, with the totals of the prepared graph; the same formulas on arrays."""
+
+    id: int
+    m2: float
+    n: float
+    mx: float
+    extra: float
+    alpha: float = 0.5
+    kappa_min: int = 1
+
+    def score(self, in_w: np.ndarray, tot: np.ndarray, cw: np.ndarray) -> float:
+        m2, n, mx, square = self.m2, self.n, self.mx, self.n * self.n * self.mx
+        scale = {0: m2, 3: n * mx, 4: n * n, 5: m2, 6: m2, 8: n}.get(self.id, square)
+        if scale == 0 or len(cw) == 0:
+            return 0.0
+        total = {
+            0: lambda: (in_w - _over(tot * tot, m2))[tot > 0].sum(),
+            1: lambda: (2 * in_w - mx * cw * cw).sum() + square - m2,
+            2: lambda: (in_w - self.alpha * mx * cw * cw).sum() + self.alpha * (square - m2),
+            3: lambda: (in_w / (2 * cw)).sum(),
+            4: lambda: in_w.sum() + self.extra,
+            5: lambda: (in_w - 2 * tot * cw / n).sum() + m2 / (n * n) * (cw * cw).sum(),
+            6: lambda: in_w.sum() - m2 / (n * n) * (cw * cw).sum(),
+            7: lambda: (2 * in_w / cw).sum() - self.extra - len(cw),
+            8: lambda: _over(in_w, tot)[tot > 0].sum() - len(cw),
+            9: lambda: (2 * in_w - _over(tot * tot, m2) - mx * cw * cw + self._balance(cw * n * mx - tot, n * cw * mx - tot)).sum(),
+        }[self.id]()
+        return float(total / scale)
+
+    def _balance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        rest = self.n * self.n * self.mx - self.m2
+        return a * b / rest if rest else np.zeros(len(a))
+
+    def gain(self, dnc, k, s, u, in_w, tot, cw, kappa) -> np.ndarray:
+        """Ranking value of a move into a community that the vertex has left."""
+        m2, n, mx = self.m2, self.n, self.mx
+        return {
+            0: lambda: dnc - _over(tot * k, m2),
+            1: lambda: 2 * dnc - u * cw * mx,
+            2: lambda: dnc - self.alpha * u * cw * mx,
+            3: lambda: np.where(cw == 0, (2 * dnc + s) / (2 * u), (in_w + 2 * dnc + s) / (2 * (cw + u)) - _over(in_w, 2 * cw)),
+            4: lambda: dnc + 0.0,
+            5: lambda: dnc - (tot * u + k * cw) / n + m2 * u * cw / (n * n),
+            6: lambda: dnc - m2 * u * cw / (n * n),
+            7: lambda: _ratio_gain(dnc, s, in_w, cw, u, 0.5),
+            8: lambda: np.where(kappa < self.kappa_min, 0.0, _ratio_gain(dnc, s, in_w, tot, k, 1.0)),
+            9: lambda: 2 * dnc - _over(k * tot, m2) - u * cw * mx + self._balance(n * u * mx - k, n * cw * mx - tot),
+        }[self.id]()
+
+
+def _over(a: np.ndarray, b) -> np.ndarray:
+    """a / b, 0 where that is undefined."""
+    b = np.broadcast_to(np.asarray(b, float), np.shape(a))
+    return np.divide(a, b, out=np.zeros(np.shape(a)), where=b != 0)
+
+
+def _ratio_gain(dnc, s, own, size, after, empty_minus: float) -> np.ndarray:
+    start = _over(2 * dnc + s, after) - empty_minus
+    return np.where(size == 0, start, _over(own + 2 * dnc + s, size + after) - _over(own, size))
+
+
+class _Modularity:
+    """State of a partition under exact modularity."""
+
+    def __init__(self, g: Graph, labels: np.ndarray):
+        self.g, self.top = g, max(g.n, int(labels.max()) + 1 if len(labels) else 0)
+        self.update(labels)
+
+    def update(self, labels: np.ndarray) -> None:
+        self.labels, self.tot, self.size = labels, _sums(labels, self.g.k, self.top), np.bincount(labels, minlength=self.top)
+
+    def quality(self) -> float:
+        return self.g.quality(self.labels)
+
+    def moves(self, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return best_moves(self.g, self.labels, who, self.tot, self.size)
+
+
+class _ByRule(_Modularity):
+    """The same under any criterion."""
+
+    def __init__(self, g: Graph, labels: np.ndarray, rule: Rule):
+        self.rule = rule
+        loop = g.src == g.dst
+        self.s = np.bincount(g.src[loop], g.w[loop], g.n)
+        super().__init__(g, labels)
+
+    def update(self, labels: np.ndarray) -> None:
+        super().update(labels)
+        inside = labels[self.g.src] == labels[self.g.dst]
+        self.in_w = np.bincount(labels[self.g.src][inside], self.g.w[inside], self.top)
+        self.cw = np.bincount(labels, self.g.node_w, self.top)
+        self.tot = self.tot.astype(float)
+
+    def quality(self) -> float:
+        some = self.size > 0
+        return self.rule.score(self.in_w[some], self.tot[some], self.cw[some])
+
+    def moves(self, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v, c, e = _near(self.g, self.labels, who)
+        if len(v) == 0:
+            return v, c
+        cur, size = self.labels[v], self.size
+        own = np.zeros(self.g.n)
+        mine = c == cur
+        own[v[mine]] = e[mine]
+        keep = ~mine & ((c < cur) | (size[c] > 1) | (size[cur] > 1))
+        v, c, e, cur = v[keep], c[keep], e[keep], cur[keep]
+        k, s, u, alone = self.g.k[v].astype(float), self.s[v], self.g.node_w[v].astype(float), size[cur] == 1
+        kappa = (size > 0).sum() - alone
+        left = [np.where(alone, 0.0, x) for x in (self.in_w[cur] - 2 * own[v] - s, self.tot[cur] - k, self.cw[cur] - u)]
+        gain = self.rule.gain(e.astype(float), k, s, u, self.in_w[c], self.tot[c], self.cw[c], kappa) - self.rule.gain(own[v], k, s, u, *left, kappa)
+        gain = np.round(gain, 9)
+        good = gain > 0
+        v, c, gain = v[good], c[good], gain[good]
+        order = np.lexsort((c, -gain, v))
+        v, c = v[order], c[order]
+        first = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
+        return v[first], c[first]
+
+
+def one_level(g: Graph, labels: np.ndarray, subset: np.ndarray | None, min_gain: float, max_passes: int, on_bad_pass: str = "keep", rule: Rule | None = None) -> tuple[np.ndarray, bool, int, float]:
+    """(labels, whether a pass gained, passes, quality); without a rule under exact modularity."""
     bucket = bucket_of(g.degree)
     allowed = bucket > 0 if subset is None else (bucket > 0) & subset
     groups = [np.flatnonzero(allowed & (bucket == b)) for b in range(1, len(BUCKET_TOPS) + 2)]
-    labels = labels.copy()
-    top = max(g.n, int(labels.max()) + 1 if len(labels) else 0)
-    tot, size = _sums(labels, g.k, top), np.bincount(labels, minlength=top)
-    q, improved, passes = g.quality(labels), False, 0
+    state = _Modularity(g, labels.copy()) if rule is None else _ByRule(g, labels.copy(), rule)
+    q, improved, passes = state.quality(), False, 0
     while passes < max_passes:
-        before, moved = labels.copy(), 0
+        before, moved = state.labels.copy(), 0
         for who in groups:
             if len(who) == 0:
                 continue
-            v, c = best_moves(g, labels, who, tot, size)
+            v, c = state.moves(who)
             if len(v):
-                labels[v] = c
+                state.labels[v] = c
                 moved += len(v)
-                tot, size = _sums(labels, g.k, top), np.bincount(labels, minlength=top)
+                state.update(state.labels)
         passes += 1
-        new = g.quality(labels)
+        new = state.quality()
         if new < q and on_bad_pass == "revert":
-            return before, improved, passes
+            return before, improved, passes, q
         improved |= new > q
         stop = new - q < min_gain or moved == 0
         q = new
         if stop:
             break
-    return labels, improved, passes
+    return state.labels, improved, passes, q
 
 
 def screen(g: Graph, labels: np.ndarray, v: np.ndarray, t: np.ndarray, added: bool) -> np.ndarray:
@@ -154,7 +284,7 @@ def contract(g: Graph, labels: np.ndarray) -> tuple[Graph, np.ndarray]:
     return Graph(n, key[begin] // n, key[begin] % n, np.add.reduceat(w, begin), _int_sums(dense, g.node_w, n)), dense
 
 
-def louvain(g: Graph, labels: np.ndarray | None = None, subset: np.ndarray | None = None, min_gain: float = 0.001, max_passes: int = 1000, max_levels: int = 100, on_bad_pass: str = "keep") -> tuple[list[np.ndarray], list[dict]]:
+def louvain(g: Graph, labels: np.ndarray | None = None, subset: np.ndarray | None = None, min_gain: float = 0.001, max_passes: int = 100, max_levels: int = 100, on_bad_pass: str = "keep", rule: Rule | None = None) -> tuple[list[np.ndarray], list[dict]]:
     """(for each level the community of each of its nodes, numbered densely; metrics of each level).
 
     With an initial partition the first level is contracted even without a gain.
@@ -162,8 +292,7 @@ def louvain(g: Graph, labels: np.ndarray | None = None, subset: np.ndarray | Non
     levels, metrics, warm = [], [], labels is not None
     current = np.arange(g.n) if labels is None else labels
     for level in range(max_levels):
-        current, improved, passes = one_level(g, current, subset if level == 0 else None, min_gain, max_passes, on_bad_pass)
-        q = g.quality(current)
+        current, improved, passes, q = one_level(g, current, subset if level == 0 else None, min_gain, max_passes, on_bad_pass, rule)
         nodes, arcs = g.n, len(g.src)
         smaller, dense = contract(g, current)
         metrics.append({"level": level, "nodes": nodes, "arcs": arcs, "passes": passes, "quality": q, "communities": smaller.n})

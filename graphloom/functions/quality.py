@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.operators import graph
 
@@ -154,38 +154,44 @@ def score(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame
     return got.select(F.lit(c.name).alias("criterion"), (q if digits is None else F.round(q, digits)).alias("q"))
 
 
-def gains(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, digits: int | None = 9, sums: DataFrame | None = None, **options) -> DataFrame:
-    """(id, comm, gain): for each vertex and adjacent community, its own included, with the vertex taken out first."""
+def gains(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, digits: int | None = 9, sums: DataFrame | None = None, who: DataFrame | None = None, near: DataFrame | None = None, **options) -> DataFrame:
+    """(id, comm, gain): for each vertex and adjacent community, its own included, with the vertex taken out first.
+
+    who: vertices (id) to which this is restricted; near: the arcs that start from them, if at hand.
+    """
     c = criterion(which)
     arcs, sums = prepared(c, arcs, nodes) if sums is None else (arcs, sums)
     stats = graph.community_stats(arcs, nodes, labels)
     d = graph.degrees(arcs, nodes).select("id", C("weighted_degree").alias("k"), C("loop_w").alias("s"))
-    vertex = d.join(nodes.select("id", C("node_w").alias("u")), "id").join(labels.select("id", C("comm").alias("own")), "id")
-    rows = graph.community_weights(arcs, labels).join(vertex, "id").join(stats, "comm").crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(stats.agg(F.count("*").alias("kappa"))))
-    mine = C("comm") == C("own")
-    without = lambda value, part: F.when(mine, value - part).otherwise(value)
-    # the vertex's leaving empties its community if it was alone there
-    kappa = C("kappa") - F.when(C("own_size") == 1, F.lit(1)).otherwise(F.lit(0))
+    mine, used = labels, arcs if near is None else near
+    if who is not None:
+        mine = labels.join(who.select("id"), "id", "left_semi")
+        used = used.join(who.select(C("id").alias("src")), "src", "left_semi") if near is None else used
+    vertex = d.join(nodes.select("id", C("node_w").alias("u")), "id").join(mine.select("id", C("comm").alias("own")), "id")
+    weights = graph.with_label(used.filter("src <> dst"), labels, "dst", "comm").select(C("src").alias("id"), "comm", "w")
+    weights = weights.unionByName(mine.select("id", "comm", F.lit(0).cast(dict(arcs.dtypes)["w"]).alias("w"))).groupBy("id", "comm").agg(F.sum("w").alias("dnc"))
+    rows = weights.join(vertex, "id").join(stats, "comm").crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(stats.agg(F.count("*").alias("kappa"))))
     sizes = stats.select(C("comm").alias("own"), C("size").alias("own_size"))
-    rows = rows.join(sizes, "own").withColumn("kappa", kappa)
+    rows = rows.join(sizes, "own")
+    own, alone = C("comm") == C("own"), C("own_size") == 1
+    # a vertex that was alone leaves an empty community
+    without = lambda value, part: F.when(own & alone, value - value).when(own, value - part).otherwise(value)
     rows = rows.select(
-        "id", "comm", "dnc", "k", "s", "u", "m2", "n", "mx", "extra", "kappa",
+        "id", "comm", "own", "size", "own_size", "dnc", "k", "s", "u", "m2", "n", "mx", "extra",
+        (C("kappa") - alone.cast("int")).alias("kappa"),
         without(C("in_w"), F.lit(2) * C("dnc") + C("s")).alias("in_w"),
         without(C("tot_w"), C("k")).alias("tot_w"),
         without(C("node_w"), C("u")).alias("cw"),
     )
     gain = c.gain(parameters(**options))
-    return rows.select("id", "comm", (gain if digits is None else F.round(gain, digits)).alias("gain"))
+    return rows.select("id", "comm", (gain if digits is None else F.round(gain, digits)).alias("gain"), "own", "size", "own_size")
 
 
-def best_moves(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, sums: DataFrame, who: DataFrame, **options) -> DataFrame:
+def best_moves(which: int | str, arcs: DataFrame, nodes: DataFrame, labels: DataFrame, sums: DataFrame, who: DataFrame, near: DataFrame | None = None, **options) -> DataFrame:
     """(id, comm): for the vertices in `who`, the community with the largest gain over their own, the lower id first among equals."""
-    rows = gains(which, arcs, nodes, labels, None, sums, **options)
-    rows = rows.join(who.select("id"), "id", "left_semi").join(labels.select("id", C("comm").alias("own")), "id")
-    sizes = labels.groupBy("comm").agg(F.count("*").alias("size"))
-    rows = rows.join(sizes, "comm").join(sizes.select(C("comm").alias("own"), C("size").alias("own_size")), "own")
-    mine = rows.filter("comm = own").select("id", C("gain").alias("stay"))
-    other = rows.filter((C("comm") != C("own")) & ((C("comm") < C("own")) | (C("size") > 1) | (C("own_size") > 1))).join(mine, "id")
+    rows = gains(which, arcs, nodes, labels, None, sums, who, near, **options)
+    stay = F.max(F.when(C("comm") == C("own"), C("gain"))).over(Window.partitionBy("id"))
+    other = rows.withColumn("stay", stay).filter((C("comm") != C("own")) & ((C("comm") < C("own")) | (C("size") > 1) | (C("own_size") > 1)))
     net = other.withColumn("net", F.round(C("gain") - C("stay"), 9)).filter("net > 0")
     return net.groupBy("id").agg(F.max(F.struct("net", (-C("comm")).alias("minus"))).alias("b")).select("id", (-C("b.minus")).alias("comm"))
 

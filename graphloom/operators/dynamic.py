@@ -37,11 +37,10 @@ def effective_deletes(arcs: DataFrame, dels: DataFrame) -> DataFrame:
 
 
 def all_vertices(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes up to the largest id that an arc has, with those known before."""
-    top = arcs.agg(F.max(F.greatest("src", "dst")).alias("top")).crossJoin(nodes.agg(F.max("id").alias("old")))
-    first, last = F.coalesce("old", F.lit(-1)) + 1, F.coalesce("top", F.lit(-1))
-    more = top.filter(last >= first).select(F.explode(F.sequence(first, last)).alias("id"), F.lit(1).cast("long").alias("node_w"))
-    return nodes.select("id", "node_w").unionByName(more)
+    """Nodes up to the largest id that an arc has, with those known before; arcs and nodes are materialized."""
+    top, old = arcs.agg(F.max(F.greatest("src", "dst"))).first()[0], nodes.agg(F.max("id")).first()[0]
+    more = graph.vertex_range(arcs.sparkSession, -1 if old is None else old, -1 if top is None else top)
+    return nodes.select("id", "node_w").unionByName(more.filter(F.lit(old is None) | (C("id") > F.lit(old))).filter("id >= 0"))
 
 
 def seed_new_vertices(arcs: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:

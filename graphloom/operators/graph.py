@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Ids in a block of the dense numbering: at most this many distinct ids are sorted in one task.
-BLOCK_BITS = 20
+from graphloom.plans.store import materialize, small
 
 
 def with_weight(edges: DataFrame) -> DataFrame:
@@ -48,29 +47,35 @@ def arcs_of(edges: DataFrame, weighted: bool = False) -> DataFrame:
 
 
 def nodes_of(arcs: DataFrame) -> DataFrame:
-    """Vertices 0 to the largest id; gaps are isolated vertices."""
-    top = arcs.agg(F.max(F.greatest("src", "dst")).alias("top"))
-    return top.filter("top is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("id")).withColumn("node_w", F.lit(1).cast("long"))
+    """Vertices 0 to the largest id of materialized arcs; gaps are isolated vertices.  One row is collected, the vertices are made in many tasks."""
+    top = arcs.agg(F.max(F.greatest("src", "dst"))).first()[0]
+    return vertex_range(arcs.sparkSession, 0, -1 if top is None else top)
 
 
-def nodes_of_large(spark, top: int) -> DataFrame:
-    """The same from a known largest id, made in many tasks."""
-    return spark.range(0, top + 1).withColumn("node_w", F.lit(1).cast("long"))
+def vertex_range(spark, first: int, last: int) -> DataFrame:
+    return spark.range(first, last + 1).select("id", F.lit(1).cast("long").alias("node_w"))
+
+
+def _in_ranges(df: DataFrame, column: str) -> DataFrame:
+    """df dealt to ranges of a column by sampled bounds, with the range's number (__part): about as many rows in each, whatever the values."""
+    return materialize(df.repartitionByRange(column).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def _before(sizes: DataFrame, value: str) -> DataFrame:
+    """(__part, __before): sums of the ranges before; one row for each range is summed in one place."""
+    before = F.coalesce(F.sum(value).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return F.broadcast(sizes.select("__part", before.alias("__before")))
 
 
 def dense_ids(ids: DataFrame, column: str, name: str) -> DataFrame:
     """(column, name): distinct integer ids numbered from 0 in ascending order.
 
-    Ids are numbered inside blocks of 2 ** BLOCK_BITS values and moved by the number of ids in the blocks
-    before, so no task sorts more than a block; only one row for each block is summed in one place.
+    Ids are numbered inside ranges and moved by the number of ids in the ranges before, so no task sorts more than a range.
     """
-    block = F.shiftright(F.col(column), BLOCK_BITS)
-    distinct = ids.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("__block", block)
-    sizes = distinct.groupBy("__block").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__block", before.alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__block").orderBy(column)) - 1
-    return distinct.withColumn("__rank", rank).join(starts, "__block").select(column, (F.col("__before") + F.col("__rank")).cast("long").alias(name))
+    distinct = _in_ranges(ids.select(column).filter(F.col(column).isNotNull()).distinct(), column)
+    starts = _before(distinct.groupBy("__part").agg(F.count("*").alias("__n")), "__n")
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1
+    return distinct.withColumn("__rank", rank).join(starts, "__part").select(column, (F.col("__before") + F.col("__rank")).cast("long").alias(name))
 
 
 def renumber_map(arcs: DataFrame) -> DataFrame:
@@ -151,13 +156,11 @@ def max_degree(arcs: DataFrame) -> DataFrame:
 
 
 def running_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Sums of value up to and with each unique integer key, by blocks as in dense_ids."""
-    blocks = df.withColumn("__block", F.shiftright(F.col(key), BLOCK_BITS))
-    sizes = blocks.groupBy("__block").agg(F.sum(value).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__block", before.alias("__before"))
-    inside = F.sum(value).over(Window.partitionBy("__block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return blocks.withColumn("__inside", inside).join(starts, "__block").withColumn(name, (F.col("__before") + F.col("__inside")).cast("long")).drop("__block", "__inside", "__before")
+    """Sums of value up to and with each unique key, by ranges as in dense_ids."""
+    ranges = _in_ranges(df, key)
+    starts = _before(ranges.groupBy("__part").agg(F.sum(value).alias("__n")), "__n")
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return ranges.withColumn("__inside", inside).join(starts, "__part").withColumn(name, (F.col("__before") + F.col("__inside")).cast("long")).drop("__part", "__inside", "__before")
 
 
 def csr_offsets(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -179,7 +182,8 @@ def half_edges(arcs: DataFrame) -> DataFrame:
 
 
 def with_label(df: DataFrame, labels: DataFrame, id_: str, name: str) -> DataFrame:
-    return df.join(labels.select(F.col("id").alias(id_), F.col("comm").alias(name)), id_)
+    """df with the community of each id_; ids may be hubs: small labels are broadcast."""
+    return df.join(small(labels.select(F.col("id").alias(id_), F.col("comm").alias(name))), id_)
 
 
 def community_weights(arcs: DataFrame, labels: DataFrame) -> DataFrame:

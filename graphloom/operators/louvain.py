@@ -6,10 +6,11 @@ changes the quality by 2 g / m2^2, g = m2 (e_vc - e_own) + k ((tot_own - k) - to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.functions.local_louvain import BUCKET_TOPS
 from graphloom.operators import graph
+from graphloom.plans.store import materialize, small
 
 C = F.col
 
@@ -38,17 +39,17 @@ def community_totals(vertices: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def candidate_gains(arcs: DataFrame, vertices: DataFrame, labels: DataFrame, m2: Column, who: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """(id, comm, g): the net gain of each admissible move, for the vertices in `who` and, if given, the (id, comm) in `allowed`."""
-    used = arcs if who is None else arcs.join(who.select(C("id").alias("src")), "src", "left_semi")
+    """(id, comm, g): the net gain of each admissible move, for the vertices in `who` (all that arcs start from by default) and, if given, the (id, comm) in `allowed`."""
+    used = arcs if who is None else arcs.join(small(who.select(C("id").alias("src"))), "src", "left_semi")
     near = graph.with_label(used.filter("src <> dst"), labels, "dst", "comm").groupBy(C("src").alias("id"), "comm").agg(F.sum("w").alias("e"))
     if allowed is not None:
         near = near.join(allowed, ["id", "comm"], "left_semi")
     totals = community_totals(vertices, labels)
     own = labels.select("id", C("comm").alias("cur")).join(vertices.select("id", "k"), "id")
     rows = near.join(own, "id")
-    # weight to the own community comes from the same aggregate, in one more pass over its groups
-    mine = rows.filter(C("comm") == C("cur")).select("id", C("e").alias("e_own"))
-    rows = rows.filter(C("comm") != C("cur")).join(mine, "id", "left")
+    # the weight to the own community stands in one of the vertex's own groups
+    mine = F.sum(F.when(C("comm") == C("cur"), C("e"))).over(Window.partitionBy("id"))
+    rows = rows.withColumn("e_own", mine).filter(C("comm") != C("cur"))
     rows = rows.join(totals, "comm").join(totals.select(C("comm").alias("cur"), C("tot").alias("tot_cur"), C("size").alias("size_cur")), "cur")
     rows = rows.filter((C("comm") < C("cur")) | (C("size") > 1) | (C("size_cur") > 1))
     g = m2 * (C("e") - F.coalesce(C("e_own"), F.lit(0))) + C("k") * ((C("tot_cur") - C("k")) - C("tot"))
@@ -75,31 +76,32 @@ def best_moves(arcs: DataFrame, vertices: DataFrame, labels: DataFrame, who: Dat
 
 def apply_moves(labels: DataFrame, moves: DataFrame) -> DataFrame:
     new = moves.select("id", C("comm").alias("new"))
-    return labels.join(new, "id", "left").select("id", F.coalesce("new", "comm").alias("comm"))
+    return labels.select("id", "comm").join(new, "id", "left").select("id", F.coalesce("new", "comm").alias("comm"))
 
 
-def bucket_pass(arcs: DataFrame, nodes: DataFrame, labels: DataFrame, keep=lambda df, tag: df, subset: DataFrame | None = None) -> DataFrame:
-    """One pass over the buckets: each moves against the labels that the one before left.
+def by_bucket(arcs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(vertices with their buckets, arcs with their sources' buckets, the buckets that have vertices with arcs), written once for a level."""
+    vertices = materialize(degree_buckets(arcs, nodes), "buckets")
+    dealt = materialize(arcs.join(small(vertices.select(C("id").alias("src"), "bucket")), "src").select("src", "dst", "w", "bucket"), "bucket-arcs", by="bucket")
+    return vertices, dealt, [r["bucket"] for r in vertices.filter("bucket > 0").select("bucket").distinct().orderBy("bucket").collect()]
 
-    keep(df, tag) cuts the lineage between buckets (materialize); without it the plans nest.
-    """
-    vertices = keep(degree_buckets(arcs, nodes), "buckets")
-    m2 = _m2(arcs)
-    present = [r["bucket"] for r in vertices.filter("bucket > 0").select("bucket").distinct().orderBy("bucket").collect()]
+
+def bucket_pass(arcs: DataFrame, nodes: DataFrame, labels: DataFrame, subset: DataFrame | None = None, tables: tuple[DataFrame, DataFrame, list[int]] | None = None, m2: Column | None = None) -> DataFrame:
+    """One pass over the buckets: each moves against the labels that the one before left.  tables: by_bucket(arcs, nodes), m2: their total, if at hand."""
+    vertices, dealt, present = by_bucket(arcs, nodes) if tables is None else tables
+    m2 = _m2(arcs) if m2 is None else m2
     for b in present:
-        who = vertices.filter(C("bucket") == b)
-        if subset is not None:
-            who = who.join(subset, "id", "left_semi")
-        labels = keep(apply_moves(labels, best_moves(arcs, vertices, labels, who, m2)), "labels")
+        moves = best_moves(dealt.filter(C("bucket") == b), vertices, labels, subset, m2)
+        labels = materialize(apply_moves(labels, moves), "labels")
     return labels
 
 
-def synchronous_sweeps(arcs: DataFrame, nodes: DataFrame, labels: DataFrame, sweeps: int, keep=lambda df, tag: df) -> DataFrame:
+def synchronous_sweeps(arcs: DataFrame, nodes: DataFrame, labels: DataFrame, sweeps: int) -> DataFrame:
     """All vertices move at once, some times over; without buckets this may swing between partitions."""
-    vertices = keep(degree_buckets(arcs, nodes), "buckets")
+    vertices = materialize(degree_buckets(arcs, nodes), "buckets")
     m2 = _m2(arcs)
     for _ in range(sweeps):
-        labels = keep(apply_moves(labels, best_moves(arcs, vertices, labels, None, m2)), "labels")
+        labels = materialize(apply_moves(labels, best_moves(arcs, vertices, labels, None, m2)), "labels")
     return labels
 
 

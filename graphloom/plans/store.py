@@ -39,11 +39,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again."""
+def materialize(df: DataFrame, tag: str, files: int | None = None, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again; `by`: in a folder for each value of that column, so filters on it read one."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    (df.coalesce(files) if files else df).write.parquet(path)
+    writer = (df.coalesce(files) if files else df).write
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,3 +74,8 @@ def join_small(left: DataFrame, small: DataFrame, key: str | list[str], how: str
     copies = small.withColumn("__gl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keys = [key] if isinstance(key, str) else list(key)
     return left.withColumn("__gl_salt", salt).join(copies, [*keys, "__gl_salt"], how).drop("__gl_salt")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table with a broadcast hint if the planner knows it to be small; else as it is, and hot keys are left to adaptive skew joins."""
+    return F.broadcast(df) if written_bytes(df) <= BROADCAST_BYTES else df
