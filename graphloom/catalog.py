@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from graphloom.functions import quality
 from graphloom.operators import dynamic, graph, hierarchy, louvain
 from graphloom.plans import run
-from graphloom.plans.store import materialize, shared_dir
+from graphloom.plans.store import materialize, new_path
 from graphloom.sources import tables
 
 C = F.col
@@ -386,10 +386,10 @@ def best_moves(spark, sf_dir):
     return both_graphs(lambda g: louvain.best_moves(g.arcs, louvain.degree_buckets(g.arcs, g.nodes), g.labels).select("id", "comm", *long("g")))(spark, sf_dir)
 
 
-@query(f"WITH {ctes('planted')}, {_VERTICES}, {moves_sql('labels', 'v.id % 3 = 0')} SELECT id, comm, g FROM best")
+@query(f"WITH {ctes('planted', False)}, {_VERTICES}, l0 AS (SELECT id, id AS comm FROM nodes), {moves_sql('l0', 'v.id % 3 = 0')} SELECT id, comm, g FROM best")
 def subset_best_moves(spark, sf_dir):
     g = Graph(spark, sf_dir, "planted")
-    return louvain.best_moves(g.arcs, louvain.degree_buckets(g.arcs, g.nodes), g.labels, g.nodes.filter("id % 3 = 0")).select("id", "comm", *long("g"))
+    return louvain.best_moves(g.arcs, louvain.degree_buckets(g.arcs, g.nodes), louvain.identity_labels(g.nodes), g.nodes.filter("id % 3 = 0")).select("id", "comm", *long("g"))
 
 
 def _pass_sql(where: str = "true") -> str:
@@ -539,14 +539,14 @@ seeded AS (SELECT id, comm FROM labels UNION ALL SELECT id, comm FROM joins UNIO
 class Changed:
     """The planted graph with a batch of additions, some of new vertices, and one of deletions, some of edges that don't exist."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, gone: str = "(src + dst) % 10 = 0", missing: str = "src % 50 = 0"):
         g = Graph(spark, sf_dir, "planted")
         n = tables.table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
         orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").crossJoin(F.broadcast(n))
         near = orders.filter("o_orderkey % 40 = 10").selectExpr("o_custkey as src", "(o_custkey * 11 + o_orderkey) % n as dst")
         far = orders.filter("o_orderkey % 200 = 30").selectExpr("o_custkey as src", "n + 3 + o_orderkey % 50 as dst")
         self.adds = near.union(far).union(n.selectExpr("n + 60 as src", "n + 61 as dst"))
-        self.dels = g.edges.filter("(src + dst) % 10 = 0").select("src", "dst").union(g.edges.filter("src % 50 = 0").selectExpr("src", "src + 5 as dst"))
+        self.dels = g.edges.filter(gone).select("src", "dst").union(g.edges.filter(missing).selectExpr("src", "src + 5 as dst"))
         self.g, self.arcs, self.nodes, self.labels = g, g.arcs, g.nodes, g.labels
 
     def added(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -612,6 +612,24 @@ def screen_del(spark, sf_dir):
     return dynamic.screen_del(arcs, c.labels, removed)
 
 
+_FEW = _DEL_MARKS.replace("(src + dst) % 10 = 0", "src % 300 = 5").replace("src % 50 = 0", "src % 500 = 0")
+
+
+@query(f"WITH {_FEW} SELECT id FROM marks UNION SELECT dst FROM arcs_del WHERE src IN (SELECT id FROM marks) UNION SELECT id FROM labels WHERE comm IN (SELECT comm FROM marks)")
+def screen_del_few(spark, sf_dir):
+    """A batch in few communities: most vertices stay out."""
+    c = Changed(spark, sf_dir, "src % 300 = 5", "src % 500 = 0")
+    arcs, removed = c.removed()
+    return dynamic.screen_del(arcs, c.labels, removed)
+
+
+@query(f"WITH {_FEW} SELECT id FROM labels WHERE comm IN (SELECT comm FROM marks) UNION SELECT dst FROM arcs_del JOIN marks ON src = marks.id JOIN labels l ON dst = l.id WHERE l.comm <> marks.comm")
+def screen_community_del_few(spark, sf_dir):
+    c = Changed(spark, sf_dir, "src % 300 = 5", "src % 500 = 0")
+    arcs, removed = c.removed()
+    return dynamic.screen_communities(arcs, c.labels, removed)
+
+
 @query(f"WITH {_DEL_MARKS} SELECT id FROM marks UNION SELECT dst FROM arcs_del WHERE src IN (SELECT id FROM marks)")
 def expand_marked(spark, sf_dir):
     c = Changed(spark, sf_dir)
@@ -637,7 +655,85 @@ def screen_everything(spark, sf_dir):
     return dynamic.screen_everything(Graph(spark, sf_dir, "planted").nodes)
 
 
-# whole runs: iterative, so without SQL
+# whole runs
+
+#: Passes that the SQL of a level has; the pass loop ends with the first one that gains less than MIN_GAIN.
+_PASSES = 5
+
+
+def _level_sql(graph_name: str) -> str:
+    """CTEs ending in last(id, comm, passes): level 0 from singletons, pass after pass, up to the one at which the loop stops."""
+    parts, labels = [ctes(graph_name, False), _VERTICES, "s0 AS MATERIALIZED (SELECT id, id AS comm FROM nodes)"], "s0"
+    for p in range(1, _PASSES + 1):
+        for b in range(1, 8):
+            tag, out = f"{p}_{b}", f"s{p}" if b == 7 else f"l{p}_{b}"
+            parts += [moves_sql(labels, f"v.bucket = {b}", tag).replace(f"best{tag} AS (", f"best{tag} AS MATERIALIZED ("), apply_sql(labels, tag, out).replace(" AS (", " AS MATERIALIZED (", 1)]
+            labels = out
+    for p in range(_PASSES + 1):
+        parts.append(f"""q{p} AS MATERIALIZED (SELECT (m2 * inside - squares)::DOUBLE / (m2::DOUBLE * m2) AS q FROM (SELECT sum(tot)::HUGEINT AS m2, sum(i)::HUGEINT AS inside, sum(tot::HUGEINT * tot) AS squares
+  FROM (SELECT x.comm, sum(w)::BIGINT AS tot, sum(CASE WHEN x.comm = y.comm THEN w ELSE 0 END)::BIGINT AS i FROM arcs JOIN s{p} x ON src = x.id JOIN s{p} y ON dst = y.id GROUP BY 1)))""")
+    stop = " ".join(f"WHEN (SELECT q FROM q{p}) - (SELECT q FROM q{p - 1}) < 0.001 THEN {p}" for p in range(1, _PASSES))
+    parts.append(f"stop AS MATERIALIZED (SELECT CASE {stop} ELSE {_PASSES} END AS passes)")
+    parts.append("last AS (" + " UNION ALL ".join(f"SELECT id, comm, passes FROM s{p}, stop WHERE passes = {p}" for p in range(1, _PASSES + 1)) + ")")
+    return "WITH " + ",\n".join(parts)
+
+
+def _first_level(name: str):
+    """(id, comm, passes): the pass loop of level 0 as DataFrame jobs."""
+
+    def f(spark, sf_dir):
+        g = Graph(spark, sf_dir, name)
+        labels, _, passes, _ = run.run_level(g.arcs, g.nodes, louvain.identity_labels(g.nodes))
+        return labels.select("id", "comm", F.lit(passes).alias("passes"))
+
+    return f
+
+
+for _name in ("planted", "trade"):
+    query(f"{_level_sql(_name)} SELECT id, comm, passes FROM last", f"first_level_{_name}")(_first_level(_name))
+
+
+#: The toy run's half steps and last communities, worked out by hand (fixed values): step, op, n, arcs, size of R, quality as a fraction.
+TOY_REPORTS = ((-1, "start", 14, 36, 14, 89, 162), (0, "del", 14, 32, 5, 69, 128), (0, "add", 16, 38, 4, 409, 722), (1, "del", 16, 32, 4, 259, 512), (1, "add", 17, 38, 3, 429, 722))
+TOY_COMMUNITIES = ((0, 1, 2, 4), (5, 6, 7, 8), (3, 9, 10), (11, 12, 13), (14, 15, 16))
+
+
+def _toy_sql(mode: str) -> str:
+    rows = ", ".join(f"({s}, '{op}', {n}, {a}, {r if mode == 'delta' else n}, {x}, {y})" for s, op, n, a, r, x, y in TOY_REPORTS)
+    return f"SELECT step::INT AS step, op, n::BIGINT AS n, arcs::BIGINT AS arcs, r::BIGINT AS r_size, round(x::DOUBLE / y, 9) AS quality FROM (VALUES {rows}) t(step, op, n, arcs, r, x, y)"
+
+
+def _toy_reports(reports: DataFrame) -> DataFrame:
+    return reports.select("step", "op", "n", "arcs", "r_size", "quality")
+
+
+def _toy_run(mode: str, **options):
+    def f(spark, sf_dir):
+        arcs, nodes = run.load_graph(tables.toy_edges(spark))
+        *_, reports = run.run_steps(arcs, nodes, tables.toy_changes(spark), 1, mode, **options)
+        return _toy_reports(run.report_frame(spark, reports, mode))
+
+    return f
+
+
+for _mode in run.MODES:
+    query(_toy_sql(_mode), f"toy_{_mode}")(_toy_run(_mode))
+query(_toy_sql("delta"), "toy_delta_distributed")(_toy_run("delta", local_arcs=0))
+
+
+@query("SELECT id::BIGINT AS id, least_id::BIGINT AS least_id FROM (VALUES " + ", ".join(f"({v}, {min(c)})" for c in TOY_COMMUNITIES for v in c) + ") t(id, least_id)")
+def toy_communities(spark, sf_dir):
+    """Each vertex of the toy graph with the smallest one of its community after all steps."""
+    arcs, nodes = run.load_graph(tables.toy_edges(spark))
+    _, _, labels, _ = run.run_steps(arcs, nodes, tables.toy_changes(spark), 1)
+    least = labels.groupBy("comm").agg(F.min("id").alias("least_id"))
+    return labels.join(least, "comm").select("id", "least_id")
+
+
+@query(_toy_sql("delta"))
+def toy_stream(spark, sf_dir):
+    """The toy run's reports as a stream of files."""
+    return _toy_reports(_streamed(spark, tables.toy_edges(spark), tables.toy_changes(spark)))
 
 
 @query()
@@ -679,19 +775,58 @@ for _mode in run.MODES:
 
 
 @query()
-def stream_run(spark, sf_dir):
-    """Reports of the same changes as a stream of files."""
-    import uuid
+def dynamic_few_delta(spark, sf_dir):
+    """Reports of steps that touch few communities: the case in which screening saves work."""
+    return _few(spark, sf_dir, "delta")
+
+
+@query()
+def dynamic_few_full(spark, sf_dir):
+    return _few(spark, sf_dir, "full")
+
+
+def _few(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    edges = materialize(tables.planted_edges(spark, sf_dir), "edges")
+    gone = edges.filter("src % 300 = 5").select(F.lit(0).alias("step"), F.lit("del").alias("op"), "src", "dst")
+    new = edges.filter("src % 300 = 7").select(F.lit(0).alias("step"), F.lit("add").alias("op"), "src", (C("dst") + 1).alias("dst"))
+    arcs, nodes = run.load_graph(edges)
+    *_, reports = run.run_steps(arcs, nodes, materialize(gone.union(new), "changes"), 0, mode)
+    return run.report_frame(spark, reports, mode).drop("ms", "screening_ms")
+
+
+@query()
+def louvain_full_distributed(spark, sf_dir):
+    """louvain_full with all levels as DataFrame jobs."""
+    arcs, nodes = run.load_graph(tables.planted_edges(spark, sf_dir))
+    return run.detect(arcs, nodes, local_arcs=0).labels
+
 
+@query()
+def dynamic_few_delta_distributed(spark, sf_dir):
+    """One batch that touches few communities, screened and re-evaluated as DataFrame jobs from given communities."""
+    edges = materialize(tables.planted_edges(spark, sf_dir), "edges")
+    arcs, nodes = run.load_graph(edges)
+    labels = materialize(tables.planted_labels(spark, sf_dir).join(nodes.select("id"), "id"), "labels")
+    gone = edges.filter("src % 300 = 5").select("src", "dst")
+    *_, report = run.half_step(arcs, nodes, labels, gone, "del", local_arcs=0)
+    return run.report_frame(spark, [report], "delta").drop("ms", "screening_ms")
+
+
+def _streamed(spark: SparkSession, start: DataFrame, changes: DataFrame) -> DataFrame:
     from graphloom.streaming import changes as stream
 
-    start, changes = day_changes(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/graphloom-stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     state = stream.start_state(spark, start, f"{folder}/state")
     changes.withColumn("w", F.lit(1.0)).coalesce(1).write.json(f"{folder}/in")
     q = stream.keep_up(stream.read_change_stream(spark, f"{folder}/in"), state, f"{folder}/progress")
     q.awaitTermination()
-    return state.reports().drop("ms", "screening_ms")
+    return state.reports()
+
+
+@query()
+def stream_run(spark, sf_dir):
+    """Reports of the same changes as a stream of files."""
+    return _streamed(spark, *day_changes(spark, sf_dir)).drop("ms", "screening_ms")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

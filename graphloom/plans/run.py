@@ -153,8 +153,9 @@ def run_level(arcs: DataFrame, nodes: DataFrame, labels: DataFrame, subset: Data
     while passes < max_passes:
         new = rules.one_pass(arcs, nodes, labels, subset, tables, m2)
         passes += 1
-        moved = bool(new.join(labels.select("id", C("comm").alias("was")), "id").filter("comm <> was").head(1))
         now = rules.score(arcs, nodes, new)
+        # without a move nothing is gained, so only a bound of 0 needs to look
+        moved = min_gain > 0 or bool(new.join(labels.select("id", C("comm").alias("was")), "id").filter("comm <> was").head(1))
         if now < q and on_bad_pass == "revert":
             break
         improved |= now > q

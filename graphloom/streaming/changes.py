@@ -56,7 +56,7 @@ def start_state(spark: SparkSession, edges: DataFrame, path: str, weighted: bool
     arcs, nodes = run.load_graph(edges, weighted)
     got = run.detect(arcs, nodes, **options)
     n = nodes.count()
-    report = run.Step(-1, "start", n, arcs.count(), n, got.quality, len(got.metrics), 0.0, 0.0)
+    report = run.Step(-1, "start", n, arcs.count(), n, got.quality, len(got.metrics), 0.0, 0.0, got.hierarchy)
     state.write(0, arcs, nodes, got.labels, run.report_frame(spark, [report], mode))
     return state
 

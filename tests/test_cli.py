@@ -52,6 +52,31 @@ def test_steps(spark, folder):
     cli.main(["steps", str(folder / "g"), "-o", str(folder / "s"), "-a", "1", "-x", str(folder / "del"), "-b", str(folder / "add")])
     rows = spark.read.json(str(folder / "s/report")).collect()
     assert round(max(r["quality"] for r in rows), 6) == 0.594183
+    assert all(r["screening_ms"] > 0 for r in rows if r["op"] != "start")
+    # after the static run and each half step: hierarchy, sizes of communities, members
+    for i, (vertices, communities) in enumerate([(14, 5), (14, 5), (16, 5), (16, 5), (17, 5)]):
+        sizes = [int(r[0]) for r in spark.read.text(str(folder / f"s/sizes/step={i}")).collect()]
+        members = [r[0].split() for r in spark.read.text(str(folder / f"s/members/step={i}")).collect()]
+        assert sum(sizes) == vertices and sorted(sizes) == sorted(map(len, members)) and len(sizes) >= communities
+        levels = files.read_hierarchy(spark, str(folder / "s/hierarchy"), i)
+        assert levels.filter("level = 0").count() == vertices
+    times = {r["name"] for r in spark.read.json(str(folder / "s/times")).collect()}
+    assert {"static run", "step 0 del", "step 1 add", "apply changes"} <= times
+
+
+def test_steps_under_a_criterion_from_a_partition(spark, folder, tmp_path):
+    (tmp_path / "p.txt").write_text("0 0\n1 0\n2 0\n4 0\n")
+    cli.main(["steps", str(folder / "g"), "-o", str(tmp_path / "s"), "-a", "0", "-x", str(folder / "del"), "-q", "1", "-m", "full", "-p", str(tmp_path / "p.txt")])
+    rows = {r["op"]: r for r in spark.read.json(str(tmp_path / "s/report")).collect()}
+    assert set(rows) == {"start", "del"} and rows["start"]["quality"] == pytest.approx(87 / 98)
+
+
+def test_detect_prints_the_graph_of_a_level(spark, folder, tmp_path, capsys):
+    cli.main(["detect", str(folder / "g"), "-o", str(tmp_path / "d"), "-l", "2"])
+    shown = [x for x in capsys.readouterr().out.splitlines() if ": (" in x]
+    first = files.read_hierarchy(spark, str(tmp_path / "d/hierarchy")).filter("level = 1").count()
+    assert 3 <= len(shown) <= first < 14
+    assert sum(float(w.rstrip(")")) for x in shown for w in x.split(": ")[1].split()[1::2]) == 36
 
 
 @pytest.mark.parametrize("which", [0, 1, 4, 8])
