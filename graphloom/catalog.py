@@ -658,7 +658,7 @@ def screen_everything(spark, sf_dir):
 # whole runs
 
 #: Passes that the SQL of a level has; the pass loop ends with the first one that gains less than MIN_GAIN.
-_PASSES = 5
+_PASSES = 12
 
 
 def _level_sql(graph_name: str) -> str:
