@@ -28,7 +28,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET_SHARE = 1.5
 MOST_EPOCHS = 2.0
 #: Documents of a source that are sorted in one task at most, but for equal ones, which needn't be sorted.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Buckets into which an interval of keys is cut.
 BUCKETS = 1024
 SEED = "mix-1"
