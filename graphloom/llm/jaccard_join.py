@@ -12,11 +12,14 @@ fewest other shingles), which is what connects such a group; then only members o
 compared with the others, if their numbers of frequent shingles let them be similar at all.  So no link between
 components is lost, and pairs inside a component need not be found.
 
-Which shingles count as frequent changes the order, hence the cost, never the result: any order is right.
+Which shingles count as frequent changes the order, hence the cost, never the result: any order is right.  They are found in
+parts of the table first; a prefix list that still has more than LONG nodes makes its shingle a frequent one too.  There are
+at most MOST_FREQUENT; lists of any further ones are paired in full.
 
 Defined cases: null or empty texts have an empty set, no links, and are their own component; texts of fewer words than
-a shingle are one shingle; repeated rows and ids are documents each; a null doc_id takes part and its component is
-the smallest id reachable, null if there is none; an empty table gives an empty result.
+a shingle are one shingle; very long texts are compared whole; repeated rows and ids are documents each; a null doc_id takes
+part and its component is the smallest id reachable, null if there is none; ties between pivots go to the smaller node; other
+columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ PERCENT = 80
 #: Documents from which a shingle counts as frequent, and frequent shingles held at most (8 bytes each in every task).
 FREQUENT = 64
 MOST_FREQUENT = 400_000
+#: Prefix lists with more nodes aren't paired: their shingles become frequent ones, and the prefixes are made anew.
+LONG = 512
 #: Shingles among which a task looks for repeated ones at a time.
 COUNT_CHUNK = 3_000_000
 #: Fragments in which overlaps of the remaining pairs are counted.
@@ -165,10 +170,10 @@ def prefix_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, DOCUMENT)
 
 
-def fragment_pairs(postings: DataFrame, partitions: int) -> DataFrame:
+def fragment_pairs(postings: DataFrame, partitions: int, long: int | None = None) -> DataFrame:
     """Overlaps in the first fragment: (x, y, c) for nodes x < y, by partition.
 
-    Partitions hold whole lists of a shingle; frequent ones aren't among them, so lists are short.
+    Partitions hold whole lists of a shingle.  Of a list with more than `long` nodes only (shingle, -1, nodes) is given.
     """
 
     def out(x, y):
@@ -183,22 +188,27 @@ def fragment_pairs(postings: DataFrame, partitions: int) -> DataFrame:
         h, node = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         order = np.lexsort((node, h))
         h, node = h[order], node[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        begin = np.flatnonzero(new)
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(begin, len(h)))
-        xs, ys, held = [], [], 0
-        many = np.repeat(size > 1, size)
-        h, node = h[many], node[many]
-        for d in range(1, int(size.max())):
-            same = np.flatnonzero(h[d:] == h[:-d])
-            if len(same) == 0:
-                break
-            xs.append(node[same])
-            ys.append(node[same + d])
-            held += len(same)
+        if long is not None and (over := size > long).any():
+            yield pa.RecordBatch.from_arrays([pa.array(h[begin[over]]), pa.array(np.full(over.sum(), -1)), pa.array(size[over].astype(np.int64))], names=["x", "y", "c"])
+        mine = (size > 1) & (size <= (long or size.max()))
+        held_size = np.repeat(size, size)[np.repeat(mine, size)]
+        node, place = node[np.repeat(mine, size)], (np.arange(len(h)) - np.repeat(begin, size))[np.repeat(mine, size)]
+        xs, ys, held, d = [], [], 0, 1
+        # pairs d places apart; lists that are too short for that leave
+        while len(node):
+            first = np.flatnonzero(place + d < held_size)
+            xs.append(node[first])
+            ys.append(node[first + d])
+            held += len(first)
             if held > 2_000_000:
                 yield out(xs, ys)
                 xs, ys, held = [], [], 0
+            d += 1
+            stay = held_size > d
+            if not stay.all():
+                node, place, held_size = node[stay], place[stay], held_size[stay]
         if held:
             yield out(xs, ys)
 
@@ -344,17 +354,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = materialize(prefix_table(docs, frequent_shingles(docs)).withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    full = table.filter("n > 0")
-    classes = materialize(full.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "classes")
-    repeated = materialize(classes.filter("copies > 1").select("node", F.col("row").alias("kept")), "repeated")
-    kept = join_small(full, repeated, "node", "left", F.col("row")).filter("kept is null or kept = row")
-    kept = materialize(kept.select("doc_id", "node", "n", "known", "last", "prefix", "frequent"), "kept")
-
-    # first fragment
-    postings = kept.select(F.explode("prefix").alias("h"), "node")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = materialize(fragment_pairs(postings, partitions).groupBy("x", "y").agg(F.sum("c").alias("c")), "fragment-1")
+    frequent = frequent_shingles(docs)
+    while True:
+        table = materialize(prefix_table(docs, frequent).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+        full = table.filter("n > 0")
+        classes = materialize(full.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "classes")
+        repeated = materialize(classes.filter("copies > 1").select("node", F.col("row").alias("kept")), "repeated")
+        kept = join_small(full, repeated, "node", "left", F.col("row")).filter("kept is null or kept = row")
+        kept = materialize(kept.select("doc_id", "node", "n", "known", "last", "prefix", "frequent"), "kept")
+        # first fragment
+        postings = kept.select(F.explode("prefix").alias("h"), "node")
+        room = MOST_FREQUENT - len(frequent)
+        counted = materialize(fragment_pairs(postings, partitions, LONG if room > 0 else None).groupBy("x", "y").agg(F.sum("c").alias("c")), "fragment-1")
+        more = counted.filter("y = -1").orderBy(F.desc("c"), "x").limit(max(room, 0)).select("x").toArrow()  # at most MOST_FREQUENT rows
+        if not more.num_rows:
+            break
+        frequent = np.union1d(frequent, more["x"].to_numpy())
     sizes = materialize(kept.select("node", "n", "known", "last"), "nodes")
     near = _with_nodes(counted, sizes)
     n, odd_x, odd_y = F.col("x_n") + F.col("y_n"), F.col("x") % 2 == 1, F.col("y") % 2 == 1

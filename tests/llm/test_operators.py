@@ -965,6 +965,17 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, seed, frequent
     assert got == jaccard_brute(rows)
 
 
+def test_jaccard_long_lists_become_frequent(spark, monkeypatch):
+    """No frequent shingle is found in parts of the table, so long prefix lists tell of them; also where there is no room for more."""
+    rows = near_copies(random.Random(5), [(60, 40), (30, 25)])
+    for most, long in ((400_000, 6), (3, 4), (0, 4)):
+        monkeypatch.setattr(jaccard_join, "COUNT_CHUNK", 1)
+        monkeypatch.setattr(jaccard_join, "MOST_FREQUENT", most)
+        monkeypatch.setattr(jaccard_join, "LONG", long)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(documents(spark, rows)).collect()}
+        assert got == jaccard_brute(rows)
+
+
 def test_jaccard_odd_rows(spark):
     got = jaccard_join.jaccard_components(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)
