@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes worked on at a time; bounds the temporary arrays of byte-wise steps (about 40 bytes for each), also inside a longer text.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

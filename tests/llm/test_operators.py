@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize
-from graphloom.llm import fingerprints, jaccard_join, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, token_files, tokens, warc
+from graphloom.llm import fingerprints, jaccard_join, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, textvec, token_files, tokens, warc
 
 SPACE = " \t\n\x0b\x0c\r"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -730,6 +730,26 @@ def test_quality_empty(spark):
     assert quality_rules.judge(featured, quality_rules.fit_documents(featured)).count() == 0
 
 
+def test_long_texts_are_worked_on_in_slices(monkeypatch):
+    """What is counted and encoded doesn't depend on the size of slices, also where a word or a line is longer than one."""
+    rng = random.Random(4)
+    line = random_words(rng, 400)
+    texts = [line + "\n" + line + "\nx\n" + "longword" * 300 + " a b c a b c " + "longword" * 300, random_words(rng, 900), "y" * 5000, "", "One two. <|endoftext|> three " * 90]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole = quality_rules.features(data, offsets)
+    sets = [len(set(h.tolist())) for _, h in [jaccard_join.shingle_sets(data[a:b], np.array([0, b - a])) for a, b in zip(offsets, offsets[1:])]]
+    ids = list(tokens.BatchEncoder(token_files.vocabulary_path()).encode(pa.array(texts)))
+    for size in (64, 700):
+        monkeypatch.setattr(textvec, "SLICE_BYTES", size)
+        monkeypatch.setattr(tokens, "SLICE_BYTES", size)
+        for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
+            alone = quality_rules.features(data[a:b], np.array([0, b - a]))
+            assert {k: int(v[0]) for k, v in alone.items()} == {k: int(v[i]) for k, v in whole.items()}
+            assert len(jaccard_join.shingle_sets(data[a:b], np.array([0, b - a]))[1]) == sets[i]
+            assert tokens.BatchEncoder(token_files.vocabulary_path())._long(data[a:b]) == ids[i]
+
+
 # 8: fingerprints
 
 
