@@ -113,7 +113,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             cuts = np.append(np.arange(a, b, SLICE_BYTES), b)
             h = np.uint64(b - a)
             for x, y in zip(cuts, cuts[1:]):
-                h = mix(np.array([h * _B]) + _slice_hashes(data[x:y], np.array([0]), np.array([y - x])))[0]
+                h = mix(np.array([h]) * _B + _slice_hashes(data[x:y], np.array([0]), np.array([y - x])))[0]
             out[i] = h
             i += 1
             continue
