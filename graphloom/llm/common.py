@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from graphloom.plans.store import BROADCAST_BYTES, SALTS, join_small, materialize, new_path, shared_dir, written_bytes
 
-__all__ = ["BROADCAST_BYTES", "SALTS", "annotate", "id_crc32_mod", "join_small", "kept_columns", "materialize", "new_path", "rename_clashes", "shared_dir", "strings", "table", "written_bytes"]
+__all__ = ["BROADCAST_BYTES", "SALTS", "annotate", "id_crc32_mod", "join_small", "kept_columns", "materialize", "new_path", "rename_clashes", "shared_dir", "strings", "table", "trimmed", "written_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,22 @@ def id_crc32_mod(column: Column, m: int) -> Column:
     return F.pmod(F.crc32(F.encode(column.cast("string"), "UTF-8")), F.lit(m))
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which at its end gives freed memory back to the system, so that an idle worker process holds little."""
+
+    def then_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return then_trim
+
+
 def rename_clashes(df: DataFrame, names: list[str]) -> DataFrame:
     """df with its columns of these names (compared without case, as Spark does) called input_<name>, with more underscores while that is taken."""
     new, taken = {n.lower() for n in names}, {c.lower() for c in [*df.columns, *names]}
@@ -53,7 +70,7 @@ def annotate(df: DataFrame, columns: list[str], fields: list[T.StructField], mak
             got = call([batch.column(i) for i in at])
             yield pa.RecordBatch.from_arrays(list(batch.columns) + got, names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def kept_columns(df: DataFrame) -> tuple[DataFrame, list[Column], dict[str, str]]:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import BROADCAST_BYTES, SALTS, join_small, kept_columns, materialize, written_bytes
+from graphloom.llm.common import BROADCAST_BYTES, SALTS, join_small, kept_columns, materialize, trimmed, written_bytes
 from graphloom.llm.textvec import LOWER, NOT_SPACE, buffers, mix, slices, window_hashes, words
 
 SHINGLE = 5
@@ -105,7 +105,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         if held:
             yield report()
 
-    sums = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    sums = docs.select("text").mapInArrow(trimmed(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     top = sums.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toArrow()  # bounded
     return np.sort(top["h"].to_numpy()) if top.num_rows else np.zeros(0, np.int64)
 
@@ -167,7 +167,7 @@ def prefix_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     names=["doc_id", "tag", "node", "n", "known", "last", "prefix", "frequent"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, DOCUMENT)
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(trimmed(run), DOCUMENT)
 
 
 def fragment_pairs(postings: DataFrame, partitions: int, long: int | None = None) -> DataFrame:
@@ -212,7 +212,7 @@ def fragment_pairs(postings: DataFrame, partitions: int, long: int | None = None
         if held:
             yield out(xs, ys)
 
-    return postings.repartition(partitions, "h").mapInArrow(run, "x long, y long, c long")
+    return postings.repartition(partitions, "h").mapInArrow(trimmed(run), "x long, y long, c long")
 
 
 def _similar(n: Column, overlap: Column) -> Column:
@@ -246,7 +246,7 @@ def fragment_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     names=["half", "f", "s"],
                 )
 
-    sets = chosen.select("text").mapInArrow(run, "half long, f int, s array<long>")
+    sets = chosen.select("text").mapInArrow(trimmed(run), "half long, f int, s array<long>")
     nodes = wanted.select("node", F.shiftright("node", 1).alias("half")).distinct()
     nodes = F.broadcast(nodes) if written_bytes(wanted) <= BROADCAST_BYTES else nodes
     # copies with the same id give the same fragments

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from graphloom.llm.common import annotate, id_crc32_mod, kept_columns
+from graphloom.llm.common import annotate, id_crc32_mod, kept_columns, trimmed
 from graphloom.llm.textvec import LOWER, NOT_SPACE, buffers, mix, runs, slices
 
 #: Labelled rows, and bytes of their texts for each language, that training reads at most.
@@ -108,7 +108,7 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", key: str | None
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "k", "bucket", "n"])
 
-    sums = sample.mapInArrow(count, "lang string, k int, bucket int, n long").groupBy("lang", "k", "bucket").agg(F.sum("n").alias("n"))
+    sums = sample.mapInArrow(trimmed(count), "lang string, k int, bucket int, n long").groupBy("lang", "k", "bucket").agg(F.sum("n").alias("n"))
     table = sums.toArrow()  # bounded: languages x sizes x buckets
     n = np.full((len(SIZES), BUCKETS, len(langs)), SMOOTHING, np.float64)
     if table.num_rows:

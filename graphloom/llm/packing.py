@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.llm.common import trimmed
 from graphloom.llm.tokens import tokenizer
 
 TIERS = (128, 256, 512, 1024)
@@ -178,7 +179,7 @@ def pack_documents(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
         packer.pack(to_the_end=True)
         yield from _batches(packer.drain())
 
-    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, SCHEMA)
+    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(trimmed(run), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

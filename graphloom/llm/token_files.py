@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from graphloom.llm.common import join_small, materialize, new_path
+from graphloom.llm.common import join_small, materialize, new_path, trimmed
 from graphloom.llm.tokens import batch_encoder
 
 BLOCK = 4096
@@ -146,7 +146,7 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, path: str, do
             yield segment()
 
     # Spark's own writer commits the files; the bytes of the string column are written as they are
-    dealt.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
+    dealt.mapInArrow(trimmed(run), "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def _file_number(path: Column) -> Column:
@@ -177,7 +177,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     start, place = start + int(at[-1]), place + n
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(_file_number(F.col("path")).alias("file"), "content")
-    return files.mapInArrow(run, "file long, place long, doc_id long, file_start long, n_tokens long, ids binary")
+    return files.mapInArrow(trimmed(run), "file long, place long, doc_id long, file_start long, n_tokens long, ids binary")
 
 
 def with_global_starts(documents: DataFrame) -> DataFrame:
