@@ -286,8 +286,11 @@ def _with_nodes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, comp) for all nodes of links (x, y), by alternating large and small stars (Kiveris et al. 2014)."""
     edges = materialize(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct(), "links")
-    mark = None
     while True:
+        # done once all are stars: whoever has a smaller neighbour has one, which has none itself
+        roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if not roles.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter(F.col("below") + F.col("above") > 1).filter("below > 0").head(1):
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
         large = join_small(both, least, "u", "inner", F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -296,10 +299,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         own = least.select("u", F.col("m").alias("v"))
         small = join_small(large, least, "u", "inner", F.col("v")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(own).distinct(), "small-star")
-        new = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
-        if new == mark:
-            break
-        mark = new
     return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), "components")
 
 
@@ -397,11 +396,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     apart = _with_components(near.select("x", "y"), comps).filter("x_comp <> y_comp").select("x", "y")
     apart = materialize(apart.union(rest_pairs(lists, bounds, comps)).distinct(), "apart")
     more = materialize(verify(apart, sets, sizes), "more-links")
+    # components that these links join
+    above = None
     if more.head(1):
-        comps = connected_components(links.union(more))
+        ends = _with_components(more, comps)
+        above = connected_components(ends.select(F.col("x_comp").alias("x"), F.col("y_comp").alias("y"))).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
 
     # back to documents
     placed = classes.join(F.broadcast(comps) if written_bytes(comps) <= BROADCAST_BYTES else comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if above is not None:
+        placed = join_small(placed, above, "comp", "left", F.col("node")).withColumn("comp", F.coalesce("top", "comp"))
     grouped = placed.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("least_id").alias("component"), F.count("*").alias("nodes"), F.sum("copies").alias("rows")).filter("rows > 1")
     labels = materialize(placed.select("node", "comp").join(grouped.select("comp", "component"), "comp").select("node", "comp", "component"), "labels")
     out = join_small(table.select("doc_id", "tag", "node", "n", "row"), labels, "node", "left", F.col("row"))
