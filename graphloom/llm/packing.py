@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm.common import trimmed
+from graphloom.llm.textvec import buffers, slices
 from graphloom.llm.tokens import tokenizer
 
 TIERS = (128, 256, 512, 1024)
@@ -170,12 +171,13 @@ def pack_documents(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
         context = TaskContext.get()
         packer = Packer(context.partitionId() if context else 0, tiers, group_ids)
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packer.add_document(key, encode(value or "") + END_ID)
-                if packer.waiting >= POOL:
-                    packer.pack()
-                if len(packer.out) >= POOL:
-                    yield from _batches(packer.drain())
+            for a, b in slices(buffers(batch.column(1))[1]):
+                for key, value in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
+                    packer.add_document(key, encode(value or "") + END_ID)
+                    if packer.waiting >= POOL:
+                        packer.pack()
+                    if len(packer.out) >= POOL:
+                        yield from _batches(packer.drain())
         packer.pack(to_the_end=True)
         yield from _batches(packer.drain())
 

@@ -47,6 +47,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _holds(text: str, hint: str, added: list[str]) -> bool:
+    return hint in text and any(map(text.lower().__contains__, added))
+
+
 class CachedTokenizer:
     def __init__(self, path: str, lead_space: bool):
         """lead_space: a piece keeps the space before it (byte-level vocabularies); else white space is dropped."""
@@ -69,7 +73,7 @@ class CachedTokenizer:
 
     def holds_added(self, text: str) -> bool:
         """Whether a text may hold an added token; such a text isn't cut but goes to the library."""
-        return self.hint in text and any(map(text.lower().__contains__, self.added))
+        return _holds(text, self.hint, self.added)
 
     def whole(self, text: str) -> bytes:
         """Ids of a text by the library alone."""
@@ -162,7 +166,7 @@ class ByteLevelTokenizer:
     """The ids that the tokenizers library gives for a byte-level BPE file, by tiktoken's faster merge loop.
 
     Ids follow the order of merges there, so they serve as ranks; the file's pre-tokenizer is checked to be the one that
-    BYTE_PATTERN spells out.  Texts that may hold an added token go to the library.
+    BYTE_PATTERN spells out.  Texts that may hold an added token go to the library, which is loaded with the first of them.
     """
 
     def __init__(self, path: str):
@@ -170,7 +174,7 @@ class ByteLevelTokenizer:
 
         import tiktoken
 
-        self.slow = CachedTokenizer(path, lead_space=True)
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec["pre_tokenizer"]
@@ -178,11 +182,19 @@ class ByteLevelTokenizer:
             raise ValueError(f"{path}: not a plain byte-level vocabulary")
         letters, added = byte_alphabet(), {x["content"] for x in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+        self.added = [x.lower() for x in added]
+        self.hint = os.path.commonprefix(self.added)[:2]
         self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def slow(self) -> CachedTokenizer:
+        if self.library is None:
+            self.library = CachedTokenizer(self.path, lead_space=True)
+        return self.library
+
     def encode(self, text: str) -> bytes:
-        if self.slow.holds_added(text):
-            return self.slow.encode(text)
+        if _holds(text, self.hint, self.added):
+            return self.slow.whole(text)
         if len(text) > LONG_CHARS:  # no Python object for each id
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
