@@ -13,8 +13,9 @@ compared with the others, if their numbers of frequent shingles let them be simi
 components is lost, and pairs inside a component need not be found.
 
 Which shingles count as frequent changes the order, hence the cost, never the result: any order is right.  They are found in
-parts of the table first; a prefix list that still has more than LONG nodes makes its shingle a frequent one too.  There are
-at most MOST_FREQUENT; lists of any further ones are paired in full.
+parts of the table first; a prefix list that still has more than LONG nodes makes its shingle a frequent one too.  Tasks hold
+at most MOST_FREQUENT; any further ones (`late`) are a table, joined with the sets of the documents that have one in their prefix.
+No list of more than LONG nodes is ever paired.
 
 Defined cases: null or empty texts have an empty set, no links, and are their own component; texts of fewer words than
 a shingle are one shingle; very long texts are compared whole; repeated rows and ids are documents each; a null doc_id takes
@@ -117,11 +118,37 @@ def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), pa.array(values, pa.int64()))
 
 
+def _among(h: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of h stand in the sorted values."""
+    if len(values) == 0:
+        return np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+    return values[at] == h
+
+
+def _prefixes(doc: np.ndarray, h: np.ndarray, is_hot: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(n, known, last, prefix, frequent) of the sets (document, hash), by document, in the order (frequent, hash)."""
+    n = np.bincount(doc, minlength=rows)
+    first = np.searchsorted(doc, np.arange(rows + 1))
+    order = np.lexsort((h, is_hot, doc))
+    h, is_hot, doc = h[order], is_hot[order], doc[order]
+    length = np.where(n > 0, n - _least_overlap(n) + 1, 0)
+    inside = np.arange(len(h)) - first[:-1][doc] < length[doc]
+    plain, often = inside & ~is_hot, inside & is_hot
+    reach = np.bincount(doc[often], minlength=rows) > 0
+    cold = np.bincount(doc[~is_hot], minlength=rows)
+    last = np.full(rows, np.iinfo(np.int64).max)
+    end = first[:-1] + length - 1
+    ok = (n > 0) & ~reach
+    last[ok] = h[end[ok]]
+    return n.astype(np.int64), np.where(reach, cold, length).astype(np.int64), last, _lists(h[plain], doc[plain], rows), _lists(h[often], doc[often], rows)
+
+
 def prefix_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """One row for each document with its set's size, hash (`node`), and prefix in the global order.
 
-    known: how many shingles the prefix shows up to its end; `last` is that end.  If frequent shingles reach into the prefix (the
-    node is odd then), all others lie in it, and known is their number.  tag: a hash of the text.
+    known: how many shingles the prefix shows up to its end; `last` is that end.  If frequent shingles reach into the prefix,
+    all others lie in it, and known is their number.  tag: a hash of the text.
     """
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT longs
 
@@ -134,48 +161,54 @@ def prefix_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 rows = b - a
                 doc, raw = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 h = _signed(raw)
-                n = np.bincount(doc, minlength=rows)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                    is_hot = hot[at] == h
-                else:
-                    is_hot = np.zeros(len(h), bool)
-                first = np.searchsorted(doc, np.arange(rows + 1))
+                n, known, last, prefix, often = _prefixes(doc, h, _among(h, hot), rows)
                 # equal sets have equal sums of mixed hashes
                 total = np.zeros(rows, np.uint64)
                 if len(h):
                     some = np.flatnonzero(n)
-                    total[some] = np.add.reduceat(mix(raw + np.uint64(11)), first[:-1][some])
-                node = mix(total + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                order = np.lexsort((h, is_hot, doc))
-                h, is_hot, doc2 = h[order], is_hot[order], doc[order]
-                length = np.where(n > 0, n - _least_overlap(n) + 1, 0)
-                inside = np.arange(len(h)) - first[:-1][doc2] < length[doc2]
-                plain, often = inside & ~is_hot, inside & is_hot
-                reach = np.bincount(doc2[often], minlength=rows) > 0
-                cold = np.bincount(doc2[~is_hot], minlength=rows)
-                last = np.full(rows, np.iinfo(np.int64).max)
-                end = first[:-1] + length - 1
-                ok = (n > 0) & ~reach
-                last[ok] = h[end[ok]]
-                node = (_signed(node) & ~np.int64(1)) | reach.astype(np.int64)
+                    total[some] = np.add.reduceat(mix(raw + np.uint64(11)), np.searchsorted(doc, some))
+                node = _signed(mix(total + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) & ~np.int64(1)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(a, rows).cast(pa.int64()), batch.column(2).slice(a, rows), pa.array(node), pa.array(n.astype(np.int64)), pa.array(np.where(reach, cold, length).astype(np.int64)), pa.array(last),
-                        _lists(h[plain], doc2[plain], rows), _lists(h[often], doc2[often], rows),
-                    ],
+                    [ids.slice(a, rows).cast(pa.int64()), batch.column(2).slice(a, rows), pa.array(node), pa.array(n), pa.array(known), pa.array(last), prefix, often],
                     names=["doc_id", "tag", "node", "n", "known", "last", "prefix", "frequent"],
-                )
+                )
 
     return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(trimmed(run), DOCUMENT)
 
 
-def fragment_pairs(postings: DataFrame, partitions: int, long: int | None = None) -> DataFrame:
+def later_prefixes(sets: DataFrame, hit: DataFrame, frequent: np.ndarray, late: DataFrame) -> DataFrame:
+    """Prefixes made anew for the nodes of `hit`, from their fragments: the shingles of `late` are frequent ones as well."""
+    held = sets.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT longs
+    known_late = join_small(sets.select("node", F.explode("s").alias("h")), late, "h", "inner", F.col("node")).groupBy("node").agg(F.collect_list("h").alias("late"))
+    whole = sets.groupBy("node").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("f", "s"))), lambda x: x["s"])).alias("s"))
+    rows = hit.join(whole.join(known_late, "node"), "node").select("doc_id", "node", "s", "late")
+
+    def run(batches):
+        hot = held.value
+        for batch in batches:
+            s, late = batch.column(2), batch.column(3)
+            doc = np.repeat(np.arange(len(s)), s.value_lengths().to_numpy())
+            first = np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())])
+            begin = np.concatenate([[0], np.cumsum(late.value_lengths().to_numpy())])
+            h, late = s.flatten().to_numpy(), late.flatten().to_numpy()
+            is_hot = _among(h, hot)
+            for d in range(len(s)):
+                mine = slice(first[d], first[d + 1])
+                is_hot[mine] |= np.isin(h[mine], late[begin[d] : begin[d + 1]])
+            n, known, last, prefix, often = _prefixes(doc, h, is_hot, len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(last), prefix, often], names=["doc_id", "node", "n", "known", "last", "prefix", "frequent"])
+
+    return rows.mapInArrow(trimmed(run), "doc_id long, node long, n long, known long, last long, prefix array<long>, frequent array<long>")
+
+
+def fragment_pairs(postings: DataFrame, partitions: int) -> DataFrame:
     """Overlaps in the first fragment: (x, y, c) for nodes x < y, by partition.
 
-    Partitions hold whole lists of a shingle.  Of a list with more than `long` nodes only (shingle, -1, nodes) is given.
+    Partitions hold whole lists of a shingle.  Of a list with more than LONG nodes only (shingle, -1, nodes) is given.
     """
 
+    long = LONG
+
     def out(x, y):
         pairs = np.stack([np.concatenate(x), np.concatenate(y)], 1)
         pairs, c = np.unique(pairs, axis=0, return_counts=True)
@@ -190,9 +223,9 @@ def fragment_pairs(postings: DataFrame, partitions: int, long: int | None = None
         h, node = h[order], node[order]
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(begin, len(h)))
-        if long is not None and (over := size > long).any():
+        if (over := size > long).any():
             yield pa.RecordBatch.from_arrays([pa.array(h[begin[over]]), pa.array(np.full(over.sum(), -1)), pa.array(size[over].astype(np.int64))], names=["x", "y", "c"])
-        mine = (size > 1) & (size <= (long or size.max()))
+        mine = (size > 1) & ~over
         held_size = np.repeat(size, size)[np.repeat(mine, size)]
         node, place = node[np.repeat(mine, size)], (np.arange(len(h)) - np.repeat(begin, size))[np.repeat(mine, size)]
         xs, ys, held, d = [], [], 0, 1
@@ -215,6 +248,11 @@ def fragment_pairs(postings: DataFrame, partitions: int, long: int | None = None
     return postings.repartition(partitions, "h").mapInArrow(trimmed(run), "x long, y long, c long")
 
 
+def first_fragment(kept: DataFrame, partitions: int) -> DataFrame:
+    """fragment_pairs of the prefixes of `kept`, summed for each pair."""
+    return fragment_pairs(kept.select(F.explode("prefix").alias("h"), "node"), partitions).groupBy("x", "y").agg(F.sum("c").alias("c"))
+
+
 def _similar(n: Column, overlap: Column) -> Column:
     """Whether sets with n shingles together can be similar, or are, with this overlap."""
     return (100 + PERCENT) * overlap >= PERCENT * n
@@ -319,7 +357,7 @@ def frequent_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _can_link() -> Column:
-    """Whether two odd nodes without a common shingle in the first fragment can be similar; pairs with one are found there."""
+    """Whether two nodes whose prefixes reach frequent shingles can be similar without another common one; pairs with one are found in the first fragment."""
     most = F.least(F.col("n") - F.col("own"), F.col("y_n") - F.col("y_own"))
     return _similar(F.col("n") + F.col("y_n"), most)
 
@@ -363,16 +401,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         kept = join_small(full, repeated, "node", "left", F.col("row")).filter("kept is null or kept = row")
         kept = materialize(kept.select("doc_id", "node", "n", "known", "last", "prefix", "frequent"), "kept")
         # first fragment
-        postings = kept.select(F.explode("prefix").alias("h"), "node")
-        room = MOST_FREQUENT - len(frequent)
-        counted = materialize(fragment_pairs(postings, partitions, LONG if room > 0 else None).groupBy("x", "y").agg(F.sum("c").alias("c")), "fragment-1")
-        more = counted.filter("y = -1").orderBy(F.desc("c"), "x").limit(max(room, 0)).select("x").toArrow()  # at most MOST_FREQUENT rows
+        counted = materialize(first_fragment(kept, partitions), "fragment-1")
+        more = counted.filter("y = -1").orderBy(F.desc("c"), "x").limit(max(MOST_FREQUENT - len(frequent), 0)).select("x").toArrow()  # at most MOST_FREQUENT rows
         if not more.num_rows:
             break
         frequent = np.union1d(frequent, more["x"].to_numpy())
-    sizes = materialize(kept.select("node", "n", "known", "last"), "nodes")
+    # long lists beyond what tasks hold
+    late = None
+    while (long := counted.filter("y = -1").select(F.col("x").alias("h"))).head(1):
+        late = materialize(long if late is None else late.union(long), "late")
+        has_late = join_small(kept.select("node", F.explode("prefix").alias("h")), late, "h", "inner", F.col("node")).select("node").distinct()
+        hit = materialize(kept.select("doc_id", "node").join(has_late, "node").select("doc_id", "node"), "late-nodes")
+        anew = later_prefixes(materialize(fragment_sets(docs, hit), "late-sets"), hit, frequent, late)
+        kept = materialize(kept.join(hit.select("node"), "node", "left_anti").unionByName(anew), "kept")
+        counted = materialize(first_fragment(kept, partitions), "fragment-1")
+    sizes = materialize(kept.select("node", "n", "known", "last", (F.size("frequent") > 0).alias("odd")), "nodes")
     near = _with_nodes(counted, sizes)
-    n, odd_x, odd_y = F.col("x_n") + F.col("y_n"), F.col("x") % 2 == 1, F.col("y") % 2 == 1
+    n, odd_x, odd_y = F.col("x_n") + F.col("y_n"), F.col("x_odd"), F.col("y_odd")
     left_x, left_y = F.col("c") + F.col("x_n") - F.col("x_known"), F.col("c") + F.col("y_n") - F.col("y_known")
     bound = F.when(odd_x & odd_y, F.least(left_x, left_y)).when(F.col("x_last") <= F.col("y_last"), left_x).otherwise(left_y)
     near = materialize(near.filter(_similar(n, F.least(bound, F.col("x_n"), F.col("y_n")))).select("x", "y", "c"), "near-pairs")
