@@ -20,14 +20,15 @@ def with_weight(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "w")
 
 
-def symmetrise(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge; a loop stays one arc.
+def symmetrise(edges: DataFrame, loops_twice: bool = False) -> DataFrame:
+    """Both directions of every edge; a loop stays one arc, or two (loops_twice).
 
     One pass over the edges: the second direction is made by a generator, not by a second scan.
     """
     there = F.struct(F.col("src"), F.col("dst"))
     back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    ends = F.explode(F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back)))
+    both = F.array(there, back)
+    ends = F.explode(both if loops_twice else F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(both))
     return edges.select(ends.alias("e"), "w").select("e.src", "e.dst", "w")
 
 
