@@ -2,6 +2,7 @@
 
 A level runs as DataFrame jobs, one for each non-empty degree bucket.  Once a graph has at most `local_arcs` arcs, the
 rest of the level loop runs on arrays in a single task (functions.local_louvain); the bound, also on vertices, is checked before.
+If only the vertices are within the bound, a level under modularity runs on arrays dealt over tasks (plans.dealt_level).
 Runs take any of the ten criteria; under others than modularity a pass that loses is undone.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom.functions import local_louvain, quality
 from graphloom.operators import dynamic, graph, louvain
 from graphloom.operators.hierarchy import flatten
+from graphloom.plans import dealt_level
 from graphloom.plans.metrics import Timer, Timers
 from graphloom.plans.store import materialize
 
@@ -191,8 +193,11 @@ def detect(arcs: DataFrame, nodes: DataFrame, labels: DataFrame | None = None, s
                 part = rest.filter(C("level") == m["level"] + level).select(C("node").alias("id"), "comm")
                 flat = part if flat is None else louvain.compose(flat, part)
             break
-        current = louvain.identity_labels(nodes) if labels is None else labels
-        current, improved, passes, q = run_level(arcs, nodes, materialize(current, "labels"), subset, min_gain, max_passes, bad, rules)
+        if c.id == 0 and n_nodes <= local_arcs:
+            current, improved, passes, q = dealt_level.run_level(arcs, nodes, labels, subset, n_arcs, min_gain, max_passes, bad)
+        else:
+            current = louvain.identity_labels(nodes) if labels is None else labels
+            current, improved, passes, q = run_level(arcs, nodes, materialize(current, "labels"), subset, min_gain, max_passes, bad, rules)
         smaller, weights, dense = louvain.contract(arcs, nodes, current)
         dense = materialize(dense, "dense")
         metrics.append({"level": level, "nodes": n_nodes, "arcs": n_arcs, "passes": passes, "quality": q})

@@ -6,6 +6,7 @@ from itertools import product
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from graphloom.functions import local_louvain, quality
 from graphloom.operators import dynamic, graph, hierarchy, louvain
@@ -308,3 +309,43 @@ def test_screening_on_arrays_and_dataframes_agree(spark, toy):
         batch = tables.toy_changes(spark).filter(f"step = 0 and op = '{op}'")
         reports = [run.half_step(*toy, labels, batch, op, local_arcs=n)[3] for n in (run.LOCAL_ARCS, 0)]
         assert (reports[0].r_size, reports[0].quality) == (reports[1].r_size, pytest.approx(reports[1].quality))
+
+
+def _wheels(spark, kind):
+    """Rings of eight with a hub that sees all, loops, unlinked vertices, and gaps in the ids; edges have weights of the kind."""
+    rng = np.random.default_rng(11)
+    edges = {(8 * r + i, 8 * r + (i + j) % 8) for r in range(12) for i in range(8) for j in (1, 2)} | {(200, v) for v in range(0, 96, 2)} | {(5, 5), (200, 200), (40, 41)}
+    edges |= {tuple(map(int, rng.integers(0, 96, 2))) for _ in range(40)}
+    rows = [(3 * min(e) + 7, 3 * max(e) + 7, w) for e, w in zip(sorted(edges), rng.integers(1, 5, len(edges)).tolist())]
+    frame = spark.createDataFrame([(a, b, w / 4 if kind == "double" else w) for a, b, w in rows], f"src long, dst long, w {kind}")
+    arcs = materialize(graph.arcs_of(frame, True), "arcs")
+    ids = sorted({x for a, b, _ in rows for x in (a, b)} | {0, 1000})
+    return arcs, spark.createDataFrame([(i, 1) for i in ids], "id long, node_w long"), len(ids)
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_levels_dealt_over_tasks(spark, kind, monkeypatch):
+    """With a bound between vertices and arcs a level gives what the array level loop gives: from singletons, from communities, with a subset."""
+    from graphloom.plans import dealt_level
+
+    monkeypatch.setattr(dealt_level, "ROW_ARCS", 20)
+    monkeypatch.setattr(dealt_level, "TASK_ARCS", 100)
+    arcs, nodes, n = _wheels(spark, kind)
+    assert n < arcs.count()
+    warm = nodes.select("id", (1000 - F.floor(F.col("id") / 30)).cast("long").alias("comm"))
+    for labels, subset, bad in ((None, None, "keep"), (warm, None, "keep"), (warm, nodes.filter("id % 2 = 0").select("id"), "revert")):
+        dealt, whole = (run.detect(arcs, nodes, labels, subset, local_arcs=bound, on_bad_pass=bad) for bound in (n, run.LOCAL_ARCS))
+        assert sorted(dealt.labels.collect()) == sorted(whole.labels.collect())
+        keys = ("level", "nodes", "arcs", "passes")
+        assert [[m[x] for x in keys] for m in dealt.metrics] == [[m[x] for x in keys] for m in whole.metrics]
+        assert [m["quality"] for m in dealt.metrics] == pytest.approx([m["quality"] for m in whole.metrics], abs=0 if kind == "long" else 1e-12)
+        assert sorted(dealt.hierarchy.collect()) == sorted(whole.hierarchy.collect())
+
+
+def test_levels_dealt_over_tasks_take_few_jobs(spark):
+    """A bucket step is one job, as is the score of a pass."""
+    arcs, nodes, n = _wheels(spark, "long")
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = jobs()
+    got = run.detect(arcs, nodes, local_arcs=n, max_levels=1)
+    assert jobs() - before <= got.metrics[0]["passes"] * 8 + 40
