@@ -2,7 +2,7 @@
 
 Arcs are written once for a level, packed: a row holds all arcs of some sources of one degree bucket.  A bucket step is one map over the
 rows of its bucket with the labels broadcast, and its moves come back to the driver.  The rules are those of operators.louvain under
-modularity; a task holds arrays of all vertices, and arcs of one row at a time.
+modularity; a task holds arrays of all vertices, and the packed rows of one Arrow batch, at most those of its share of the files.
 """
 
 from __future__ import annotations
